@@ -42,3 +42,11 @@ def format_data_changes(changes: DataFrame) -> str:
     if not rows:
         return "No data changes."
     return f"Data changes ({len(rows)} tables modified):\n" + "".join(r.line + "\n" for r in rows)
+
+
+def divergent_tables(main_fp: DataFrame, branch_fp: DataFrame) -> DataFrame:
+    """Tables on both sides whose digests differ: DF[schema, table, main_rows, branch_rows]."""
+    m = main_fp.select("schema", "table", F.col("row_count").alias("main_rows"), F.col("checksum").alias("_m"))
+    b = branch_fp.select("schema", "table", F.col("row_count").alias("branch_rows"), F.col("checksum").alias("_b"))
+    return m.join(b, ["schema", "table"], "inner").filter(F.col("_m") != F.col("_b")) \
+        .select("schema", "table", "main_rows", "branch_rows")

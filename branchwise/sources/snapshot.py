@@ -62,8 +62,8 @@ def take_snapshot(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec
         spec = specs.get(name) or specs.get(f"{schema}.{table}") or specs.get(table) or TableSpec()
         t_rows.append((schema, table))
         for pos, f in enumerate(df.schema.fields, start=1):
-            nullable = f.nullable and spec.is_nullable(f.name)
-            c_rows.append((schema, table, f.name, f.dataType.simpleString(), nullable,
+            # Nullability is declared (Parquet and Spark's inference do not keep it stable).
+            c_rows.append((schema, table, f.name, f.dataType.simpleString(), spec.is_nullable(f.name),
                            spec.defaults.get(f.name), pos))
         i_rows.extend(index_rows(schema, table, spec))
         k_rows.extend(constraint_rows(schema, table, spec))

@@ -102,3 +102,66 @@ def side_sql(side: str, name: str) -> str | None:
 
 def side_tables(side: str) -> list[str]:
     return [t for t in TABLES if side_sql(side, t) is not None]
+
+
+# ---------------------------------------------------------------------------------------------
+# Schema side of the scenario: declared specs per side and typed column edits.
+
+from branchwise.operators.evolve import ColumnOp, evolve, evolve_spec  # noqa: E402
+from branchwise.sources.spec import ForeignKey, Index, TableSpec  # noqa: E402
+
+
+def base_specs() -> dict[str, TableSpec]:
+    specs = {f"public.{t}": TableSpec(primary_key=list(k)) for t, k in KEYS.items()}
+    specs["public.lineitem"] = TableSpec()
+    specs["public.orders"].foreign_keys["orders_custkey_fkey"] = ForeignKey(["o_custkey"], "customer", ["c_custkey"])
+    specs["public.events"].indexes["idx_events_user"] = Index(["user_id"])
+    return specs
+
+
+# side -> table -> column edits (applied to the side's DataFrame and spec)
+COLUMN_EDITS: dict[str, dict[str, list[ColumnOp]]] = {
+    "main": {
+        "public.orders": [ColumnOp("add_column", "o_channel", "int")],
+        "public.supplier": [ColumnOp("cast_column", "s_nationkey", "bigint")],
+        "public.part": [ColumnOp("add_column", "p_note", "string")],
+    },
+    "branch": {
+        "public.orders": [ColumnOp("add_column", "o_channel", "string", "'web'")],
+        "public.supplier": [ColumnOp("cast_column", "s_nationkey", "bigint")],
+        "public.customer": [ColumnOp("drop_column", "c_mktsegment")],
+        "public.part": [ColumnOp("set_nullable", "p_name", nullable=False)],
+        "public.events": [ColumnOp("set_default", "event_type", default="'click'")],
+    },
+}
+
+
+def side_specs(side: str) -> dict[str, TableSpec]:
+    specs = base_specs()
+    if side == "base":
+        return specs
+    for t, ops in COLUMN_EDITS[side].items():
+        specs[t] = evolve_spec(specs[t], ops)
+    specs["public.orders"].checks["orders_price_check"] = "o_totalprice > 0"
+    if side == "main":
+        specs["public.lineitem"].indexes["idx_lineitem_ship"] = Index(["l_shipdate"])
+        specs["public.events"].indexes.pop("idx_events_user")
+        specs.pop("public.labels", None)
+    else:
+        specs["public.orders"].indexes["idx_orders_cust"] = Index(["o_custkey"])
+        specs["public.events"].indexes["idx_events_user"] = Index(["user_id", "ts"])
+        specs["public.customer"].foreign_keys["customer_nation_fkey"] = ForeignKey(
+            ["c_nationkey"], "nation", ["n_nationkey"])
+        specs.pop("public.pages", None)
+    if side != "branch":
+        specs.pop("public.labels", None)
+    return specs
+
+
+def evolved_namespace(spark: SparkSession, sf_dir: str, side: str) -> dict[str, DataFrame]:
+    """The side's rows (``namespace``) with the side's column edits applied."""
+    ns = namespace(spark, sf_dir, side)
+    for t, ops in COLUMN_EDITS.get(side, {}).items():
+        if t in ns:
+            ns[t] = evolve(ns[t], ops)
+    return ns
