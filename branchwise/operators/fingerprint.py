@@ -12,6 +12,7 @@ only once per table, after the final aggregate.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +50,8 @@ def checksum_from_limbs(s0: Column, s1: Column, s2: Column, s3: Column) -> Colum
 
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """DF[row_count long, checksum string] of one table (one scan)."""
-    agg = df.select(*limb_columns(row_hash(df, columns))).agg(*limb_aggs())
+    # Hash once, then split: Catalyst keeps the two projections apart rather than repeating md5.
+    agg = df.select(row_hash(df, columns).alias("_h")).select(*limb_columns(F.col("_h"))).agg(*limb_aggs())
     return agg.select("row_count", checksum_from_limbs(*[F.col(n) for n in _LIMBS]).alias("checksum"))
 
 
@@ -57,24 +59,34 @@ def fingerprint_all(tables: Mapping[str, DataFrame], only: Iterable[str] | None
                     columns: Mapping[str, list[str]] | None = None) -> DataFrame:
     """DF[schema, table, row_count, checksum] for every table, as one job.
 
+    All tables' row hashes go through one grouped aggregate keyed by table: every scan task
+    pre-aggregates to one row per table, so the single shuffle carries a handful of rows per
+    task whatever the table sizes. One zero-weight row per table keeps empty tables in the
+    result (row count 0, digest md5('0')).
     ``only`` limits the tables before anything is read (skipped tables are never scanned).
     ``columns`` optionally fingerprints a subset of a table's columns (common columns).
     """
     keep = None if only is None else set(only)
-    parts = []
+    parts, names = [], []
     for name in sorted(tables):
         schema, table = split_name(name)
         if keep is not None and name not in keep and f"{schema}.{table}" not in keep:
             continue
-        fp = fingerprint(tables[name], (columns or {}).get(name))
-        parts.append(fp.select(F.lit(schema).alias("schema"), F.lit(table).alias("table"),
-                               "row_count", "checksum"))
+        df = tables[name]
+        names.append((schema, table))
+        hashed = df.select(row_hash(df, (columns or {}).get(name)).alias("_h"))
+        parts.append(hashed.select(F.lit(schema).alias("schema"), F.lit(table).alias("table"), F.lit(1).alias("_w"),
+                                   *limb_columns(F.col("_h"))))
+    spark = next(iter(tables.values())).sparkSession if tables else None
     if not parts:
-        return _empty_fingerprints(next(iter(tables.values())).sparkSession if tables else None)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return _empty_fingerprints(spark)
+    zeros = spark.createDataFrame([(s, t, 0, 0, 0, 0, 0) for s, t in names],
+                                  "schema string, table string, _w int, _s0 long, _s1 long, _s2 long, _s3 long")
+    u = reduce(lambda a, b: a.unionByName(b), parts + [zeros])
+    agg = u.groupBy("schema", "table").agg(F.sum("_w").cast("long").alias("row_count"),
+                                          *[F.sum(n).alias(n) for n in _LIMBS])
+    return agg.select("schema", "table", "row_count",
+                      checksum_from_limbs(*[F.col(n) for n in _LIMBS]).alias("checksum"))
 
 
 def _empty_fingerprints(spark):
