@@ -20,120 +20,118 @@ from pyspark.sql import types as T
 # (quote, backslash, parentheses, comma, space, tab, newline, carriage return, form feed,
 # vertical tab), and the text forms of timestamps and floating point numbers.
 SPECIAL_CHARS = r'["\\(), \t\n\r\f\x0B]'
+DOUBLED_CHARS = r'(["\\])'
 TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 FLOAT_DECIMAL = "decimal(38,6)"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_NUMERIC_ELEMENTS = _INTEGRAL + (T.DecimalType, T.FloatType, T.DoubleType, T.DateType)
 
-
-def quote_text(x: Column) -> Column:
-    """Quote a non-null text field when the composite form needs it."""
-    return F.when((x == F.lit("")) | x.rlike(SPECIAL_CHARS),
-                  F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', "$1$1"), F.lit('"'))
-                  ).otherwise(x)
+# The rule is emitted as one Spark SQL expression (parsed once in the JVM), which keeps
+# building the plan cheap for wide tables and namespaces with many tables.
 
 
-def _always_quoted(x: Column) -> Column:
-    # For text that always holds a special character but never a quote or backslash.
-    return F.concat(F.lit('"'), x, F.lit('"'))
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _float_text(c: Column) -> Column:
-    # Doubles go through a fixed decimal so every engine prints them alike; values outside
-    # decimal(38,6) (and NaN, infinities) fall back to the engine's own text.
-    return F.coalesce(c.try_cast(FLOAT_DECIMAL).cast("string"), c.cast("string"))
+def quote_sql(x: str) -> str:
+    """Quote a non-null text field when the composite form needs it."""
+    return (f"CASE WHEN {x} = '' OR {x} RLIKE r'{SPECIAL_CHARS}' "
+            f"THEN concat('\"', regexp_replace({x}, r'{DOUBLED_CHARS}', '$1$1'), '\"') ELSE {x} END")
 
 
-def _element_text(c: Column, dt: T.DataType) -> Column:
-    """Text of an array element (NULL element -> NULL keyword)."""
-    if isinstance(dt, T.StringType):
-        inner = quote_text(c)
-    else:
-        inner = value_text(c, dt)
-    return F.coalesce(inner, F.lit("NULL"))
+def _always_quoted(x: str) -> str:
+    # For text that always holds a special character but never a quote or backslash.
+    return f"concat('\"', {x}, '\"')"
 
 
-def value_text(c: Column, dt: T.DataType) -> Column:
-    """Canonical, unquoted text of a non-null value of type ``dt`` (NULL stays NULL)."""
+def value_sql(e: str, dt: T.DataType, depth: int = 0) -> str:
+    """Canonical, unquoted text of a value of type ``dt`` (NULL stays NULL)."""
     if isinstance(dt, (T.StringType, T.CharType, T.VarcharType)):
-        return c.cast("string")
-    if isinstance(dt, _INTEGRAL) or isinstance(dt, T.DecimalType):
-        return c.cast("string")
+        return f"CAST({e} AS STRING)"
+    if isinstance(dt, _INTEGRAL) or isinstance(dt, (T.DecimalType, T.DateType)):
+        return f"CAST({e} AS STRING)"
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        return _float_text(c)
+        # Through a fixed decimal so every engine prints them alike; values outside
+        # decimal(38,6) (and NaN, infinities) fall back to the engine's own text.
+        return f"coalesce(CAST(TRY_CAST({e} AS {FLOAT_DECIMAL}) AS STRING), CAST({e} AS STRING))"
     if isinstance(dt, T.BooleanType):
-        return F.when(c, F.lit("t")).when(~c, F.lit("f"))
-    if isinstance(dt, T.DateType):
-        return c.cast("string")
+        return f"CASE WHEN {e} THEN 't' WHEN NOT {e} THEN 'f' END"
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, TIMESTAMP_TEXT)
+        return f"date_format({e}, '{TIMESTAMP_TEXT}')"
     if isinstance(dt, T.BinaryType):
-        return F.concat(F.lit("\\x"), F.lower(F.hex(c)))
+        return f"concat(r'\\x', lower(hex({e})))"
     if isinstance(dt, T.ArrayType):
+        v = f"x_{depth}"
         et = dt.elementType
-        body = F.array_join(F.transform(c, lambda e: _element_text(e, et)), ",")
-        return F.when(c.isNotNull(), F.concat(F.lit("["), body, F.lit("]")))
+        inner = quote_sql(v) if isinstance(et, T.StringType) else value_sql(v, et, depth + 1)
+        return (f"CASE WHEN {e} IS NOT NULL THEN concat('[', array_join(transform({e}, {v} -> "
+                f"coalesce({inner}, 'NULL')), ','), ']') END")
     if isinstance(dt, T.StructType):
-        return F.when(c.isNotNull(), composite_text([(c.getField(f.name), f.dataType) for f in dt.fields]))
+        fields = [(f"{e}.{_ident(f.name)}", f.dataType) for f in dt.fields]
+        return f"CASE WHEN {e} IS NOT NULL THEN {composite_sql(fields, depth + 1)} END"
     if isinstance(dt, T.MapType):
         raise ValueError("map columns have no defined entry order; fingerprint a sorted array instead")
     if isinstance(dt, T.NullType):
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS STRING)"
     raise ValueError(f"no canonical text rule for type {dt.simpleString()}")
 
 
-def field_text(c: Column, dt: T.DataType) -> Column:
+def field_sql(e: str, dt: T.DataType, depth: int = 0) -> str:
     """One field of the composite form: never NULL, quoted where needed."""
+    v = value_sql(e, dt, depth)
     if isinstance(dt, (T.StringType, T.CharType, T.VarcharType, T.BinaryType)):
-        q = quote_text(value_text(c, dt))
-    elif isinstance(dt, _INTEGRAL) or isinstance(dt, (T.DecimalType, T.FloatType, T.DoubleType,
-                                                      T.BooleanType, T.DateType, T.NullType)):
+        q = quote_sql(v) if not isinstance(dt, (T.StringType,)) else quote_sql(e)
+    elif isinstance(dt, _INTEGRAL) or isinstance(dt, (T.DecimalType, T.FloatType, T.DoubleType, T.BooleanType,
+                                                      T.DateType, T.NullType)):
         # Digits, signs, points, letters: never a special character, never empty.
-        q = value_text(c, dt)
+        q = v
     elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         # Always holds a space, never a quote or backslash.
-        q = _always_quoted(value_text(c, dt))
-    elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, _INTEGRAL + (T.DecimalType, T.FloatType,
-                                                                                T.DoubleType, T.DateType)):
+        q = _always_quoted(v)
+    elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, _NUMERIC_ELEMENTS):
         # Numbers hold no special character: the text needs quotes exactly when it has a comma.
-        q = F.when(F.size(c) > 1, _always_quoted(value_text(c, dt))).otherwise(value_text(c, dt))
+        q = f"CASE WHEN size({e}) > 1 THEN {_always_quoted(v)} ELSE {v} END"
     else:
-        q = quote_text(value_text(c, dt))
-    return F.coalesce(q, F.lit(""))
+        q = quote_sql(v)
+    return f"coalesce({q}, '')"
 
 
-def composite_text(fields: list[tuple[Column, T.DataType]]) -> Column:
-    """``(f1,f2,...)`` of already typed columns."""
-    parts = [field_text(c, dt) for c, dt in fields]
-    if not parts:
-        return F.lit("()")
+def composite_sql(fields: list[tuple[str, T.DataType]], depth: int = 0) -> str:
+    """``(f1,f2,...)`` of typed SQL expressions."""
+    if not fields:
+        return "'()'"
     # Every part is non-null, so concat_ws drops nothing.
-    return F.concat(F.lit("("), F.concat_ws(",", *parts), F.lit(")"))
+    return "concat('(', concat_ws(',', " + ", ".join(field_sql(e, dt, depth) for e, dt in fields) + "), ')')"
+
+
+def row_text_sql(schema: T.StructType, columns: list[str] | None = None) -> str:
+    return composite_sql([(_ident(f.name), f.dataType) for f in _fields(schema, columns)])
 
 
 def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
     """Composite text of the given columns of ``df`` (all, in order, by default)."""
-    fields = _fields(df, columns)
-    return composite_text([(F.col(_q(f.name)), f.dataType) for f in fields])
+    return F.expr(row_text_sql(df.schema, columns))
 
 
-def hash_of_text(text: Column) -> Column:
+def hash_sql(text: str) -> str:
     """First 16 hex digits of md5(text) as a signed 64-bit integer."""
-    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
+    return f"CAST(conv(substring(md5({text}), 1, 16), 16, -10) AS BIGINT)"
 
 
-def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
-    return hash_of_text(row_text(df, columns))
+def hash_of_text(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
+    return F.expr(hash_sql(row_text_sql(df.schema, columns)))
 
 
-def _fields(df: DataFrame, columns: list[str] | None) -> list[T.StructField]:
-    by_name = {f.name: f for f in df.schema.fields}
+def _fields(schema: T.StructType, columns: list[str] | None) -> list[T.StructField]:
+    by_name = {f.name: f for f in schema.fields}
     if columns is None:
-        return list(df.schema.fields)
+        return list(schema.fields)
     missing = [c for c in columns if c not in by_name]
     if missing:
         raise ValueError(f"columns not in table: {missing}")

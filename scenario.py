@@ -57,8 +57,15 @@ VARIANTS: dict[str, dict[str, tuple[str | None, dict[str, str]] | None]] = {
 }
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a test table; its schema is looked up once per process (no footer job per read)."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def derive(df: DataFrame, rule: tuple[str | None, dict[str, str]]) -> DataFrame:
