@@ -127,3 +127,14 @@ def test_changelog_newest_entry(spark):
     assert loose == {"public.users": 4, "public.idx_users_email": 4}
     lines = [r.line for r in changelog.status_lines(log, "dev").orderBy("id").collect()]
     assert lines[0] == "CREATE TABLE table public.users" and lines[3] == "CREATE INDEX index "
+
+
+def test_log_tail_stream(spark, tmp_root):
+    from branchwise.streaming.logtail import tail_status
+    log = spark.createDataFrame([("dev", 1, None, "CREATE TABLE", "table", "public", "public.users", "c")],
+                                changelog.LOG_SCHEMA)
+    log.write.parquet(tmp_root + "/log/part1")
+    q = tail_status(spark, tmp_root + "/log/part1", tmp_root + "/status", checkpoint=tmp_root + "/ckpt")
+    q.awaitTermination(120)
+    lines = [r.line for r in spark.read.parquet(tmp_root + "/status").collect()]
+    assert lines == ["CREATE TABLE table public.users"]
