@@ -163,3 +163,19 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 14 and set(df.columns) == {"schema", "table", "base_rows", "curr_rows", "has_change"}
     assert set(E.queries()) - set(E.oracle_sql()) == set()
+
+
+def test_append_only_merge_references_main_files(spark, tmp_root):
+    users(spark, BASE_USERS).write.parquet(tmp_root + "/main/users")
+    main = Namespace.from_paths(spark, {"users": tmp_root + "/main/users"}, SPECS)
+    base = take_snapshot(main.tables, SPECS)
+    branch = {"users": users(spark, BASE_USERS + [(3, "C", "c@x")])}
+    res = merge(base, main, branch, SPECS, SPECS, target=tmp_root + "/t1")
+    out = Namespace.load(spark, tmp_root + "/t1")
+    assert res.inserted == {"public.users": 1}
+    assert out.paths["public.users"][0] == tmp_root + "/main/users"
+    assert out.paths["public.users"][1].endswith(".appended")
+    assert sorted(r.id for r in out.tables["public.users"].collect()) == [1, 2, 3]
+    clash = {"users": users(spark, BASE_USERS + [(4, "D", "a@x")])}
+    with pytest.raises(MergeCheckError, match="users_email_key"):
+        merge(base, main, clash, SPECS, SPECS, target=tmp_root + "/t2")
