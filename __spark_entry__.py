@@ -35,6 +35,11 @@ from branchwise.sources.namespace import Namespace, copy_namespace  # noqa: E402
 from branchwise.sources.snapshot import from_json, take_snapshot, to_json  # noqa: E402
 from branchwise.sources.spec import ForeignKey, TableSpec  # noqa: E402
 
+try:  # the training-data operators are an optional subpackage
+    from branchwise.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 LOG_TIME = "2024-01-02 03:04:05"
 
@@ -268,7 +273,7 @@ def q_merge_orders_end_to_end(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    out = {
         "fingerprint_orders": q_fingerprint("orders"),
         "fingerprint_lineitem": q_fingerprint("lineitem"),
         "fingerprint_documents": q_fingerprint("documents"),
@@ -309,6 +314,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "branch_copy_proof": q_branch_copy_proof,
         "merge_orders_end_to_end": q_merge_orders_end_to_end,
     }
+    if llm_queries is not None:
+        out |= llm_queries.queries()
+    return out
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -518,4 +526,6 @@ def oracle_sql() -> dict[str, str]:
         out[f"schema_diff_{key}"] = (f"WITH {_changes_ctes('branch', 'bch')} SELECT change_type, object_kind, "
                                        f"object_name, detail, base_value, new_value, parent, change_rank FROM bch "
                                        f"WHERE object_kind = '{kind}'")
+    if llm_queries is not None:
+        out |= llm_queries.oracle_sql()
     return out

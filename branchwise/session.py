@@ -7,7 +7,7 @@ missing (a local test run) do we pick a folder of our own.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -45,9 +45,12 @@ def get_spark(master: str | None = None, app: str = "branchwise", shuffle_partit
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only where none is configured."""
+    """Return the shared checkpoint folder; choose one only on a local master where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         path = tempfile.mkdtemp(prefix="branchwise-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)
@@ -63,12 +66,3 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)
     return f"{root}/branchwise-{label}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str | None:
-    """Path on the local file system if ``path`` is one, else None."""
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    if "://" in path:
-        return None
-    return os.path.abspath(path)
