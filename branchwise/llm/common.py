@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in each Python process (functions sent by value have no cache of their own)."""
+    store = sys.modules.setdefault("__branchwise_once", types.ModuleType("__branchwise_once")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write to a fresh table in the shared scratch folder and read it back.
 
