@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchwise.llm import langid, url_filter
+from branchwise.llm import langid, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": simhash.op3_simhash,
         "op8_url_filter": url_filter.op8_url_filter,
         "op10_language_id": langid.op10_language_id,
     }

@@ -8,7 +8,8 @@ DE = "der hund und die katze sind über den berg gelaufen und schlafen jetzt"
 
 def slow_bundle(text):
     """Trigram by trigram, from the letter vectors."""
-    s = [0] + [int(L._slots()[ord(c)]) for c in text.lower()] + [0]
+    slots = L.once("letter slots", L._slots)
+    s = [0] + [int(slots[ord(c)]) for c in text.lower()] + [0]
     s = [c for i, c in enumerate(s) if i == 0 or c or s[i - 1]]
     v = L._letters()[2].astype(int)
     return sum((np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(s, s[1:], s[2:])), np.zeros(L.DIM))
