@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchwise.llm import langid, simhash, token_counts, url_filter
+from branchwise.llm import langid, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op4_token_counts": token_counts.op4_token_counts,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_quality": quality.op9_quality,
         "op10_language_id": langid.op10_language_id,
     }
 
