@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchwise.llm import langid, quality, simhash, token_counts, url_filter
+from branchwise.llm import html_text, langid, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_text": html_text.op2_html_text,
         "op3_simhash": simhash.op3_simhash,
         "op4_token_counts": token_counts.op4_token_counts,
         "op8_url_filter": url_filter.op8_url_filter,
