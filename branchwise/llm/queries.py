@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchwise.llm import html_text, langid, quality, simhash, token_counts, url_filter
+from branchwise.llm import chat, html_text, langid, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_text": html_text.op2_html_text,
         "op3_simhash": simhash.op3_simhash,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_chat_format": chat.op5_chat_format,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_quality": quality.op9_quality,
         "op10_language_id": langid.op10_language_id,
@@ -22,5 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_chat_format": chat.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
     }
