@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchwise.llm import chat, html_text, langid, mixing, quality, simhash, token_counts, url_filter
+from branchwise.llm import chat, html_text, langid, mixing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_chat_format": chat.op5_chat_format,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_mixing": mixing.op7_mixing,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_quality": quality.op9_quality,
