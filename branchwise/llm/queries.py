@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchwise.llm import chat, html_text, langid, mixing, quality, secret_scan, simhash, token_counts, url_filter
+import corpus_pipeline
+from branchwise.llm import chat, decontaminate, html_text, langid, mixing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_html_text": html_text.op2_html_text,
         "op3_simhash": simhash.op3_simhash,
         "op4_token_counts": token_counts.op4_token_counts,
@@ -20,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_quality": quality.op9_quality,
         "op10_language_id": langid.op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
