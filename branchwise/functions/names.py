@@ -23,7 +23,7 @@ def qualify(name: str) -> str:
 
 def name_suffixes(name: Column) -> Column:
     """Array of the full name and every dotted suffix, longest tail last:
-    ``public.users.email`` -> ``[public.users.email, email, users.email]``."""
+    ``lake.trips.fare`` -> ``[lake.trips.fare, fare, trips.fare]``."""
     parts = F.split(name, r"\.")
     n = F.size(parts)
     # suffix k (k = 1..n-1) is the last k parts joined by dots

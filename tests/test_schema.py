@@ -5,8 +5,8 @@ from branchwise.sources.snapshot import from_json, take_snapshot, to_json
 from branchwise.sources.spec import ForeignKey, Index, TableSpec
 
 
-def users(spark, extra=""):
-    return spark.createDataFrame([], "id int, name string, email string" + extra)
+def sites(spark, extra=""):
+    return spark.createDataFrame([], "id int, name string, code string" + extra)
 
 
 def details(changes):
@@ -14,33 +14,33 @@ def details(changes):
 
 
 def test_table_added_and_removed(spark):
-    base = take_snapshot({"users": users(spark)})
-    cur = take_snapshot({"posts": spark.createDataFrame([], "id int, title string")})
-    assert details(schema_diff(base, cur)) == ["table public.posts added (2 columns)", "table public.users removed"]
+    base = take_snapshot({"sites": sites(spark)})
+    cur = take_snapshot({"visits": spark.createDataFrame([], "id int, title string")})
+    assert details(schema_diff(base, cur)) == ["table public.visits added (2 columns)", "table public.sites removed"]
 
 
 def test_column_added_and_type_changed(spark):
-    base = take_snapshot({"users": spark.createDataFrame([], "id int, status int")})
-    cur = take_snapshot({"users": spark.createDataFrame([], "id int, status bigint, bio string")})
-    assert details(schema_diff(base, cur)) == ["column public.users.bio added (string)",
-                                               "column public.users.status type changed: int -> bigint"]
+    base = take_snapshot({"sites": spark.createDataFrame([], "id int, status int")})
+    cur = take_snapshot({"sites": spark.createDataFrame([], "id int, status bigint, note string")})
+    assert details(schema_diff(base, cur)) == ["column public.sites.note added (string)",
+                                               "column public.sites.status type changed: int -> bigint"]
 
 
 def test_nullable_and_default_changes(spark):
-    t = {"users": users(spark)}
-    base = take_snapshot(t, {"users": TableSpec(primary_key=["id"])})
-    cur = take_snapshot(t, {"users": TableSpec(primary_key=["id"], not_null=["name"], defaults={"email": "'x'"})})
-    assert details(schema_diff(base, cur)) == ["column public.users.email default changed",
-                                               "column public.users.name nullable changed: true -> false"]
+    t = {"sites": sites(spark)}
+    base = take_snapshot(t, {"sites": TableSpec(primary_key=["id"])})
+    cur = take_snapshot(t, {"sites": TableSpec(primary_key=["id"], not_null=["name"], defaults={"code": "'x'"})})
+    assert details(schema_diff(base, cur)) == ["column public.sites.code default changed",
+                                               "column public.sites.name nullable changed: true -> false"]
 
 
 def test_indexes_and_constraints(spark):
-    t = {"users": users(spark), "orders": spark.createDataFrame([], "id int, user_id int, total decimal(10,2)")}
-    base_specs = {"users": TableSpec(primary_key=["id"], indexes={"idx_a": Index(["name"]), "idx_b": Index(["email"])}),
-                  "orders": TableSpec(foreign_keys={"orders_user_fk": ForeignKey(["user_id"], "users", ["id"])})}
-    cur_specs = {"users": TableSpec(primary_key=["id"], indexes={"idx_a": Index(["name", "email"]),
-                                                                 "idx_c": Index(["email"], unique=True)}),
-                 "orders": TableSpec(foreign_keys={"orders_user_fk": ForeignKey(["user_id", "id"], "users", ["id", "id"])},
+    t = {"sites": sites(spark), "orders": spark.createDataFrame([], "id int, user_id int, total decimal(10,2)")}
+    base_specs = {"sites": TableSpec(primary_key=["id"], indexes={"idx_a": Index(["name"]), "idx_b": Index(["code"])}),
+                  "orders": TableSpec(foreign_keys={"orders_user_fk": ForeignKey(["user_id"], "sites", ["id"])})}
+    cur_specs = {"sites": TableSpec(primary_key=["id"], indexes={"idx_a": Index(["name", "code"]),
+                                                                 "idx_c": Index(["code"], unique=True)}),
+                 "orders": TableSpec(foreign_keys={"orders_user_fk": ForeignKey(["user_id", "id"], "sites", ["id", "id"])},
                                      checks={"orders_total_check": "total > 0"})}
     ch = schema_diff(take_snapshot(t, base_specs), take_snapshot(t, cur_specs))
     assert details(ch) == ["constraint public.orders_total_check added (CHECK)",
@@ -52,37 +52,37 @@ def test_indexes_and_constraints(spark):
 
 
 def test_no_changes_text(spark):
-    s = take_snapshot({"users": users(spark)})
+    s = take_snapshot({"sites": sites(spark)})
     assert format_changes(schema_diff(s, s)) == "No schema changes."
 
 
 def test_snapshot_json_roundtrip(spark):
-    snap = take_snapshot({"users": users(spark)}, {"users": TableSpec(primary_key=["id"], defaults={"name": "'n'"})})
+    snap = take_snapshot({"sites": sites(spark)}, {"sites": TableSpec(primary_key=["id"], defaults={"name": "'n'"})})
     back = from_json(to_json(snap))
     for a, b in ((snap.columns, back.columns), (snap.indexes, back.indexes), (snap.constraints, back.constraints)):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert len([c for c in back.columns.collect() if c.table == "users"]) >= 3
+    assert len([c for c in back.columns.collect() if c.table == "sites"]) >= 3
 
 
 def _plan(spark, main_extra, branch_extra, resolve=None):
-    base = take_snapshot({"users": spark.createDataFrame([], "id int, name string")})
-    m = take_snapshot({"users": spark.createDataFrame([], "id int, name string" + main_extra)})
-    b = take_snapshot({"users": spark.createDataFrame([], "id int, name string" + branch_extra)})
+    base = take_snapshot({"sites": spark.createDataFrame([], "id int, name string")})
+    m = take_snapshot({"sites": spark.createDataFrame([], "id int, name string" + main_extra)})
+    b = take_snapshot({"sites": spark.createDataFrame([], "id int, name string" + branch_extra)})
     return plan_schema(schema_diff(base, m), schema_diff(base, b), resolve)
 
 
 def test_different_columns_do_not_conflict(spark):
-    ops, conflicts = _plan(spark, ", age int", ", bio string")
+    ops, conflicts = _plan(spark, ", age int", ", note string")
     assert conflicts.count() == 0
-    assert [(r.description, r.status) for r in ops.collect()] == [("column public.users.bio added (string)", "ok")]
+    assert [(r.description, r.status) for r in ops.collect()] == [("column public.sites.note added (string)", "ok")]
 
 
 def test_same_column_other_type_conflicts(spark):
     ops, conflicts = _plan(spark, ", status int", ", status string")
     c = conflicts.collect()
-    assert len(c) == 1 and c[0].object_name == "public.users.status"
-    assert c[0].branch_side == "column public.users.status added (string)"
-    assert c[0].main_side == "column public.users.status added (int)"
+    assert len(c) == 1 and c[0].object_name == "public.sites.status"
+    assert c[0].branch_side == "column public.sites.status added (string)"
+    assert c[0].main_side == "column public.sites.status added (int)"
     ops_b, conf_b = _plan(spark, ", status int", ", status string", "branch")
     assert conf_b.count() == 0 and ops_b.collect()[0].description.endswith(" (branch wins)")
     ops_m, conf_m = _plan(spark, ", status int", ", status string", "main")
@@ -91,50 +91,50 @@ def test_same_column_other_type_conflicts(spark):
 
 
 def test_same_change_converges_and_new_table_children_skip(spark):
-    base = take_snapshot({"users": users(spark)})
-    m = take_snapshot({"users": users(spark, ", age int")})
-    b_tables = {"users": users(spark, ", age int"), "posts": spark.createDataFrame([], "id int, title string")}
-    b = take_snapshot(b_tables, {"posts": TableSpec(primary_key=["id"])})
+    base = take_snapshot({"sites": sites(spark)})
+    m = take_snapshot({"sites": sites(spark, ", age int")})
+    b_tables = {"sites": sites(spark, ", age int"), "visits": spark.createDataFrame([], "id int, title string")}
+    b = take_snapshot(b_tables, {"visits": TableSpec(primary_key=["id"])})
     ops, conflicts = plan_schema(schema_diff(base, m), schema_diff(base, b))
     got = {(r.description, r.status) for r in ops.collect()}
-    assert ("column public.users.age added (int) (same on both sides)", "skipped") in got
-    assert ("index public.posts_pkey added (included in table DDL)", "skipped") in got
-    assert ("constraint public.posts_pkey added (PRIMARY KEY) (included in table DDL)", "skipped") in got
-    assert ("table public.posts added (2 columns)", "ok") in got and conflicts.count() == 0
+    assert ("column public.sites.age added (int) (same on both sides)", "skipped") in got
+    assert ("index public.visits_pkey added (included in table DDL)", "skipped") in got
+    assert ("constraint public.visits_pkey added (PRIMARY KEY) (included in table DDL)", "skipped") in got
+    assert ("table public.visits added (2 columns)", "ok") in got and conflicts.count() == 0
 
 
 def test_child_change_against_removed_table_conflicts(spark):
-    base = take_snapshot({"users": users(spark)})
+    base = take_snapshot({"sites": sites(spark)})
     m = take_snapshot({"other": spark.createDataFrame([], "x int")})
-    b = take_snapshot({"users": users(spark, ", bio string")})
+    b = take_snapshot({"sites": sites(spark, ", note string")})
     _, conflicts = plan_schema(schema_diff(base, m), schema_diff(base, b))
     c = conflicts.collect()
-    assert len(c) == 1 and c[0].object_name == "public.users.bio" and c[0].main_side == "table public.users removed"
+    assert len(c) == 1 and c[0].object_name == "public.sites.note" and c[0].main_side == "table public.sites removed"
 
 
 def test_changelog_newest_entry(spark):
     log = spark.createDataFrame([
-        ("dev", 1, None, "CREATE TABLE", "table", "public", "public.users", "CREATE TABLE public.users (id INT)"),
-        ("dev", 2, None, "ALTER TABLE", "table", "public", "public.users", "ALTER TABLE public.users ADD COLUMN bio TEXT"),
-        ("dev", 3, None, "CREATE TABLE", "table", "public", "public.posts", "CREATE TABLE public.posts (id INT)"),
-        ("dev", 4, None, "CREATE INDEX", "index", "public", None, "CREATE INDEX idx_users_email ON public.users (email)"),
+        ("dev", 1, None, "CREATE TABLE", "table", "public", "public.sites", "CREATE TABLE public.sites (id INT)"),
+        ("dev", 2, None, "ALTER TABLE", "table", "public", "public.sites", "ALTER TABLE public.sites ADD COLUMN note TEXT"),
+        ("dev", 3, None, "CREATE TABLE", "table", "public", "public.visits", "CREATE TABLE public.visits (id INT)"),
+        ("dev", 4, None, "CREATE INDEX", "index", "public", None, "CREATE INDEX idx_sites_code ON public.sites (code)"),
     ], changelog.LOG_SCHEMA)
-    objs = spark.createDataFrame([("public.users",), ("public.missing_table",), ("public.idx_users_email",)],
+    objs = spark.createDataFrame([("public.sites",), ("public.nowhere",), ("public.idx_sites_code",)],
                                  "object_name string")
     exact = {r.object_name: r.command for r in changelog.newest_change(log, objs).collect()}
-    assert exact == {"public.users": "ALTER TABLE public.users ADD COLUMN bio TEXT"}
+    assert exact == {"public.sites": "ALTER TABLE public.sites ADD COLUMN note TEXT"}
     loose = {r.object_name: r.id for r in changelog.newest_change(log, objs, match="loose").collect()}
-    assert loose == {"public.users": 4, "public.idx_users_email": 4}
+    assert loose == {"public.sites": 4, "public.idx_sites_code": 4}
     lines = [r.line for r in changelog.status_lines(log, "dev").orderBy("id").collect()]
-    assert lines[0] == "CREATE TABLE table public.users" and lines[3] == "CREATE INDEX index "
+    assert lines[0] == "CREATE TABLE table public.sites" and lines[3] == "CREATE INDEX index "
 
 
 def test_log_tail_stream(spark, tmp_root):
     from branchwise.streaming.logtail import tail_status
-    log = spark.createDataFrame([("dev", 1, None, "CREATE TABLE", "table", "public", "public.users", "c")],
+    log = spark.createDataFrame([("dev", 1, None, "CREATE TABLE", "table", "public", "public.sites", "c")],
                                 changelog.LOG_SCHEMA)
     log.write.parquet(tmp_root + "/log/part1")
     q = tail_status(spark, tmp_root + "/log/part1", tmp_root + "/status", checkpoint=tmp_root + "/ckpt")
     q.awaitTermination(120)
     lines = [r.line for r in spark.read.parquet(tmp_root + "/status").collect()]
-    assert lines == ["CREATE TABLE table public.users"]
+    assert lines == ["CREATE TABLE table public.sites"]
