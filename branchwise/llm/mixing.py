@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from branchwise.llm.common import WORD, table, written
 
 MAX_EPOCHS = 3
-SLOTS = 1 << 20
+SLOTS = 1 << 16
 BUCKET_ROWS = 4096
 CHUNK = 4096
 GOLDEN = 0.6180339887498949
