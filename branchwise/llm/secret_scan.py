@@ -22,6 +22,8 @@ row. Empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ KINDS = {
     "assign": (ASSIGN, "secret"),
     "access": (r"AKIA[A-Z0-9]{16,}", "identifier"),
     "hex": (r"[0-9a-f]{24,}", "secret"),
-    "key40": (r"(?<![A-Za-z0-9+/=])(?=[^A-Z\n]{0,39}[A-Z])(?=[^a-z\n]{0,39}[a-z])(?=[^0-9\n]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
+    "key40": (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=]))(?=[^A-Z]{0,39}[A-Z])(?=[^a-z]{0,39}[a-z])(?=[^0-9]{0,39}[0-9])"
+              r"[A-Za-z0-9+/]{40}",
               "secret"),
     "value": (r"""(?i)\b(?:pwd|passphrase|credentials?|auth|private_?key)["']?\x20*[:=]\x20*["']?[^\s"'<>]{6,}""", "secret"),
     "ident": (r"""(?i)\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""",
@@ -51,32 +54,45 @@ RANK = {k: n for n, k in enumerate(KINDS)}
 NEEDS = {"secret": ("identifier",), "identifier": ("secret",), "endpoint": ("identifier", "secret")}
 
 
+def hit(text: Column, kind: str) -> Column:
+    """Does the kind's pattern match? What every match of it holds is looked for first, which is much cheaper."""
+    pattern = KINDS[kind][0]
+    if kind == "access":
+        return text.contains("AKIA") & text.rlike(pattern)
+    if kind in ("hex", "key40"):
+        return text.rlike(pattern)
+    return (text.contains("=") | text.contains(":")) & text.rlike(pattern)
+
+
 def suspect(text: Column) -> Column:
     """Does any pattern match?"""
-    return F.coalesce(F.greatest(*(text.rlike(p) for p, _ in KINDS.values())), F.lit(False))
+    return F.coalesce(reduce(Column.__or__, (hit(text, k) for k in KINDS)), F.lit(False))
 
 
 def text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _matches(text: Column, kind: str, pattern: str) -> Column:
+def _matches(text: Column, kind: str) -> Column:
     """Array of (kind, gap, size, good): what lies before each match, its length, is it long enough."""
+    pattern = BREAK if kind == "break" else KINDS[kind][0]
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     good = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda v: F.length(v) >= LEAST_VALUE) \
         if kind == "assign" else F.transform(hits, lambda h: F.lit(True))
     found = F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h"), good.alias("k")), lambda z: F.struct(
         F.lit(kind).alias("kind"), F.length(z["g"]).alias("gap"), F.length(z["h"]).alias("size"), z["k"].alias("good")))
-    return F.when(text.rlike(pattern), F.slice(found, 1, F.size(hits)))
+    return F.when(text.rlike(pattern) if kind == "break" else hit(text, kind), F.slice(found, 1, F.size(hits)))
+
+
+def matches(text: Column) -> Column:
+    """What ``_matches`` gives for each kind and for blank lines; null for a text without a finding or part."""
+    found = F.array_compact(F.array(*(_matches(text, k) for k in (*KINDS, "break"))))
+    return F.when(suspect(text), found)
 
 
-def spans(texts: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
-    """key (``text_key``) and found, the sorted (start, rank, kind, end) of each text that has a finding."""
-    t = F.col("t")
-    seen = texts.select(F.col(f"`{text}`").cast("string").alias("t")).where(suspect(t))
-    kinds = {k: p for k, (p, _) in KINDS.items()} | {"break": BREAK}
-    seen = seen.select(text_key(t).alias("key"), F.array_compact(F.array(*(_matches(t, k, p) for k, p in kinds.items()))).alias("m"))
-    seen = written(seen.dropDuplicates(["key"]), "secret-matches")
+def spans(seen: DataFrame, reach: int = REACH) -> DataFrame:
+    """key and found, the sorted (start, rank, kind, end) of each text that has a finding; seen: key, m (``matches``)."""
+    seen = seen.select("key", "m").dropDuplicates(["key"])
     rows = seen.select("key", F.explode("m").alias("m")).select("key", F.posexplode("m").alias("n", "m")).select("key", "n", "m.*")
     along = Window.partitionBy("key", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum((F.col("gap") + F.col("size")).cast("long")).over(along))
@@ -116,9 +132,10 @@ def scan(df: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
     """The other columns of ``df`` with found: the sorted (start, rank, kind, end) of each row's text."""
     keep = [c for c in df.columns if c not in (text, "found")]
     t = F.col(f"`{text}`").cast("string")
-    rows = df.select(*(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep), F.when(suspect(t), text_key(t)).alias("__key"))
+    rows = df.select(*(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep), matches(t).alias("m"), t.alias("t"))
+    rows = rows.withColumn("__key", F.when(F.col("m").isNotNull(), text_key(F.col("t")))).drop("t")
     rows = written(rows, "secret-rows")
-    found = spans(df.select(F.col(f"`{text}`").alias("text")), "text", reach)
+    found = spans(rows.where("__key is not null").select(F.col("__key").alias("key"), "m"), reach)
     none = F.array().cast(found.schema["found"].dataType)
     with_match = rows.where("__key is not null").join(found, F.col("__key") == F.col("key"), "left")
     out = with_match.select(*(F.col(f"`kept_{c}`").alias(c) for c in keep), F.coalesce("found", none).alias("found"))
@@ -128,7 +145,8 @@ def scan(df: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
 def mask(df: DataFrame, text: str = "text", mark: str = "[redacted]", reach: int = REACH) -> DataFrame:
     """``df`` with every finding in ``text`` replaced by ``mark``; overlapping findings become one."""
     t = F.col(f"`{text}`").cast("string")
-    found = spans(df.select(t.alias("text")), "text", reach)
+    seen = df.where(suspect(t)).select(text_key(t).alias("key"), matches(t).alias("m"))
+    found = spans(written(seen, "secret-matches"), reach)
     # runs of overlapping findings: a finding begins one if none before it reaches it
     merged = F.aggregate(
         "found", F.array().cast("array<struct<s:bigint,e:bigint>>"),
