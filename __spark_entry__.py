@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,21 +17,21 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracles as O  # noqa: E402
 import scenario as S  # noqa: E402
+from branchwise.functions.local import local_frame  # noqa: E402
 from branchwise.functions.names import qualify  # noqa: E402
-from branchwise.operators import changelog  # noqa: E402
 from branchwise.operators.checks import check_constraints  # noqa: E402
 from branchwise.operators.datadiff import compare_data, data_change_lines, divergent_tables  # noqa: E402
 from branchwise.operators.evolve import ColumnOp, evolve  # noqa: E402
 from branchwise.operators.fingerprint import fingerprint, fingerprint_all  # noqa: E402
+from branchwise.operators.impact import profile, with_impact  # noqa: E402
 from branchwise.operators.rows import inserted_counts, merge_rows, new_rows  # noqa: E402
 from branchwise.operators.schemadiff import schema_diff  # noqa: E402
 from branchwise.plans.data_plan import key_frame, plan_data  # noqa: E402
-from branchwise.plans.merge import merge  # noqa: E402
+from branchwise.plans.merge import diff_branch, merge  # noqa: E402
 from branchwise.plans.schema_plan import plan_schema  # noqa: E402
 from branchwise.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
-from branchwise.sources import registry  # noqa: E402
 from branchwise.sources.namespace import Namespace, copy_namespace  # noqa: E402
-from branchwise.sources.snapshot import from_json, take_snapshot, to_json  # noqa: E402
+from branchwise.sources.snapshot import take_snapshot  # noqa: E402
 from branchwise.sources.spec import ForeignKey, TableSpec  # noqa: E402
 
 try:  # the training-data operators are an optional subpackage
@@ -41,7 +40,6 @@ except ImportError:
     llm_queries = None
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
-LOG_TIME = "2024-01-02 03:04:05"
 
 
 # ---------------------------------------------------------------------------------------------
@@ -68,12 +66,11 @@ def _changes(spark, sf, side):
 
 
 def _plan(spark, sf, resolve):
+    """Plan and conflicts, with what they mean for main's rows."""
     ops, conflicts = plan_schema(_changes(spark, sf, "main"), _changes(spark, sf, "branch"), resolve)
-    return ops, conflicts
-
-
-def _plan_cols(ops: DataFrame) -> DataFrame:
-    return ops.select("object_kind", "object_name", "change_type", "detail", "description", "status")
+    ops = with_impact(ops, S.evolved_namespace(spark, sf, "main"))
+    return ops.select("object_kind", "object_name", "change_type", "detail", "description", "status", "parent",
+                      "rows_affected", "rows_failing"), conflicts
 
 
 def _data_plan(spark, sf, only_meta=False, meta=None):
@@ -82,7 +79,8 @@ def _data_plan(spark, sf, only_meta=False, meta=None):
     m, b = _ns(spark, sf, "main"), _ns(spark, sf, "branch")
     only = [n for n in b if n.split(".", 1)[1] in (meta or [])] if only_meta else None
     # With data merge off only bookkeeping tables are fingerprinted; nothing else is read.
-    p = plan_data(fingerprint_all(m, only), fingerprint_all(b, only), mk, bk, meta, only_meta)
+    p = plan_data(fingerprint_all(m, only), fingerprint_all(b, only), mk, bk, meta, only_meta,
+                  _snap(spark, sf, "base").tables)
     return p.select("table", "operation", "row_key", "status",
                     F.array_join("pk_columns", ",").alias("key_columns"), "branch_rows", "main_rows", "new_table")
 
@@ -91,10 +89,6 @@ def _side(spark, sf, side, t):
     return S.side_table(spark, sf, side, t)
 
 
-def _log(spark, sf):
-    return changelog.entries_from_changes(_changes(spark, sf, "branch"), "dev", LOG_TIME)
-
-
 # ---------------------------------------------------------------------------------------------
 # queries
 
@@ -102,12 +96,12 @@ def q_fingerprint(table):
     return lambda spark, sf: fingerprint(S.read_table(spark, sf, table))
 
 
-def q_fingerprint_all_main(spark, sf):
-    return _fp_side(spark, sf, "main")
+def q_fingerprint_all_tables(spark, sf):
+    return fingerprint_all(_all_tables(spark, sf))
 
 
 def q_fingerprint_empty(spark, sf):
-    return fingerprint(S.read_table(spark, sf, "region").filter(F.lit(False)))
+    return fingerprint(S.read_table(spark, sf, "region").filter("r_regionkey < 0"))
 
 
 def q_compare_tables(spark, sf):
@@ -136,8 +130,10 @@ def q_merged_orders(spark, sf):
 
 
 def q_merged_new_table_labels(spark, sf):
+    # main holds a third of the rows, with another quality; the rest is new
     b = _side(spark, sf, "branch", "labels")
-    return merge_rows(b.filter(F.lit(False)), b, ["doc_id"])
+    main = b.filter("doc_id % 3 = 0").withColumn("quality", 1 - F.col("quality"))
+    return merge_rows(main, b, ["doc_id"])
 
 
 def q_inserted_counts(spark, sf):
@@ -163,41 +159,50 @@ def _all_tables(spark, sf):
 
 
 def q_table_list(spark, sf):
-    return take_snapshot(_all_tables(spark, sf), S.base_specs(), spark).tables
+    """Tables of the snapshot with their rows."""
+    tables = _all_tables(spark, sf)
+    rows = profile(tables).groupBy("table").agg(F.max("row_count").alias("row_count"))
+    listed = take_snapshot(tables, S.base_specs(), spark).tables
+    return listed.join(rows, F.concat_ws(".", "schema", "name") == F.col("table")).select("schema", "name", "row_count")
 
 
 def q_column_snapshot(spark, sf):
-    return take_snapshot(_all_tables(spark, sf), S.base_specs(), spark).columns
-
-
-def q_snapshot_json_roundtrip(spark, sf):
-    return from_json(to_json(take_snapshot(_all_tables(spark, sf), S.base_specs(), spark))).columns
+    """Columns of the snapshot with their rows and NULLs."""
+    tables = _all_tables(spark, sf)
+    listed = take_snapshot(tables, S.base_specs(), spark).columns.withColumnRenamed("table", "t")
+    p = profile(tables)
+    return listed.join(p, (F.concat_ws(".", "schema", "t") == F.col("table")) & (F.col("name") == F.col("column"))).select(
+        "schema", F.col("t").alias("table"), "name", "data_type", "is_nullable", "ordinal_position", "row_count", "null_count")
 
 
 def _diff_kind(kind):
     def q(spark, sf):
-        return _changes(spark, sf, "branch").filter(F.col("object_kind") == kind).drop("group_rank")
+        changes = _changes(spark, sf, "branch").filter(F.col("object_kind") == kind).drop("group_rank")
+        return with_impact(changes, S.evolved_namespace(spark, sf, "base"))
     return q
 
 
-def q_schema_merge_plan(spark, sf):
-    return _plan_cols(_plan(spark, sf, None)[0])
-
-
-def q_schema_merge_branch_wins(spark, sf):
-    return _plan_cols(_plan(spark, sf, "branch")[0])
-
-
-def q_schema_merge_main_wins(spark, sf):
-    return _plan_cols(_plan(spark, sf, "main")[0])
+def q_schema_plan(resolve):
+    return lambda spark, sf: _plan(spark, sf, resolve)[0]
 
 
 def q_schema_conflicts(spark, sf):
-    return _plan(spark, sf, None)[1]
+    plan, conflicts = _plan(spark, sf, None)
+    rows = plan.select("object_name", "rows_affected").distinct()
+    return conflicts.join(rows, "object_name")
 
 
 def q_implied_children_skipped(spark, sf):
-    return _plan_cols(_plan(spark, sf, None)[0]).filter(F.col("description").endswith(" (included in table DDL)"))
+    return _plan(spark, sf, None)[0].filter(F.col("description").contains(" (included in table "))
+
+
+def q_diff_branch(spark, sf):
+    """The diff report's data side, once on all columns and once on those that both sides have."""
+    base = _snap(spark, sf, "base")
+    main, branch = S.evolved_namespace(spark, sf, "main"), S.evolved_namespace(spark, sf, "branch")
+    whole = diff_branch(base, main, branch, S.side_specs("branch"))[1]
+    shared = diff_branch(base, main, branch, S.side_specs("branch"), common_columns=True)[1]
+    return whole.join(shared.select("schema", "table", F.col("has_change").alias("common_change")), ["schema", "table"])
 
 
 def q_evolve_add_column(spark, sf):
@@ -238,38 +243,49 @@ def q_check_predicate(spark, sf):
         "lineitem_ship_check": "l_shipdate >= TIMESTAMP_NTZ '1995-01-01 00:00:00'"})})
 
 
-def q_log_ordered(spark, sf):
-    return changelog.read_log(_log(spark, sf), "dev").select("id", "command_tag", "object_type", "schema_name",
-                                                              "object_identity", "command")
+def q_check_unique(spark, sf):
+    return check_constraints({"events": S.read_table(spark, sf, "events")},
+                             {"events": TableSpec(unique={"events_user_type_key": ["user_id", "event_type"]})})
 
 
-def q_log_newest_per_object(spark, sf):
-    log = _log(spark, sf)
-    objs = _changes(spark, sf, "branch").select("object_name")
-    return changelog.newest_change(log, objs, match="loose")
+def q_check_fk_composite(spark, sf):
+    turns = S.read_table(spark, sf, "conversations")
+    answers = turns.filter("turn > 0").withColumn("before", F.col("turn") - 1)
+    questions = turns.filter("role <> 'system'")
+    spec = TableSpec(foreign_keys={"answers_turn_fkey": ForeignKey(["conv_id", "before"], "questions", ["conv_id", "turn"])})
+    return check_constraints({"answers": answers, "questions": questions}, {"answers": spec})
 
 
-def q_branch_list(spark, sf):
-    # One registry row per derived namespace; creation time and parent from the data itself.
-    reg = registry.empty_registry(spark)
-    for i, side in enumerate(("main", "branch")):
-        snap = take_snapshot(S.evolved_namespace(spark, sf, side), S.side_specs(side), spark)
-        reg = registry.register_branch(reg, f"{side}-copy", f"/{side}", "main", snap,
-                                       created_at=f"2024-01-0{i + 1} 00:00:00")
-    return registry.list_branches(reg, current="branch-copy").select("name", "db_name", "parent_db", "is_current")
+def q_check_fk_self_append(spark, sf):
+    """New rows of a table that refers to itself, against all of its rows."""
+    every = S.read_table(spark, sf, "conversations").withColumn("before", F.when(F.col("turn") > 0, F.col("turn") - 1))
+    kept = every.filter("(conv_id + turn) % 5 <> 1")
+    spec = TableSpec(foreign_keys={"turns_before_fkey": ForeignKey(["conv_id", "before"], "turns", ["conv_id", "turn"])})
+    return check_constraints({"turns": kept.filter("turn > 1")}, {"turns": spec}, parents={"public.turns": kept})
 
 
 def q_branch_copy_proof(spark, sf):
-    return copy_namespace(_ns(spark, sf, "base"), scratch_path(spark, "copy"))
+    return copy_namespace(_all_tables(spark, sf), scratch_path(spark, "copy"), specs=S.base_specs())
+
+
+def _merged(spark, sf):
+    """The scenario's branch merged into its main, both committed namespaces; the branch wins conflicts."""
+    root = scratch_path(spark, "merge")
+    main, branch = (S.commit_side(spark, sf, side, f"{root}/{side}") for side in ("main", "branch"))
+    merge(_snap(spark, sf, "base"), main, branch, target=f"{root}/merged", resolve="branch")
+    return Namespace.load(spark, f"{root}/merged")
 
 
 def q_merge_orders_end_to_end(spark, sf):
-    base = _snap(spark, sf, "base")
-    main = Namespace(S.evolved_namespace(spark, sf, "main"), specs=S.side_specs("main"))
-    branch = Namespace(S.evolved_namespace(spark, sf, "branch"), specs=S.side_specs("branch"))
-    target = scratch_path(spark, "merge")
-    merge(base, main, branch, target=target, resolve="branch")
-    return Namespace.load(spark, target).tables["public.orders"]
+    return _merged(spark, sf).tables["public.orders"]
+
+
+def q_merge_namespace_fingerprints(spark, sf):
+    """Rows, digest, key and constraint names of every table after the merge, as a reader finds them."""
+    merged = _merged(spark, sf)
+    names = local_frame(spark, [(*n.split(".", 1), ",".join(s.primary_key), ",".join(sorted([*s.checks, *s.foreign_keys, *s.indexes])))
+                                for n, s in merged.specs.items()], "schema string, table string, key_columns string, named string")
+    return fingerprint_all(merged.tables).join(names, ["schema", "table"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -277,7 +293,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fingerprint_orders": q_fingerprint("orders"),
         "fingerprint_lineitem": q_fingerprint("lineitem"),
         "fingerprint_documents": q_fingerprint("documents"),
-        "fingerprint_all_main": q_fingerprint_all_main,
+        "fingerprint_embeddings": q_fingerprint("embeddings"),
+        "fingerprint_all_main": q_fingerprint_all_tables,
         "fingerprint_empty": q_fingerprint_empty,
         "compare_tables": q_compare_tables,
         "divergent_tables": q_divergent_tables,
@@ -291,14 +308,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "data_merge_plan_no_data": q_data_merge_plan_no_data,
         "table_list": q_table_list,
         "column_snapshot": q_column_snapshot,
-        "snapshot_json_roundtrip": q_snapshot_json_roundtrip,
         "schema_diff_tables": _diff_kind("table"),
         "schema_diff_columns": _diff_kind("column"),
         "schema_diff_indexes": _diff_kind("index"),
         "schema_diff_constraints": _diff_kind("constraint"),
-        "schema_merge_plan": q_schema_merge_plan,
-        "schema_merge_branch_wins": q_schema_merge_branch_wins,
-        "schema_merge_main_wins": q_schema_merge_main_wins,
+        "schema_merge_plan": q_schema_plan(None),
+        "schema_merge_branch_wins": q_schema_plan("branch"),
+        "schema_merge_main_wins": q_schema_plan("main"),
         "schema_conflicts": q_schema_conflicts,
         "implied_children_skipped": q_implied_children_skipped,
         "evolve_add_column": q_evolve_add_column,
@@ -308,11 +324,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "check_fk_orders": q_check_fk_orders,
         "check_not_null": q_check_not_null,
         "check_predicate": q_check_predicate,
-        "log_ordered": q_log_ordered,
-        "log_newest_per_object": q_log_newest_per_object,
-        "branch_list": q_branch_list,
+        "check_unique": q_check_unique,
+        "check_fk_composite": q_check_fk_composite,
+        "check_fk_self_append": q_check_fk_self_append,
+        "diff_branch": q_diff_branch,
         "branch_copy_proof": q_branch_copy_proof,
         "merge_orders_end_to_end": q_merge_orders_end_to_end,
+        "merge_namespace_fingerprints": q_merge_namespace_fingerprints,
     }
     if llm_queries is not None:
         out |= llm_queries.queries()
@@ -358,97 +376,142 @@ def _anti_sql(t, keys):
 
 
 def _keys_sql(side):
-    rows = [("public", n.split(".", 1)[1], ",".join(k)) for n, k in _keys(side).items() if k]
-    return O._values(rows, ["schema", "tname", "key_columns"], ["VARCHAR"] * 3)
+    rows = [("public", t, ",".join(S.KEYS[t])) for t in S.side_tables(side) if t in S.KEYS]
+    return f"SELECT * FROM {O.values(rows, 'schema, tname, key_columns')}"
 
 
 def _data_plan_sql(only_meta=False, meta=None):
-    meta_filter = ""
+    meta_filter, was = "", ", ".join(O.lit(t) for t in S.side_tables("base"))
     if only_meta:
-        names = ", ".join(O._lit(m) for m in meta)
+        names = ", ".join(O.lit(m) for m in meta)
         meta_filter = f"WHERE (b.\"table\" IN ({names}) OR b.schema || '.' || b.\"table\" IN ({names}))"
     return (f"WITH m AS ({_fp_all_sql('main')}), b AS ({_fp_all_sql('branch')}), "
             f"mk AS ({_keys_sql('main')}), bk AS ({_keys_sql('branch')}), "
             f"j AS (SELECT b.schema, b.\"table\", b.row_count AS branch_rows, m.row_count AS main_rows, "
-            f"m.checksum IS NULL AS new_table, b.checksum AS b_sum, m.checksum AS m_sum, "
+            f"m.checksum IS NULL AS new_table, m.checksum IS NULL AND b.\"table\" IN ({was}) AS dropped, b.checksum AS b_sum, m.checksum AS m_sum, "
             f"CASE WHEN m.checksum IS NULL THEN bk.key_columns ELSE mk.key_columns END AS pk "
             f"FROM b LEFT JOIN m ON m.schema = b.schema AND m.\"table\" = b.\"table\" "
             f"LEFT JOIN mk ON mk.schema = b.schema AND mk.tname = b.\"table\" "
             f"LEFT JOIN bk ON bk.schema = b.schema AND bk.tname = b.\"table\" {meta_filter}) "
             f"SELECT schema || '.' || \"table\" AS \"table\", "
             f"CASE WHEN pk IS NOT NULL THEN 'INSERT_PK' ELSE 'SYNC' END AS operation, "
-            f"(CASE WHEN new_table THEN branch_rows || ' row(s) (new table)' "
+            f"(CASE WHEN dropped THEN branch_rows || ' row(s) (dropped on main)' WHEN new_table THEN branch_rows || ' row(s) (new table)' "
             f"ELSE branch_rows || ' rows (branch) vs ' || main_rows || ' rows (main)' END) || "
-            f"CASE WHEN pk IS NULL THEN ' (no primary key)' ELSE '' END AS row_key, 'ok' AS status, "
+            f"CASE WHEN pk IS NULL THEN ' (no primary key)' ELSE '' END AS row_key, CASE WHEN dropped THEN 'conflict' ELSE 'ok' END AS status, "
             f"coalesce(pk, '') AS key_columns, branch_rows, coalesce(main_rows, 0) AS main_rows, new_table "
             f"FROM j WHERE (new_table AND branch_rows > 0) OR (NOT new_table AND b_sum <> m_sum)")
 
 
-def _snap_ctes(p, side):
-    tables = S.side_tables(side)
-    return O.duck_snapshot_ctes(p, tables, S.side_specs(side), S.COLUMN_EDITS.get(side, {}))
-
-
-def _changes_ctes(side, out):
-    return f"{_snap_ctes(out + 'b', 'base')}, {_snap_ctes(out + 'c', side)}, " + O.duck_diff_ctes(out, out + "b",
-                                                                                                   out + "c")
-
-
-def _plan_sql(resolve, select=None):
-    ctes = f"WITH {_changes_ctes('main', 'mch')}, {_changes_ctes('branch', 'bch')}, " \
-           f"{O.duck_plan_cte('pl', 'mch', 'bch', resolve)} "
-    return ctes + (select or "SELECT object_kind, object_name, change_type, detail, description, status FROM pl")
-
-
-def _all_snapshot_sql(what):
-    tables = S.TABLES
-    specs = S.base_specs()
-    if what == "tables":
-        return O.duck_tables(tables)
-    return O.duck_columns(tables, specs, {})
-
-
-def _log_cte():
-    # change -> log entry, numbered in report order
-    tag = ("CASE WHEN object_kind = 'table' AND change_type = 'added' THEN 'CREATE TABLE' "
-           "WHEN object_kind = 'table' THEN 'DROP TABLE' WHEN object_kind = 'column' THEN 'ALTER TABLE' "
-           "WHEN object_kind = 'index' AND change_type = 'removed' THEN 'DROP INDEX' "
-           "WHEN object_kind = 'index' THEN 'CREATE INDEX' ELSE 'ALTER TABLE' END")
-    last = "string_split(object_name, '.')[-1]"
-    cmd = (f"CASE WHEN object_kind = 'table' AND change_type = 'added' THEN 'CREATE TABLE ' || object_name || "
-           f"' (' || coalesce(new_value, '') || ')' "
-           f"WHEN object_kind = 'table' THEN 'DROP TABLE ' || object_name "
-           f"WHEN object_kind = 'column' AND change_type = 'added' THEN 'ALTER TABLE ' || parent || ' ADD COLUMN ' || "
-           f"{last} || ' ' || new_value "
-           f"WHEN object_kind = 'column' AND change_type = 'removed' THEN 'ALTER TABLE ' || parent || ' DROP COLUMN ' || "
-           f"{last} "
-           f"WHEN object_kind = 'column' AND change_rank = 0 THEN 'ALTER TABLE ' || parent || ' ALTER COLUMN ' || "
-           f"{last} || ' TYPE ' || new_value "
-           f"WHEN object_kind = 'column' AND change_rank = 1 THEN 'ALTER TABLE ' || parent || ' ALTER COLUMN ' || "
-           f"{last} || ' ' || CASE WHEN new_value = 'true' THEN 'DROP' ELSE 'SET' END || ' NOT NULL' "
-           f"WHEN object_kind = 'column' THEN 'ALTER TABLE ' || parent || ' ALTER COLUMN ' || {last} || "
-           f"' SET DEFAULT ' || coalesce(new_value, 'NULL') "
-           f"WHEN object_kind = 'index' AND change_type = 'removed' THEN 'DROP INDEX ' || object_name "
-           f"WHEN object_kind = 'index' THEN new_value "
-           f"WHEN change_type = 'removed' THEN 'ALTER TABLE ' || parent || ' DROP CONSTRAINT ' || {last} "
-           f"ELSE 'ALTER TABLE ' || parent || ' ADD CONSTRAINT ' || {last} || ' ' || new_value END")
-    return (f"WITH {_changes_ctes('branch', 'bch')}, "
-            f"lg AS (SELECT CAST(row_number() OVER (ORDER BY group_rank, object_name, change_rank, detail) AS BIGINT) "
-            f"AS id, {tag} AS command_tag, CASE WHEN object_kind = 'column' THEN 'table column' ELSE object_kind END "
-            f"AS object_type, string_split(object_name, '.')[1] AS schema_name, "
-            f"CASE WHEN object_kind = 'column' THEN object_name ELSE object_name END AS object_identity, "
-            f"{cmd} AS command FROM bch) ")
-
-
-def _newest_sql():
-    sfx = ("list_concat([o.object_name], CASE WHEN len(string_split(o.object_name, '.')) > 1 THEN "
-           "list_transform(range(1, len(string_split(o.object_name, '.'))), lambda k: "
-           "array_to_string(string_split(o.object_name, '.')[-k:], '.')) ELSE [] END)")
-    return (_log_cte() + f", objs AS (SELECT DISTINCT object_name FROM bch), "
-            f"refs AS (SELECT o.object_name, unnest({sfx}) AS ref FROM objs o) "
-            f"SELECT r.object_name, max(l.id) AS id, arg_max(l.command, l.id) AS command FROM refs r JOIN lg l "
-            f"ON r.object_name = l.object_identity OR contains(l.command, r.ref) WHERE r.ref <> '' "
-            f"GROUP BY r.object_name")
+def _rows_sql(side, t):
+    source = S.side_sql(side, t)
+    return f"(SELECT count(*) FROM {source})" if source else "CAST(0 AS BIGINT)"
+
+
+def _impact_sql(side):
+    """Rows per parent table, and the values that a change of a column would lose."""
+    parents = sorted({r[7] for r in O.CHANGES})
+    return (f"n AS (SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT {O.lit(p)} AS parent, {_rows_sql(side, p.split('.')[1])} AS rows_affected" for p in parents) + ")), "
+        f"f AS (SELECT 'public.part.p_name' AS object_name, count(*) FILTER (WHERE p_name IS NULL) AS rows_failing FROM part "
+        f"UNION ALL SELECT 'public.supplier.s_nationkey', count(*) FILTER (WHERE s_nationkey IS NOT NULL AND "
+        f"TRY_CAST(s_nationkey AS BIGINT) IS NULL) FROM supplier)")
+
+
+def _plan_sql(resolve, where="true"):
+    rows = O.planned(resolve)
+    return (f"WITH {_impact_sql('main')}, p AS (SELECT * FROM {O.values(rows, 'object_kind, object_name, change_type, change_rank, detail, parent, new_value, description, status, main_side')}) "
+            f"SELECT object_kind, object_name, change_type, detail, description, status, parent, rows_affected, "
+            f"coalesce(rows_failing, 0) AS rows_failing FROM p JOIN n USING (parent) LEFT JOIN f USING (object_name) WHERE {where}")
+
+
+def _diff_sql(kind):
+    rows = [r[:8] for r in O.CHANGES if r[0] == kind]
+    return (f"WITH {_impact_sql('base')}, d AS (SELECT * FROM {O.values(rows, 'object_kind, object_name, change_type, change_rank, detail, base_value, new_value, parent')}) "
+            f"SELECT change_type, object_kind, object_name, detail, CAST(base_value AS VARCHAR) AS base_value, CAST(new_value AS VARCHAR) AS new_value, "
+            f"parent, CAST(change_rank AS INTEGER) AS change_rank, rows_affected, coalesce(rows_failing, 0) AS rows_failing "
+            f"FROM d JOIN n USING (parent) LEFT JOIN f USING (object_name)")
+
+
+def _columns_sql():
+    parts = []
+    for t in S.TABLES:
+        for k, (c, kind) in enumerate(_cols(t), start=1):
+            free = "false" if c in S.KEYS.get(t, ()) else "true"
+            parts.append(f"SELECT 'public' AS schema, '{t}' AS \"table\", '{c}' AS name, '{kind}' AS data_type, {free} AS is_nullable, "
+                         f"CAST({k} AS INTEGER) AS ordinal_position, count(*) AS row_count, count(*) - count({c}) AS null_count FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+def _all_fp_sql():
+    return " UNION ALL ".join(f"SELECT 'public' AS schema, '{t}' AS \"table\", row_count, checksum FROM "
+                              f"({O.duck_fingerprint(t, _cols(t))})" for t in S.TABLES)
+
+
+#: The scenario's column edits per side and table, for DuckDB: (select list, columns).
+def _evolved(side, t):
+    cols, source = list(_cols(t)), S.side_sql(side, t)
+    if source is None:
+        return None
+    if t == "supplier" and side != "base":
+        cols = [(c, "bigint" if c == "s_nationkey" else k) for c, k in cols]
+    if t == "customer" and side == "branch":
+        cols = [x for x in cols if x[0] != "c_mktsegment"]
+    extra = {("main", "orders"): ("o_channel", "int", "CAST(NULL AS INTEGER)"), ("branch", "orders"): ("o_channel", "string", "'web'"),
+             ("main", "part"): ("p_note", "string", "CAST(NULL AS VARCHAR)")}.get((side, t))
+    names = ", ".join(c for c, _ in cols)
+    if extra:
+        return f"(SELECT {names}, {extra[2]} AS {extra[0]} FROM {source})", [*cols, extra[:2]]
+    return f"(SELECT {names} FROM {source})", cols
+
+
+def _diff_branch_sql():
+    parts = []
+    for t in S.TABLES:
+        a, b = _evolved("main", t), _evolved("branch", t)
+        if not a and not b:
+            continue
+        if not a or not b:
+            here = (a or b)[0]
+            rows = f"(SELECT count(*) FROM {here})"
+            change = "true" if a else f"{rows} > 0"
+            parts.append(f"SELECT 'public' AS schema, '{t}' AS \"table\", {rows if a else 'CAST(0 AS BIGINT)'} AS base_rows, "
+                         f"{rows if b else 'CAST(0 AS BIGINT)'} AS curr_rows, {change} AS has_change, {change} AS common_change")
+            continue
+        both = [x for x in a[1] if x in b[1]]
+        fp = lambda e, cols: f"(SELECT checksum FROM ({O.duck_fingerprint(e, cols)}))"
+        parts.append(f"SELECT 'public', '{t}', (SELECT count(*) FROM {a[0]}), (SELECT count(*) FROM {b[0]}), "
+                     f"{fp(*a)} <> {fp(*b)}, {fp(a[0], both)} <> {fp(b[0], both)}")
+    return (f"SELECT * FROM ({' UNION ALL '.join(parts)}) d(schema, \"table\", base_rows, curr_rows, has_change, common_change)")
+
+
+def _merged_sql():
+    """Every table after the merge (the branch wins): rows by the rules of the scenario, keys and names by hand."""
+    named = {"orders": "idx_orders_cust,orders_custkey_fkey,orders_price_check", "customer": "customer_nation_fkey",
+             "events": "idx_events_user", "lineitem": "idx_lineitem_ship"}
+    parts = []
+    for t in S.TABLES:
+        if t in ("pages", "embeddings"):  # dropped on the branch, and on both sides
+            continue
+        cols = list(_cols(t))
+        main, branch = S.side_sql("main", t), S.side_sql("branch", t)
+        if main is None:
+            source = branch
+        elif t in S.KEYS and t not in ("region",):
+            source = f"(SELECT * FROM {main} UNION ALL {_anti_sql(t, S.KEYS[t])})"
+        else:
+            source = main
+        if t == "orders":
+            names = ", ".join(c for c, _ in cols)
+            source = (f"(SELECT {names}, CAST(NULL AS VARCHAR) AS o_channel FROM {main} UNION ALL "
+                      f"SELECT {names}, 'web' FROM ({_anti_sql('orders', ['o_orderkey'])}))")
+            cols.append(("o_channel", "string"))
+        if t == "part":
+            source, cols = f"(SELECT *, CAST(NULL AS VARCHAR) AS p_note FROM {source})", [*cols, ("p_note", "string")]
+        if t == "customer":
+            cols = [x for x in cols if x[0] != "c_mktsegment"]
+        parts.append(f"SELECT 'public' AS schema, '{t}' AS \"table\", row_count, checksum, '{','.join(S.KEYS.get(t, []))}' AS key_columns, "
+                     f"'{named.get(t, '')}' AS named FROM ({O.duck_fingerprint(source, cols)})")
+    return " UNION ALL ".join(parts)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -457,8 +520,9 @@ def oracle_sql() -> dict[str, str]:
         "fingerprint_orders": O.duck_fingerprint("orders", _cols("orders")),
         "fingerprint_lineitem": O.duck_fingerprint("lineitem", _cols("lineitem")),
         "fingerprint_documents": O.duck_fingerprint("documents", _cols("documents")),
-        "fingerprint_all_main": _fp_all_sql("main"),
-        "fingerprint_empty": O.duck_fingerprint("(SELECT * FROM region WHERE false)", _cols("region")),
+        "fingerprint_embeddings": O.duck_fingerprint("embeddings", _cols("embeddings")),
+        "fingerprint_all_main": _all_fp_sql(),
+        "fingerprint_empty": O.duck_fingerprint("(SELECT * FROM region WHERE r_regionkey < 0)", _cols("region")),
         "compare_tables": _compare_sql(),
         "divergent_tables": (f"WITH m AS ({_fp_all_sql('main')}), b AS ({_fp_all_sql('branch')}) "
                              f"SELECT m.schema, m.\"table\", m.row_count AS main_rows, b.row_count AS branch_rows "
@@ -471,23 +535,28 @@ def oracle_sql() -> dict[str, str]:
         "new_rows_orders": _anti_sql("orders", ["o_orderkey"]),
         "new_rows_conversations": _anti_sql("conversations", ["conv_id", "turn"]),
         "merged_orders": f"SELECT * FROM {S.side_sql('main', 'orders')} UNION ALL {_anti_sql('orders', ['o_orderkey'])}",
-        "merged_new_table_labels": "SELECT * FROM labels",
+        "merged_new_table_labels": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels",
         "inserted_counts": " UNION ALL ".join(
             f"SELECT 'public.{t}' AS \"table\", count(*) AS inserted FROM ("
             + (_anti_sql(t, S.KEYS[t]) if S.side_sql("main", t) else f"SELECT * FROM {S.side_sql('branch', t)}") + ")"
             for t in ("orders", "conversations", "benchmark", "region", "labels")),
         "data_merge_plan": _data_plan_sql(),
         "data_merge_plan_no_data": _data_plan_sql(True, ["benchmark"]),
-        "table_list": _all_snapshot_sql("tables"),
-        "column_snapshot": _all_snapshot_sql("columns"),
-        "snapshot_json_roundtrip": _all_snapshot_sql("columns"),
+        "table_list": " UNION ALL ".join(f"SELECT 'public' AS schema, '{t}' AS name, count(*) AS row_count FROM {t}" for t in S.TABLES),
+        "column_snapshot": _columns_sql(),
+        "schema_diff_tables": _diff_sql("table"),
+        "schema_diff_columns": _diff_sql("column"),
+        "schema_diff_indexes": _diff_sql("index"),
+        "schema_diff_constraints": _diff_sql("constraint"),
         "schema_merge_plan": _plan_sql(None),
         "schema_merge_branch_wins": _plan_sql("branch"),
         "schema_merge_main_wins": _plan_sql("main"),
-        "schema_conflicts": _plan_sql(None, "SELECT 'schema' AS type, object_name, detail AS branch_side, main_side "
-                                            "FROM pl WHERE status = 'conflict'"),
-        "implied_children_skipped": _plan_sql(None, "SELECT object_kind, object_name, change_type, detail, description, "
-                                                    "status FROM pl WHERE description LIKE '% (included in table DDL)'"),
+        "schema_conflicts": "SELECT 'schema' AS type, object_name, detail AS branch_side, main_side, rows_affected FROM "
+                            + O.values([r for r in O.planned(None) if r[8] == "conflict"],
+                                       "object_kind, object_name, change_type, change_rank, detail, parent, new_value, description, status, main_side")
+                            + f" JOIN (WITH {_impact_sql('main')} SELECT * FROM n) USING (parent)",
+        "implied_children_skipped": _plan_sql(None, "contains(description, ' (included in table ')"),
+        "diff_branch": _diff_branch_sql(),
         "evolve_add_column": "SELECT *, 'web' AS o_channel FROM orders",
         "evolve_cast_column": ("SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber, "
                                "CAST(l_quantity AS DECIMAL(12,2)) AS l_quantity) FROM lineitem"),
@@ -512,20 +581,23 @@ def oracle_sql() -> dict[str, str]:
                             "lineitem_quantity_check, count(*) FILTER (WHERE NOT coalesce(l_shipdate >= "
                             "TIMESTAMP '1995-01-01 00:00:00', true)) AS lineitem_ship_check FROM lineitem) "
                             "UNPIVOT (v FOR c IN (lineitem_discount_check, lineitem_quantity_check, lineitem_ship_check))"),
-        "log_ordered": _log_cte() + "SELECT id, command_tag, object_type, schema_name, object_identity, command FROM lg",
-        "log_newest_per_object": _newest_sql(),
-        "branch_list": ("SELECT * FROM (VALUES ('main-copy', '/main', 'main', false), ('branch-copy', '/branch', "
-                        "'main', true)) v(name, db_name, parent_db, is_current)"),
+        "check_unique": ("SELECT 'public.events' AS \"table\", 'events_user_type_key' AS constraint_name, 'UNIQUE' AS type, "
+                         "CAST(coalesce(sum(n), 0) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM events WHERE user_id IS NOT "
+                         "NULL AND event_type IS NOT NULL GROUP BY user_id, event_type HAVING count(*) > 1)"),
+        "check_fk_composite": ("SELECT 'public.answers' AS \"table\", 'answers_turn_fkey' AS constraint_name, 'FOREIGN KEY' AS type, "
+                               "count(*) AS violations FROM conversations a WHERE turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations q "
+                               "WHERE q.role <> 'system' AND q.conv_id = a.conv_id AND q.turn = a.turn - 1)"),
+        "check_fk_self_append": ("SELECT 'public.turns' AS \"table\", 'turns_before_fkey' AS constraint_name, 'FOREIGN KEY' AS type, "
+                                 "count(*) AS violations FROM conversations a WHERE turn > 1 AND (conv_id + turn) % 5 <> 1 AND NOT EXISTS "
+                                 "(SELECT 1 FROM conversations q WHERE (q.conv_id + q.turn) % 5 <> 1 AND q.conv_id = a.conv_id AND "
+                                 "q.turn = a.turn - 1)"),
+        "merge_namespace_fingerprints": _merged_sql(),
         "branch_copy_proof": (f"SELECT schema || '.' || \"table\" AS \"table\", row_count, checksum, true AS copied_ok "
-                              f"FROM ({_fp_all_sql('base')})"),
+                              f"FROM ({_all_fp_sql()})"),
         "merge_orders_end_to_end": (f"SELECT {orders_cols}, CAST(NULL AS VARCHAR) AS o_channel FROM "
                                     f"{S.side_sql('main', 'orders')} UNION ALL SELECT {orders_cols}, 'web' AS o_channel "
                                     f"FROM ({_anti_sql('orders', ['o_orderkey'])})"),
     }
-    for kind, key in (("table", "tables"), ("column", "columns"), ("index", "indexes"), ("constraint", "constraints")):
-        out[f"schema_diff_{key}"] = (f"WITH {_changes_ctes('branch', 'bch')} SELECT change_type, object_kind, "
-                                       f"object_name, detail, base_value, new_value, parent, change_rank FROM bch "
-                                       f"WHERE object_kind = '{kind}'")
     if llm_queries is not None:
         out |= llm_queries.oracle_sql()
     return out

@@ -7,14 +7,17 @@ command. Entries come from our own schema operations or from a schema diff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.local import local_frame
 from ..functions.names import name_suffixes
 
 LOG_SCHEMA = ("branch string, id long, event_time timestamp, command_tag string, object_type string, "
               "schema_name string, object_identity string, command string")
 
+NAME_PATTERN = r"[A-Za-z_][A-Za-z0-9_$]*(?:\.[A-Za-z_][A-Za-z0-9_$]*)*"
+
 _TAGS = {  # (object_kind, change_type) -> command tag
     ("table", "added"): "CREATE TABLE", ("table", "removed"): "DROP TABLE",
     ("column", "added"): "ALTER TABLE", ("column", "removed"): "ALTER TABLE", ("column", "modified"): "ALTER TABLE",
@@ -25,7 +28,7 @@ _TAGS = {  # (object_kind, change_type) -> command tag
 
 
 def empty_log(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LOG_SCHEMA)
+    return local_frame(spark, [], LOG_SCHEMA)
 
 
 def entries_from_changes(changes: DataFrame, branch: str, event_time=None) -> DataFrame:
@@ -62,7 +65,7 @@ def entries_from_changes(changes: DataFrame, branch: str, event_time=None) -> Da
         .otherwise(F.format_string("ALTER TABLE %s ADD CONSTRAINT %s %s", "parent",
                                    F.element_at(F.split("object_name", r"\."), -1), "new_value")))
     identity = F.when(kind.isin("table", "index", "constraint"), F.col("object_name")).otherwise(F.col("parent"))
-    # A change list is schema-sized (one row per changed object): a single ordered window is fine.
+    # A change list has one row per changed object, so one ordered window numbers it; a log is never numbered again.
     w = Window.orderBy("group_rank", "object_name", "change_rank", "detail")
     return changes.select(
         F.lit(branch).alias("branch"), F.row_number().over(w).cast("long").alias("id"),
@@ -91,27 +94,45 @@ def read_log(log: DataFrame, branch: str | None = None) -> DataFrame:
                      F.coalesce("command", F.lit("")).alias("command")).orderBy("branch", "id")
 
 
-def newest_change(log: DataFrame, objects: DataFrame, match: str = "exact") -> DataFrame:
-    """Newest log entry per object name: DF[object_name, id, command].
+def _mentions(command) -> Column:
+    """The dotted names in a command and every run of their parts: ``a.b.c`` gives a, a.b, a.b.c, b, b.c, c."""
+    names = F.regexp_extract_all(command, F.lit(NAME_PATTERN), F.lit(0))
+    places = lambda p: F.sequence(F.lit(1), F.size(p))
+    runs = lambda p: F.flatten(F.transform(places(p), lambda a: F.transform(
+        F.sequence(a, F.size(p)), lambda b: F.array_join(F.slice(p, a, b - a + 1), "."))))
+    return F.array_distinct(F.flatten(F.transform(names, lambda n: runs(F.split(n, r"\.")))))
 
-    ``match='exact'``: the entry's identity equals the name (an equi join).
-    ``match='loose'``: also an entry whose command contains the name or any dotted suffix of it
-    (a substring test, so a non-equi join; the object list is a schema-sized change list).
+
+def newest_change(log: DataFrame, objects: DataFrame, match: str = "exact") -> DataFrame:
+    """Newest log entry per branch and object name: DF[branch, object_name, id, command].
+
+    ``objects`` has object_name, and branch if an object is to be looked up in one branch's log only.
+    ``match='exact'``: the entry's identity equals the name.
+    ``match='loose'``: also an entry whose command names the object by its full name or a dotted suffix. Names
+    are taken out of the commands, so both are equi joins however long the log is.
+    ``match='contains'``: as loose, but any part of the command's text will do. That compares every entry with
+    every object, for short logs only.
     Objects without a match are left out.
     """
-    objs = objects.select("object_name").distinct()
-    if match == "exact":
-        j = objs.join(log.select("id", "object_identity", "command"),
-                      objs["object_name"] == log["object_identity"], "inner")
-    elif match == "loose":
-        refs = objs.select("object_name", F.explode(name_suffixes(F.col("object_name"))).alias("ref")) \
-            .filter(F.col("ref") != "")
-        l2 = log.select("id", "object_identity", "command")
-        j = refs.join(l2, (refs["object_name"] == l2["object_identity"]) | l2["command"].contains(refs["ref"]),
-                      "inner").select("object_name", "id", "command")
-    else:
-        raise ValueError("match must be 'exact' or 'loose'")
-    return j.groupBy("object_name").agg(F.max("id").alias("id"), F.max_by("command", "id").alias("command"))
+    if match not in ("exact", "loose", "contains"):
+        raise ValueError("match must be 'exact', 'loose' or 'contains'")
+    keys = ["branch", "object_name"] if "branch" in objects.columns else ["object_name"]
+    objs = objects.select(*keys).distinct()
+    entries = log.select("branch", "id", "object_identity", "command")
+    on = ["branch", "ref"] if "branch" in keys else ["ref"]
+    refs = objs.select(*keys, F.explode(name_suffixes(F.col("object_name"))).alias("ref")).filter("ref <> ''")
+    found = objs.withColumn("ref", F.col("object_name")).join(entries.withColumnRenamed("object_identity", "ref"), on)
+    found = found.select("branch", "object_name", "id", "command")
+    if match == "loose":
+        named = entries.select("branch", "id", "command", F.explode(_mentions(F.col("command"))).alias("ref"))
+        found = found.unionByName(refs.join(named, on).select("branch", "object_name", "id", "command"))
+    elif match == "contains":
+        r = refs.withColumnRenamed("branch", "r_branch") if "branch" in keys else refs
+        cond = entries["command"].contains(r["ref"])
+        if "branch" in keys:
+            cond = cond & (entries["branch"] == r["r_branch"])
+        found = found.unionByName(entries.join(r, cond).select("branch", "object_name", "id", "command"))
+    return found.groupBy("branch", "object_name").agg(F.max("id").alias("id"), F.max_by("command", "id").alias("command"))
 
 
 def status_lines(log: DataFrame, branch: str) -> DataFrame:

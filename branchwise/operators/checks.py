@@ -20,8 +20,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.local import local_frame
 from ..functions.names import qualify
 from ..sources.spec import TableSpec, pkey_name
+from .fingerprint import union_all
 
 RESULT_SCHEMA = "table string, constraint_name string, type string, violations long"
 
@@ -63,10 +65,14 @@ def check_rows(df: DataFrame, not_null: list[str], checks: Mapping[str, str]) ->
 
 
 def check_constraints(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec],
-                      spark: SparkSession | None = None) -> DataFrame:
-    """All declared constraints of all tables as one DataFrame (one job when collected)."""
+                      spark: SparkSession | None = None, parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """All declared constraints of all tables as one DataFrame (one job when collected).
+
+    Foreign keys look into ``parents`` (default: ``tables``), so the rows to check may be fewer than those that
+    can be referenced. A foreign key whose parent isn't there is broken by every row with a key, and by itself.
+    """
     parts: list[DataFrame] = []
-    by_q = {qualify(n): df for n, df in tables.items()}
+    by_q = {qualify(n): df for n, df in (tables if parents is None else parents).items()}
     for name in sorted(tables):
         df = tables[name]
         spec = specs.get(name) or specs.get(qualify(name))
@@ -81,7 +87,10 @@ def check_constraints(tables: Mapping[str, DataFrame], specs: Mapping[str, Table
         for cname, fk in spec.foreign_keys.items():
             parent = by_q.get(qualify(fk.ref_table))
             if parent is None:
-                raise ValueError(f"{tq}.{cname}: referenced table {fk.ref_table} is not in the namespace")
+                held = reduce(lambda a, b: a & b, [F.col(_q(c)).isNotNull() for c in fk.columns])
+                lost = df.agg(F.greatest(F.count_if(held), F.lit(1)).alias("violations"))
+                parts.append(_row(tq, cname, "FOREIGN KEY", lost))
+                continue
             parts.append(_row(tq, cname, "FOREIGN KEY", check_foreign_key(df, fk.columns, parent, fk.ref_columns)))
         nn = [c for c in spec.not_null if c not in spec.primary_key]
         if nn or spec.checks:
@@ -95,5 +104,5 @@ def check_constraints(tables: Mapping[str, DataFrame], specs: Mapping[str, Table
             parts.append(agg.select(F.lit(tq).alias("table"), rows.alias("r")).select("table", "r.*"))
     if not parts:
         spark = spark or SparkSession.getActiveSession()
-        return spark.createDataFrame([], RESULT_SCHEMA)
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        return local_frame(spark, [], RESULT_SCHEMA)
+    return union_all(parts)

@@ -8,6 +8,7 @@ the constraint checks.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -54,6 +55,17 @@ def evolve(df: DataFrame, ops: list[ColumnOp]) -> DataFrame:
     return df
 
 
+def _drop_constraints(s: TableSpec, column: str) -> None:
+    """Remove the keys, constraints and indexes that need ``column``."""
+    if column in s.primary_key:
+        s.primary_key = []
+    named = re.compile(rf"(?<![\w`]){re.escape(column)}(?!\w)|`{re.escape(column)}`")
+    s.unique = {n: cols for n, cols in s.unique.items() if column not in cols}
+    s.foreign_keys = {n: fk for n, fk in s.foreign_keys.items() if column not in fk.columns}
+    s.checks = {n: p for n, p in s.checks.items() if not named.search(re.sub(r"'[^']*'", "''", p))}
+    s.indexes = {n: i for n, i in s.indexes.items() if column not in i.columns}
+
+
 def evolve_spec(spec: TableSpec, ops: list[ColumnOp]) -> TableSpec:
     """The table spec after the same ops."""
     s = spec.copy()
@@ -67,6 +79,7 @@ def evolve_spec(spec: TableSpec, ops: list[ColumnOp]) -> TableSpec:
         elif op.action == "drop_column":
             s.defaults.pop(c, None)
             s.not_null = [x for x in s.not_null if x != c]
+            _drop_constraints(s, c)
         elif op.action == "set_nullable":
             if op.nullable:
                 s.not_null = [x for x in s.not_null if x != c]
@@ -78,20 +91,3 @@ def evolve_spec(spec: TableSpec, ops: list[ColumnOp]) -> TableSpec:
             else:
                 s.defaults[c] = op.default
     return s
-
-
-def ddl_text(table: str, op: ColumnOp) -> str:
-    """SQL-like text of an op, for the change log."""
-    if op.action == "add_column":
-        extra = "" if op.default is None else f" DEFAULT {op.default}"
-        extra += " NOT NULL" if op.nullable is False else ""
-        return f"ALTER TABLE {table} ADD COLUMN {op.column} {op.data_type}{extra}"
-    if op.action == "drop_column":
-        return f"ALTER TABLE {table} DROP COLUMN {op.column}"
-    if op.action == "cast_column":
-        return f"ALTER TABLE {table} ALTER COLUMN {op.column} TYPE {op.data_type}"
-    if op.action == "set_nullable":
-        return f"ALTER TABLE {table} ALTER COLUMN {op.column} {'DROP' if op.nullable else 'SET'} NOT NULL"
-    if op.default is None:
-        return f"ALTER TABLE {table} ALTER COLUMN {op.column} DROP DEFAULT"
-    return f"ALTER TABLE {table} ALTER COLUMN {op.column} SET DEFAULT {op.default}"

@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.local import local_frame
 from ..functions.names import split_name
 from ..functions.rowtext import row_hash
 
@@ -80,16 +81,23 @@ def fingerprint_all(tables: Mapping[str, DataFrame], only: Iterable[str] | None
     spark = next(iter(tables.values())).sparkSession if tables else None
     if not parts:
         return _empty_fingerprints(spark)
-    zeros = spark.createDataFrame([(s, t, 0, 0, 0, 0, 0) for s, t in names],
-                                  "schema string, table string, _w int, _s0 long, _s1 long, _s2 long, _s3 long")
-    u = reduce(lambda a, b: a.unionByName(b), parts + [zeros])
+    zeros = local_frame(spark, [(s, t, 0, 0, 0, 0, 0) for s, t in names],
+                        "schema string, table string, _w int, _s0 long, _s1 long, _s2 long, _s3 long")
+    u = union_all(parts + [zeros])
     agg = u.groupBy("schema", "table").agg(F.sum("_w").cast("long").alias("row_count"),
                                           *[F.sum(n).alias(n) for n in _LIMBS])
     return agg.select("schema", "table", "row_count",
                       checksum_from_limbs(*[F.col(n) for n in _LIMBS]).alias("checksum"))
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Balanced union: its depth grows with the logarithm of the number of parts."""
+    while len(parts) > 1:
+        parts = [reduce(DataFrame.unionByName, parts[k:k + 2]) for k in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def _empty_fingerprints(spark):
     from pyspark.sql import SparkSession
     spark = spark or SparkSession.getActiveSession()
-    return spark.createDataFrame([], "schema string, table string, row_count long, checksum string")
+    return local_frame(spark, [], "schema string, table string, row_count long, checksum string")

@@ -144,7 +144,7 @@ def diff_constraints(base: Snapshot, cur: Snapshot) -> DataFrame:
 def schema_diff(base: Snapshot, cur: Snapshot) -> DataFrame:
     """All schema changes from ``base`` to ``cur`` (see module doc for columns)."""
     return (diff_tables(base, cur).unionByName(diff_columns(base, cur))
-            .unionByName(diff_indexes(base, cur)).unionByName(diff_constraints(base, cur)))
+            .unionByName(diff_indexes(base, cur)).unionByName(diff_constraints(base, cur))).coalesce(1)
 
 
 def ordered(changes: DataFrame) -> DataFrame:

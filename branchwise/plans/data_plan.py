@@ -6,7 +6,9 @@ For every branch table (main-only tables are left alone):
 * on main with another digest -> ``INSERT_PK`` when the table has a key (branch rows whose key
   main lacks get appended), else ``SYNC`` (reported, not applied);
 * not on main and not empty -> the same two choices for a new table (INSERT_PK against an
-  empty key set).
+  empty key set), if it was not there at the branch point either;
+* at the branch point and gone from main -> main dropped a table whose rows the branch still has: a conflict, or
+  with ``resolve='main'`` skipped, or with ``resolve='branch'`` a new table again.
 
 With ``only_meta`` (no data merge) only bookkeeping tables are planned. The bookkeeping list
 is built from the defaults, a replacement list and extras; a bare name matches the table in
@@ -20,6 +22,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.local import local_frame
 from ..functions.names import split_name
 
 # Migration-bookkeeping tables merged even when data merge is off.
@@ -48,12 +51,15 @@ def is_meta_table(schema: Column, table: Column, meta: list[str]) -> Column:
 def key_frame(spark: SparkSession, keys: Mapping[str, list[str]]) -> DataFrame:
     """DF[schema, table, pk_columns] from ``{name: [key columns in key order]}``."""
     rows = [(*split_name(n), list(cols)) for n, cols in keys.items() if cols]
-    return spark.createDataFrame(rows, KEY_SCHEMA)
+    return local_frame(spark, rows, KEY_SCHEMA)
 
 
 def plan_data(main_fp: DataFrame, branch_fp: DataFrame, main_keys: DataFrame, branch_keys: DataFrame,
-              meta: list[str] | None = None, only_meta: bool = False) -> DataFrame:
-    """DF[table, schema, table_name, operation, row_key, status, pk_columns, branch_rows, main_rows, new_table]."""
+              meta: list[str] | None = None, only_meta: bool = False, base_tables: DataFrame | None = None,
+              resolve: str | None = None) -> DataFrame:
+    """``base_tables`` (schema, name) are those of the branch point; without it no table counts as dropped.
+
+    DF[table, schema, table_name, operation, row_key, status, pk_columns, branch_rows, main_rows, new_table]."""
     meta = resolved_meta_tables() if meta is None else meta
     b = branch_fp
     if only_meta:
@@ -68,13 +74,21 @@ def plan_data(main_fp: DataFrame, branch_fp: DataFrame, main_keys: DataFrame, br
     j = j.join(mk, ["schema", "table"], "left").join(bk, ["schema", "table"], "left")
     pk = F.when(new_table, F.col("b_pk")).otherwise(F.col("m_pk"))
     has_key = pk.isNotNull() & (F.size(pk) > 0)
-    base_key = F.when(new_table, F.format_string("%d row(s) (new table)", "branch_rows")) \
+    if base_tables is None:
+        j = j.withColumn("_was", F.lit(False))
+    else:
+        was = base_tables.select("schema", F.col("name").alias("table"), F.lit(True).alias("_was"))
+        j = j.join(was, ["schema", "table"], "left")
+    dropped = new_table & F.coalesce("_was", F.lit(False))
+    base_key = F.when(dropped, F.concat(F.format_string("%d row(s) (dropped on main)", "branch_rows"), F.lit(
+        {"branch": " (branch wins)", "main": " (main wins)"}.get(resolve, "")))) \
+        .when(new_table, F.format_string("%d row(s) (new table)", "branch_rows")) \
         .otherwise(F.format_string("%d rows (branch) vs %d rows (main)", "branch_rows", "main_rows"))
     return j.select(
         F.concat_ws(".", "schema", "table").alias("table"), "schema", F.col("table").alias("table_name"),
         F.when(has_key, F.lit("INSERT_PK")).otherwise(F.lit("SYNC")).alias("operation"),
         F.when(has_key, base_key).otherwise(F.concat(base_key, F.lit(" (no primary key)"))).alias("row_key"),
-        F.lit("ok").alias("status"),
+        F.when(dropped, F.lit({"branch": "ok", "main": "skipped"}.get(resolve, "conflict"))).otherwise("ok").alias("status"),
         F.when(has_key, pk).otherwise(F.array().cast("array<string>")).alias("pk_columns"),
         "branch_rows", F.coalesce("main_rows", F.lit(0).cast("long")).alias("main_rows"),
         new_table.alias("new_table"))

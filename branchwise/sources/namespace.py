@@ -1,7 +1,7 @@
 """Namespaces of tables on storage: load, write, deep copy with proof.
 
 A namespace written by this library is a folder with one Parquet folder per table and a
-``_manifest`` (JSON lines: table, paths, schema) written last. The manifest is the commit
+``_manifest`` (JSON lines: table, paths, schema, declared keys and constraints) written last. The manifest is the commit
 point: readers load only what it lists, so a half-written folder is never read as a
 namespace. A manifest entry may list several folders (for example main's unchanged files
 plus the rows a merge appended), which lets a merge avoid rewriting what it did not change.
@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.local import local_frame
 from ..functions.names import qualify
 from ..functions.rowtext import row_hash
 from ..operators.fingerprint import fingerprint_all, limb_columns
 from .spec import TableSpec
 
 MANIFEST = "_manifest"
-MANIFEST_SCHEMA = "table string, paths array<string>, schema string"
+MANIFEST_SCHEMA = "table string, paths array<string>, schema string, spec string"
 
 
 @dataclass
@@ -46,16 +47,21 @@ class Namespace:
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, specs: Mapping[str, TableSpec] | None = None) -> "Namespace":
-        """Tables listed in ``root/_manifest``; raises if there is none (not committed)."""
+        """Tables and specs listed in ``root/_manifest``; raises if there is none (not committed).
+
+        ``specs`` overrides what the manifest says of the tables it names.
+        """
         rows = spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/{MANIFEST}").collect()  # one row per table
         if not rows:
             raise FileNotFoundError(f"no committed namespace at {root}")
-        tables, ps = {}, {}
+        tables, ps, known = {}, {}, {}
         for r in rows:
+            known[r.table] = TableSpec.from_json(r.spec)
             schema = T.StructType.fromJson(json.loads(r.schema))
             tables[r.table] = spark.read.schema(schema).parquet(*r.paths)
             ps[r.table] = list(r.paths)
-        return cls(tables, ps, {qualify(k): v for k, v in (specs or {}).items()}, root)
+        known.update({qualify(k): v for k, v in (specs or {}).items()})
+        return cls(tables, ps, known, root)
 
 
 def table_dir(root: str, name: str) -> str:
@@ -69,10 +75,12 @@ def write_table(df: DataFrame, path: str, max_records_per_file: int | None = Non
     w.parquet(path)
 
 
-def write_manifest(spark: SparkSession, root: str, entries: Mapping[str, tuple[list[str], T.StructType]]) -> None:
-    """Commit a namespace: one JSON line per table. Written last."""
-    rows = [(t, list(p), s.json()) for t, (p, s) in sorted(entries.items())]
-    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("errorifexists").json(f"{root}/{MANIFEST}")
+def write_manifest(spark: SparkSession, root: str, entries: Mapping[str, tuple[list[str], T.StructType]],
+                   specs: Mapping[str, TableSpec] | None = None) -> None:
+    """Commit a namespace: one JSON line per table, in one file. Written last."""
+    specs = {qualify(k): v for k, v in (specs or {}).items()}
+    rows = [(t, list(p), s.json(), specs.get(qualify(t), TableSpec()).to_json()) for t, (p, s) in sorted(entries.items())]
+    local_frame(spark, rows, MANIFEST_SCHEMA).coalesce(1).write.mode("errorifexists").json(f"{root}/{MANIFEST}")
 
 
 def _checksum_py(row_count, s0, s1, s2, s3) -> str:
@@ -82,8 +90,8 @@ def _checksum_py(row_count, s0, s1, s2, s3) -> str:
 
 
 def copy_namespace(tables: Mapping[str, DataFrame], root: str, max_records_per_file: int | None = None,
-                   parallelism: int = 4) -> DataFrame:
-    """Deep copy every table to ``root`` and prove it: DF[table, row_count, checksum, copied_ok].
+                   parallelism: int = 4, specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
+    """Deep copy every table to ``root``, with its declared keys and constraints, and prove it: DF[table, row_count, checksum, copied_ok].
 
     The source fingerprint is gathered while writing (an observation on the write job, no extra
     scan); the copy is then fingerprinted from storage in one job and the two are compared.
@@ -107,12 +115,12 @@ def copy_namespace(tables: Mapping[str, DataFrame], root: str, max_records_per_f
         for name, path, m in pool.map(copy_one, sorted(tables)):
             source[qualify(name)] = (m[0], _checksum_py(*m))
             entries[qualify(name)] = ([path], tables[name].schema)
-    write_manifest(spark, root, entries)
+    write_manifest(spark, root, entries, specs)
     copy = Namespace.load(spark, root)
     fp = fingerprint_all(copy.tables).select(F.concat_ws(".", "schema", "table").alias("table"), "row_count",
                                              "checksum")
-    src = spark.createDataFrame([(t, c, s) for t, (c, s) in source.items()],
-                                "table string, src_rows long, src_checksum string")
+    src = local_frame(spark, [(t, c, s) for t, (c, s) in source.items()],
+                      "table string, src_rows long, src_checksum string")
     return fp.join(src, "table", "full_outer").select(
         "table", "row_count", "checksum",
         F.coalesce((F.col("row_count") == F.col("src_rows")) & (F.col("checksum") == F.col("src_checksum")),

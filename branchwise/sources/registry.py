@@ -1,8 +1,7 @@
 """Branch registry: one row per branch with its branch-point snapshot, and branch creation.
 
 The registry is a small DataFrame ``[name, db_name, parent_db, created_at, snapshot_data]``;
-persist it wherever the main namespace lives (``save_registry`` writes a fresh version folder,
-never over the folder being read).
+persist it wherever the main namespace lives, as a fresh version folder, never over the folder being read.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.local import local_frame
 from .namespace import copy_namespace
 from .snapshot import Snapshot, from_json, take_snapshot, to_json
 from .spec import TableSpec
@@ -20,7 +20,7 @@ REGISTRY_SCHEMA = "name string, db_name string, parent_db string, created_at tim
 
 
 def empty_registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], REGISTRY_SCHEMA)
+    return local_frame(spark, [], REGISTRY_SCHEMA)
 
 
 def register_branch(registry: DataFrame, name: str, db_name: str, parent_db: str, snapshot: Snapshot,
@@ -70,15 +70,11 @@ def create_branch(registry: DataFrame, name: str, tables: Mapping[str, DataFrame
     """
     if registry.filter(F.col("name") == name).limit(1).count() > 0:
         raise ValueError(f"branch {name!r} already exists")
-    proof = copy_namespace(tables, root).cache()
-    bad = proof.filter(~F.col("copied_ok")).select("table").collect()
+    proof = copy_namespace(tables, root, specs=specs)
+    rows = proof.collect()  # one row per table
+    bad = [r.table for r in rows if not r.copied_ok]
     if bad:
-        raise RuntimeError(f"copy of {[r.table for r in bad]} does not match its source")
+        raise RuntimeError(f"copy of {bad} does not match its source")
+    proof = local_frame(proof.sparkSession, [tuple(r) for r in rows], proof.schema)
     snap = take_snapshot(tables, specs)
     return register_branch(registry, name, root, parent_db, snap, created_at), proof
-
-
-def save_registry(registry: DataFrame, path: str) -> str:
-    """Write the registry as a new folder (``path``); returns it."""
-    registry.coalesce(1).write.mode("errorifexists").parquet(path)
-    return path

@@ -7,17 +7,18 @@ The JSON form nests columns under their table, like the registry stores it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.local import local_frame
 from ..functions.names import split_name
 from .spec import TableSpec, constraint_rows, index_rows
 
-# System schemas hidden from every listing (fixed values).
-HIDDEN_SCHEMAS = ["pg_catalog", "information_schema", "_pgbranch"]
+# Schemas that listings leave out unless told otherwise: catalogs of the system.
+HIDDEN_SCHEMAS = ("pg_catalog", "information_schema")
 
 TABLES_SCHEMA = "schema string, name string"
 COLUMNS_SCHEMA = ("schema string, table string, name string, data_type string, is_nullable boolean, "
@@ -43,22 +44,21 @@ class Snapshot:
     indexes: DataFrame
     constraints: DataFrame
 
-    def cache(self) -> "Snapshot":
-        return Snapshot(*(d.cache() for d in (self.tables, self.columns, self.indexes, self.constraints)))
-
-
-def _visible(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("schema").isin(HIDDEN_SCHEMAS))
-
 
 def take_snapshot(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec] | None = None,
-                  spark: SparkSession | None = None) -> Snapshot:
-    """Snapshot of a namespace ``{name: DataFrame}`` with optional ``{name: TableSpec}``."""
+                  spark: SparkSession | None = None, hidden: Iterable[str] = HIDDEN_SCHEMAS) -> Snapshot:
+    """Snapshot of a namespace ``{name: DataFrame}`` with optional ``{name: TableSpec}``.
+
+    Tables of ``hidden`` schemas are left out. Rows come in no order; ``ordered_snapshot`` sorts for display.
+    """
+    hidden = set(hidden)
     specs = specs or {}
     spark = spark or (next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession())
     t_rows, c_rows, i_rows, k_rows = [], [], [], []
     for name, df in tables.items():
         schema, table = split_name(name)
+        if schema in hidden:
+            continue
         spec = specs.get(name) or specs.get(f"{schema}.{table}") or specs.get(table) or TableSpec()
         t_rows.append((schema, table))
         for pos, f in enumerate(df.schema.fields, start=1):
@@ -68,13 +68,17 @@ def take_snapshot(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec
         i_rows.extend(index_rows(schema, table, spec))
         k_rows.extend(constraint_rows(schema, table, spec))
     return Snapshot(
-        _visible(spark.createDataFrame(t_rows, TABLES_SCHEMA)).orderBy("schema", "name"),
-        _visible(spark.createDataFrame(c_rows, COLUMNS_SCHEMA)).orderBy("schema", "table", "ordinal_position"),
-        _visible(spark.createDataFrame(i_rows, INDEXES_SCHEMA)).orderBy("schema", "table", "name"),
-        _visible(spark.createDataFrame(k_rows, CONSTRAINTS_SCHEMA)).orderBy("schema", "table", "name"),
+        local_frame(spark, t_rows, TABLES_SCHEMA), local_frame(spark, c_rows, COLUMNS_SCHEMA),
+        local_frame(spark, i_rows, INDEXES_SCHEMA), local_frame(spark, k_rows, CONSTRAINTS_SCHEMA),
     )
 
 
+def ordered_snapshot(snap: Snapshot) -> Snapshot:
+    """The snapshot in display order."""
+    return Snapshot(snap.tables.orderBy("schema", "name"), snap.columns.orderBy("schema", "table", "ordinal_position"),
+                    snap.indexes.orderBy("schema", "table", "name"), snap.constraints.orderBy("schema", "table", "name"))
+
+
 def to_json(snap: Snapshot) -> DataFrame:
     """One-row DataFrame ``snapshot_data`` holding the whole snapshot as JSON."""
     cols = snap.columns.groupBy("schema", "table").agg(

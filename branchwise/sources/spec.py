@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import copy
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 
 @dataclass
@@ -34,6 +35,18 @@ class TableSpec:
     def copy(self) -> "TableSpec":
         return copy.deepcopy(self)
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str | None) -> "TableSpec":
+        if not text:
+            return cls()
+        d = json.loads(text)
+        d["foreign_keys"] = {n: ForeignKey(**v) for n, v in d.get("foreign_keys", {}).items()}
+        d["indexes"] = {n: Index(**v) for n, v in d.get("indexes", {}).items()}
+        return cls(**d)
+
     def is_nullable(self, column: str) -> bool:
         return column not in self.not_null and column not in self.primary_key
 

@@ -1,7 +1,7 @@
 """DuckDB SQL builders for the oracle side of ``__spark_entry__.oracle_sql``.
 
-The row-text rule is the same as ``branchwise.functions.rowtext``, written in DuckDB's
-dialect, so the oracle and Spark fingerprints can be compared digest for digest.
+The row text follows the rule of ``branchwise.functions.rowtext``, written for DuckDB and without the
+package, so the oracle and Spark fingerprints can be compared digest for digest.
 """
 
 from __future__ import annotations
@@ -95,202 +95,71 @@ def duck_fingerprint(source: str, cols: list[tuple[str, str]]) -> str:
 
 
 # ---------------------------------------------------------------------------------------------
-# Schema snapshots, diffs and the schema merge plan in DuckDB.
-
-def _lit(v) -> str:
+# Expected rows of the schema side of the scenario, written by hand.
+
+#: object_kind, object_name, change_type, change_rank, detail, base_value, new_value, parent, and what became of it in the merge
+#: plan: ok, same (on both sides), ddl (part of a new table), drop (goes with its table), or main's conflicting change.
+CHANGES = [
+    ("table", "public.embeddings", "removed", 0, "table public.embeddings removed",
+     "vec_id bigint NOT NULL, embedding array<float>, label int", None, "public.embeddings", "same"),
+    ("table", "public.labels", "added", 0, "table public.labels added (3 columns)", None,
+     "doc_id bigint NOT NULL, quality int, toxic int", "public.labels", "ok"),
+    ("table", "public.pages", "removed", 0, "table public.pages removed",
+     "page_id bigint NOT NULL, url string, html string", None, "public.pages", "ok"),
+    ("column", "public.customer.c_mktsegment", "removed", 0, "column public.customer.c_mktsegment removed", "string", None,
+     "public.customer", "ok"),
+    ("column", "public.events.event_type", "modified", 2, "column public.events.event_type default changed", None, "'click'",
+     "public.events", "ok"),
+    ("column", "public.orders.o_channel", "added", 0, "column public.orders.o_channel added (string)", None,
+     "string DEFAULT 'web'", "public.orders", "column public.orders.o_channel added (int)"),
+    ("column", "public.part.p_name", "modified", 1, "column public.part.p_name nullable changed: true -> false", "true",
+     "false", "public.part", "ok"),
+    ("column", "public.supplier.s_nationkey", "modified", 0, "column public.supplier.s_nationkey type changed: int -> bigint",
+     "int", "bigint", "public.supplier", "same"),
+    ("index", "public.embeddings_pkey", "removed", 0, "index public.embeddings_pkey removed",
+     "CREATE UNIQUE INDEX embeddings_pkey ON public.embeddings USING btree (vec_id)", None, "public.embeddings", "same"),
+    ("index", "public.idx_events_user", "modified", 0, "index public.idx_events_user definition changed",
+     "CREATE INDEX idx_events_user ON public.events USING btree (user_id)",
+     "CREATE INDEX idx_events_user ON public.events USING btree (user_id, ts)", "public.events", "index public.idx_events_user removed"),
+    ("index", "public.idx_orders_cust", "added", 0, "index public.idx_orders_cust added", None,
+     "CREATE INDEX idx_orders_cust ON public.orders USING btree (o_custkey)", "public.orders", "ok"),
+    ("index", "public.labels_pkey", "added", 0, "index public.labels_pkey added", None,
+     "CREATE UNIQUE INDEX labels_pkey ON public.labels USING btree (doc_id)", "public.labels", "ddl"),
+    ("index", "public.pages_pkey", "removed", 0, "index public.pages_pkey removed",
+     "CREATE UNIQUE INDEX pages_pkey ON public.pages USING btree (page_id)", None, "public.pages", "drop"),
+    ("constraint", "public.customer_nation_fkey", "added", 0, "constraint public.customer_nation_fkey added (FOREIGN KEY)", None,
+     "FOREIGN KEY (c_nationkey) REFERENCES nation(n_nationkey)", "public.customer", "ok"),
+    ("constraint", "public.embeddings_pkey", "removed", 0, "constraint public.embeddings_pkey removed", "PRIMARY KEY (vec_id)", None,
+     "public.embeddings", "same"),
+    ("constraint", "public.labels_pkey", "added", 0, "constraint public.labels_pkey added (PRIMARY KEY)", None, "PRIMARY KEY (doc_id)",
+     "public.labels", "ddl"),
+    ("constraint", "public.orders_price_check", "added", 0, "constraint public.orders_price_check added (CHECK)", None,
+     "CHECK ((o_totalprice > 0))", "public.orders", "same"),
+    ("constraint", "public.pages_pkey", "removed", 0, "constraint public.pages_pkey removed", "PRIMARY KEY (page_id)", None,
+     "public.pages", "drop"),
+]
+_SUFFIX = {"same": ("skipped", " (same on both sides)"), "ddl": ("skipped", " (included in table DDL)"),
+           "drop": ("skipped", " (included in table removal)"), "ok": ("ok", "")}
+
+
+def planned(resolve: str | None) -> list[tuple]:
+    """kind, name, change_type, change_rank, detail, parent, new_value, description, status, main_side of each change."""
+    out = []
+    for kind, name, change, rank, detail, _, new, parent, fate in CHANGES:
+        status, suffix = _SUFFIX.get(fate, (None, None))
+        description = f"{detail}{suffix}"
+        if status is None:
+            status, description = {None: ("conflict", detail), "branch": ("ok", f"{detail} (branch wins)"),
+                                   "main": ("skipped", f"{fate} (main wins, skipping branch change)")}[resolve]
+        out.append((kind, name, change, rank, detail, parent, new, description, status, fate))
+    return out
+
+
+def lit(v) -> str:
     if v is None:
         return "NULL"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, int):
-        return str(v)
-    return "'" + str(v).replace("'", "''") + "'"
-
-
-def _values(rows: list[tuple], cols: list[str], types: list[str]) -> str:
-    q = [f'"{c}"' for c in cols]
-    sel = ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in zip(q, types))
-    if not rows:
-        return f"SELECT {sel} WHERE false"
-    body = ", ".join("(" + ", ".join(_lit(v) for v in r) + ")" for r in rows)
-    return (f"SELECT " + ", ".join(f"CAST(v.{c} AS {t}) AS {c}" for c, t in zip(q, types))
-            + f" FROM (VALUES {body}) AS v({', '.join(q)})")
-
-
-_DUCK_TYPE = ("CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' "
-              "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' "
-              "ELSE lower(c.data_type) END")
-
-
-def duck_tables(tables: list[str]) -> str:
-    names = ", ".join(_lit(t) for t in tables)
-    return (f"SELECT 'public' AS schema, table_name AS name FROM information_schema.tables "
-            f"WHERE table_name IN ({names})")
-
-
-def duck_columns(tables: list[str], specs: dict, edits: dict) -> str:
-    """Columns of the given tables from the catalog, with column edits and declared nullability."""
-    names = ", ".join(_lit(t) for t in tables)
-    typ = _DUCK_TYPE
-    dropped, adds = [], []
-    for t, ops in edits.items():
-        tn = t.split(".", 1)[1]
-        if tn not in tables:
-            continue
-        for k, op in enumerate(ops):
-            if op.action == "drop_column":
-                dropped.append(f"(c.table_name = {_lit(tn)} AND c.column_name = {_lit(op.column)})")
-            elif op.action == "cast_column":
-                typ = (f"CASE WHEN c.table_name = {_lit(tn)} AND c.column_name = {_lit(op.column)} "
-                       f"THEN {_lit(op.data_type)} ELSE {typ} END")
-            elif op.action == "add_column":
-                adds.append((tn, op.column, op.data_type, 1000 + k))
-    not_null, defaults = [], []
-    for t, s in specs.items():
-        tn = t.split(".", 1)[1]
-        for c in list(s.primary_key) + list(s.not_null):
-            not_null.append(f"({_lit(tn)}, {_lit(c)})")
-        for c, d in s.defaults.items():
-            defaults.append((tn, c, d))
-    where = f"c.table_name IN ({names})" + "".join(f" AND NOT {d}" for d in dropped)
-    raw = (f"SELECT c.table_name AS tname, c.column_name AS cname, {typ} AS data_type, "
-           f"CAST(c.ordinal_position AS INTEGER) AS pos FROM information_schema.columns c WHERE {where}")
-    for tn, cn, dt, pos in adds:
-        raw += f" UNION ALL SELECT {_lit(tn)}, {_lit(cn)}, {_lit(dt)}, {pos}"
-    nn = f"(r.tname, r.cname) IN ({', '.join(not_null)})" if not_null else "false"
-    dflt = "CAST(NULL AS VARCHAR)"
-    for tn, cn, d in defaults:
-        dflt = f"CASE WHEN r.tname = {_lit(tn)} AND r.cname = {_lit(cn)} THEN {_lit(d)} ELSE {dflt} END"
-    return (f"SELECT 'public' AS schema, r.tname AS \"table\", r.cname AS name, r.data_type, NOT ({nn}) AS is_nullable, "
-            f"{dflt} AS column_default, "
-            f"CAST(row_number() OVER (PARTITION BY r.tname ORDER BY r.pos) AS INTEGER) AS ordinal_position "
-            f"FROM ({raw}) r")
-
-
-def duck_indexes(tables: list[str], specs: dict) -> str:
-    from branchwise.sources.spec import index_rows
-    rows = []
-    for t in tables:
-        s = specs.get(f"public.{t}")
-        if s is not None:
-            rows += index_rows("public", t, s)
-    return _values(rows, ["schema", "table", "name", "definition", "is_unique", "is_primary"],
-                   ["VARCHAR", "VARCHAR", "VARCHAR", "VARCHAR", "BOOLEAN", "BOOLEAN"])
+    return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
 
-def duck_constraints(tables: list[str], specs: dict) -> str:
-    from branchwise.sources.spec import constraint_rows
-    rows = []
-    for t in tables:
-        s = specs.get(f"public.{t}")
-        if s is not None:
-            rows += constraint_rows("public", t, s)
-    return _values(rows, ["schema", "table", "name", "type", "definition"], ["VARCHAR"] * 5)
-
-
-def _desc(p: str) -> str:
-    return (f"concat_ws(' ', {p}data_type, CASE WHEN NOT {p}is_nullable THEN 'NOT NULL' END, "
-            f"CASE WHEN {p}column_default IS NOT NULL THEN 'DEFAULT ' || {p}column_default END)")
-
-
-def duck_snapshot_ctes(p: str, tables: list[str], specs: dict, edits: dict) -> str:
-    return (f"{p}t AS ({duck_tables(tables)}), {p}c AS ({duck_columns(tables, specs, edits)}), "
-            f"{p}i AS ({duck_indexes(tables, specs)}), {p}k AS ({duck_constraints(tables, specs)})")
-
-
-def duck_diff_ctes(out: str, b: str, c: str) -> str:
-    """CTE ``out`` = schema diff from snapshot CTEs with prefix ``b`` to prefix ``c``."""
-    ch = "change_type, object_kind, object_name, detail, base_value, new_value, parent, group_rank, change_rank"
-    sig = lambda s: (f"SELECT schema, \"table\", count(*) AS n_columns, string_agg(name || ' ' || {_desc('')}, ', ' "
-                     f"ORDER BY ordinal_position) AS signature FROM {s}c GROUP BY schema, \"table\"")
-    tdiff = (f"SELECT CASE WHEN b.name IS NULL THEN 'added' ELSE 'removed' END AS change_type, 'table' AS object_kind, "
-             f"coalesce(b.schema, c.schema) || '.' || coalesce(b.name, c.name) AS object_name, "
-             f"CASE WHEN b.name IS NULL THEN 'table ' || c.schema || '.' || c.name || ' added (' || "
-             f"coalesce(cs.n_columns, 0) || ' columns)' ELSE 'table ' || b.schema || '.' || b.name || ' removed' END "
-             f"AS detail, CASE WHEN b.name IS NOT NULL THEN bs.signature END AS base_value, "
-             f"CASE WHEN b.name IS NULL THEN cs.signature END AS new_value, "
-             f"coalesce(b.schema, c.schema) || '.' || coalesce(b.name, c.name) AS parent, 0 AS group_rank, 0 AS change_rank "
-             f"FROM {b}t b FULL OUTER JOIN {c}t c ON b.schema = c.schema AND b.name = c.name "
-             f"LEFT JOIN ({sig(c)}) cs ON cs.schema = c.schema AND cs.\"table\" = c.name "
-             f"LEFT JOIN ({sig(b)}) bs ON bs.schema = b.schema AND bs.\"table\" = b.name "
-             f"WHERE b.name IS NULL OR c.name IS NULL")
-    both = f"SELECT b.schema, b.name AS \"table\" FROM {b}t b JOIN {c}t c ON b.schema = c.schema AND b.name = c.name"
-    j = (f"SELECT coalesce(b.schema, c.schema) AS schema, coalesce(b.\"table\", c.\"table\") AS \"table\", "
-         f"coalesce(b.name, c.name) AS name, b.name IS NOT NULL AS in_b, c.name IS NOT NULL AS in_c, "
-         f"b.data_type AS b_data_type, b.is_nullable AS b_is_nullable, b.column_default AS b_column_default, "
-         f"c.data_type AS c_data_type, c.is_nullable AS c_is_nullable, c.column_default AS c_column_default "
-         f"FROM (SELECT * FROM {b}c WHERE (schema, \"table\") IN ({both})) b FULL OUTER JOIN "
-         f"(SELECT * FROM {c}c WHERE (schema, \"table\") IN ({both})) c "
-         f"ON b.schema = c.schema AND b.\"table\" = c.\"table\" AND b.name = c.name")
-    obj = "(j.schema || '.' || j.\"table\" || '.' || j.name)"
-    par = "(j.schema || '.' || j.\"table\")"
-    cdiff = (f"SELECT 'added', 'column', {obj}, 'column ' || {obj} || ' added (' || j.c_data_type || ')', NULL, "
-             f"{_desc('j.c_')}, {par}, 0, 0 FROM j WHERE NOT j.in_b "
-             f"UNION ALL SELECT 'removed', 'column', {obj}, 'column ' || {obj} || ' removed', {_desc('j.b_')}, NULL, "
-             f"{par}, 0, 0 FROM j WHERE NOT j.in_c "
-             f"UNION ALL SELECT 'modified', 'column', {obj}, 'column ' || {obj} || ' type changed: ' || j.b_data_type || "
-             f"' -> ' || j.c_data_type, j.b_data_type, j.c_data_type, {par}, 0, 0 FROM j "
-             f"WHERE j.in_b AND j.in_c AND j.b_data_type <> j.c_data_type "
-             f"UNION ALL SELECT 'modified', 'column', {obj}, 'column ' || {obj} || ' nullable changed: ' || "
-             f"CAST(j.b_is_nullable AS VARCHAR) || ' -> ' || CAST(j.c_is_nullable AS VARCHAR), "
-             f"CAST(j.b_is_nullable AS VARCHAR), CAST(j.c_is_nullable AS VARCHAR), {par}, 0, 1 FROM j "
-             f"WHERE j.in_b AND j.in_c AND j.b_is_nullable <> j.c_is_nullable "
-             f"UNION ALL SELECT 'modified', 'column', {obj}, 'column ' || {obj} || ' default changed', j.b_column_default, "
-             f"j.c_column_default, {par}, 0, 2 FROM j "
-             f"WHERE j.in_b AND j.in_c AND coalesce(j.b_column_default, '') <> coalesce(j.c_column_default, '')")
-
-    def defdiff(kind, src, keys, rank, added):
-        on = " AND ".join(f"b.{k} = c.{k}" for k in keys)
-        o = "(coalesce(b.schema, c.schema) || '.' || coalesce(b.name, c.name))"
-        add_txt = f"'{kind} ' || {o} || ' added (' || c.type || ')'" if added else f"'{kind} ' || {o} || ' added'"
-        return (f"SELECT CASE WHEN b.definition IS NULL THEN 'added' WHEN c.definition IS NULL THEN 'removed' "
-                f"ELSE 'modified' END, '{kind}', {o}, CASE WHEN b.definition IS NULL THEN {add_txt} "
-                f"WHEN c.definition IS NULL THEN '{kind} ' || {o} || ' removed' "
-                f"ELSE '{kind} ' || {o} || ' definition changed' END, b.definition, c.definition, "
-                f"coalesce(b.schema, c.schema) || '.' || coalesce(c.\"table\", b.\"table\"), {rank}, 0 "
-                f"FROM {b}{src} b FULL OUTER JOIN {c}{src} c ON {on} "
-                f"WHERE b.definition IS NULL OR c.definition IS NULL OR b.definition <> c.definition")
-    idiff = defdiff("index", "i", ["schema", "name"], 1, False)
-    kdiff = defdiff("constraint", "k", ["schema", "\"table\"", "name"], 2, True)
-    cdiff = cdiff.replace("FROM j", f"FROM {out}_j j")
-    return (f"{out}_j AS ({j}), "
-            f"{out}({ch}) AS ({tdiff} UNION ALL {cdiff} UNION ALL {idiff} UNION ALL {kdiff})")
-
-
-def duck_plan_cte(out: str, mc: str, bc: str, resolve: str | None) -> str:
-    """CTE ``out`` = schema merge plan of branch changes ``bc`` against main changes ``mc``."""
-    sets = lambda c, p: (f"SELECT object_kind, object_name, list(struct_pack(r := change_rank, t := change_type, "
-                         f"d := detail, b := base_value, n := new_value) ORDER BY change_rank, change_type, detail, "
-                         f"base_value NULLS FIRST, new_value NULLS FIRST) AS {p}set, "
-                         f"string_agg(detail, '; ' ORDER BY change_rank, detail) AS {p}details "
-                         f"FROM {c} GROUP BY object_kind, object_name")
-    j = (f"SELECT x.*, ms.m_set, ms.m_details, bs.b_set, mr.m_parent_removed, mch.m_child_change, "
-         f"ba.parent_added FROM {bc} x "
-         f"LEFT JOIN ({sets(mc, 'm_')}) ms ON ms.object_kind = x.object_kind AND ms.object_name = x.object_name "
-         f"LEFT JOIN ({sets(bc, 'b_')}) bs ON bs.object_kind = x.object_kind AND bs.object_name = x.object_name "
-         f"LEFT JOIN (SELECT object_name AS p, detail AS m_parent_removed FROM {mc} WHERE object_kind = 'table' "
-         f"AND change_type = 'removed') mr ON mr.p = x.parent "
-         f"LEFT JOIN (SELECT parent AS p, min(detail) AS m_child_change FROM {mc} WHERE object_kind <> 'table' "
-         f"GROUP BY parent) mch ON mch.p = x.object_name "
-         f"LEFT JOIN (SELECT object_name AS p, true AS parent_added FROM {bc} WHERE object_kind = 'table' "
-         f"AND change_type = 'added') ba ON ba.p = x.parent")
-    cvr = "(x.object_kind <> 'table' AND x.m_parent_removed IS NOT NULL)"
-    rvc = "(x.object_kind = 'table' AND x.change_type = 'removed' AND x.m_child_change IS NOT NULL)"
-    main_changed = f"(x.m_set IS NOT NULL OR {cvr} OR {rvc})"
-    main_side = (f"coalesce(x.m_details, CASE WHEN {cvr} THEN x.m_parent_removed END, "
-                 f"CASE WHEN {rvc} THEN x.m_child_change END)")
-    same = f"(x.m_set IS NOT NULL AND x.m_set = x.b_set AND NOT {cvr} AND NOT {rvc})"
-    implied = "(x.object_kind IN ('index', 'constraint') AND x.change_type = 'added' AND coalesce(x.parent_added, false))"
-    if resolve == "branch":
-        cs, cd = "'ok'", "x.detail || ' (branch wins)'"
-    elif resolve == "main":
-        cs, cd = "'skipped'", f"{main_side} || ' (main wins, skipping branch change)'"
-    else:
-        cs, cd = "'conflict'", "x.detail"
-    status = (f"CASE WHEN NOT {main_changed} AND {implied} THEN 'skipped' WHEN NOT {main_changed} THEN 'ok' "
-              f"WHEN {same} THEN 'skipped' ELSE {cs} END")
-    desc = (f"CASE WHEN NOT {main_changed} AND {implied} THEN x.detail || ' (included in table DDL)' "
-            f"WHEN NOT {main_changed} THEN x.detail WHEN {same} THEN x.detail || ' (same on both sides)' "
-            f"ELSE {cd} END")
-    return (f"{out} AS (SELECT x.object_kind, x.object_name, x.change_type, x.change_rank, x.detail, "
-            f"{desc} AS description, {status} AS status, {main_side} AS main_side FROM ({j}) x)")
+def values(rows: list[tuple], columns: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") v({columns})"

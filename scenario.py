@@ -5,7 +5,8 @@ Three namespaces derived row by row from the whole test tables: ``base`` (the br
 ``conversations`` and ``benchmark`` and edits some statuses, which gives every merge case a
 real input: new keyed rows (single and composite key), rows edited on one side, a keyless
 table that differs, a table new on the branch (``labels``), a table removed on the branch
-(``pages``), a table emptied on the branch (``region``), a bookkeeping table
+(``pages``), one removed on both sides (``embeddings``), one removed on main only (``documents``),
+a table emptied on the branch (``region``), a bookkeeping table
 (``benchmark``) and unchanged tables. The filters pick which rows each side holds; they do
 not thin the work, every table is read whole.
 
@@ -45,14 +46,17 @@ VARIANTS: dict[str, dict[str, tuple[str | None, dict[str, str]] | None]] = {
         "conversations": ("(conv_id + turn) % 5 <> 1", {}),
         "benchmark": ("item_id % 4 <> 0", {}),
         "labels": None,
+        "documents": None,
+        "embeddings": None,
     },
     "branch": {
         "orders": ("o_orderkey % 10 <> 7",
                    {"o_orderstatus": "CASE WHEN o_orderkey % 89 = 0 THEN 'B' ELSE o_orderstatus END"}),
         "lineitem": ("l_orderkey % 10 <> 7", {}),
         "conversations": ("(conv_id + turn) % 5 <> 2", {}),
-        "region": ("false", {}),
+        "region": ("r_regionkey < 0", {}),
         "pages": None,
+        "embeddings": None,
     },
 }
 
@@ -115,6 +119,7 @@ def side_tables(side: str) -> list[str]:
 # Schema side of the scenario: declared specs per side and typed column edits.
 
 from branchwise.operators.evolve import ColumnOp, evolve, evolve_spec  # noqa: E402
+from branchwise.sources.namespace import Namespace, table_dir, write_manifest, write_table  # noqa: E402
 from branchwise.sources.spec import ForeignKey, Index, TableSpec  # noqa: E402
 
 
@@ -146,23 +151,19 @@ COLUMN_EDITS: dict[str, dict[str, list[ColumnOp]]] = {
 def side_specs(side: str) -> dict[str, TableSpec]:
     specs = base_specs()
     if side == "base":
-        return specs
+        return {t: s for t, s in specs.items() if t != "public.labels"}
     for t, ops in COLUMN_EDITS[side].items():
         specs[t] = evolve_spec(specs[t], ops)
     specs["public.orders"].checks["orders_price_check"] = "o_totalprice > 0"
     if side == "main":
         specs["public.lineitem"].indexes["idx_lineitem_ship"] = Index(["l_shipdate"])
         specs["public.events"].indexes.pop("idx_events_user")
-        specs.pop("public.labels", None)
     else:
         specs["public.orders"].indexes["idx_orders_cust"] = Index(["o_custkey"])
         specs["public.events"].indexes["idx_events_user"] = Index(["user_id", "ts"])
         specs["public.customer"].foreign_keys["customer_nation_fkey"] = ForeignKey(
             ["c_nationkey"], "nation", ["n_nationkey"])
-        specs.pop("public.pages", None)
-    if side != "branch":
-        specs.pop("public.labels", None)
-    return specs
+    return {t: s for t, s in specs.items() if VARIANTS[side].get(t.split(".", 1)[1], ()) is not None}
 
 
 def evolved_namespace(spark: SparkSession, sf_dir: str, side: str) -> dict[str, DataFrame]:
@@ -172,3 +173,17 @@ def evolved_namespace(spark: SparkSession, sf_dir: str, side: str) -> dict[str,
         if t in ns:
             ns[t] = evolve(ns[t], ops)
     return ns
+
+
+def commit_side(spark: SparkSession, sf_dir: str, side: str, root: str) -> Namespace:
+    """One side as a committed namespace: what it edits is written, the other tables refer to the given files."""
+    entries = {}
+    for name, df in evolved_namespace(spark, sf_dir, side).items():
+        t = name.split(".", 1)[1]
+        if t in VARIANTS[side] or name in COLUMN_EDITS.get(side, {}):
+            write_table(df, table_dir(root, name))
+            entries[name] = ([table_dir(root, name)], df.schema)
+        else:
+            entries[name] = ([f"{sf_dir}/{t}.parquet"], df.schema)
+    write_manifest(spark, root, entries, side_specs(side))
+    return Namespace.load(spark, root)

@@ -3,13 +3,13 @@ from pyspark.sql import functions as F
 
 from branchwise.operators.checks import check_constraints
 from branchwise.operators.rows import merge_rows, new_rows
-from branchwise.plans.merge import MergeCheckError, MergeConflictError, merge
+from branchwise.plans.merge import MergeCheckError, MergeConflictError, diff_branch, merge
 from branchwise.sources import registry
 from branchwise.sources.namespace import Namespace, copy_namespace
 from branchwise.sources.snapshot import take_snapshot
-from branchwise.sources.spec import ForeignKey, TableSpec
+from branchwise.sources.spec import ForeignKey, Index, TableSpec
 
-USERS = "id int, name string, code string"
+SITES = "id int, name string, code string"
 SPECS = {"sites": TableSpec(primary_key=["id"], not_null=["name"], unique={"sites_code_key": ["code"]}),
          "visits": TableSpec(primary_key=["id"], not_null=["title"]),
          "sequelize_meta": TableSpec(primary_key=["name"]),
@@ -17,7 +17,7 @@ SPECS = {"sites": TableSpec(primary_key=["id"], not_null=["name"], unique={"site
 
 
 def sites(spark, rows):
-    return spark.createDataFrame(rows, USERS)
+    return spark.createDataFrame(rows, SITES)
 
 
 BASE_SITES = [(1, "Harbour", "H-1"), (2, "Quarry", "Q-2")]
@@ -161,8 +161,94 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) == 14 and set(df.columns) == {"schema", "table", "base_rows", "curr_rows", "has_change"}
-    assert set(E.queries()) - set(E.oracle_sql()) == set()
+    assert len(rows) == 13 and set(df.columns) == {"schema", "table", "base_rows", "curr_rows", "has_change"}
+    own = set(E.queries()) - (set(E.llm_queries.queries()) if E.llm_queries else set())
+    assert own - set(E.oracle_sql()) == set()
+
+
+def committed(spark, root, tables, specs):
+    copy_namespace(tables, root, specs=specs)
+    return Namespace.load(spark, root)
+
+
+def test_merged_specs_are_kept_and_a_second_merge_has_nothing_to_do(spark, tmp_root):
+    old = {"sites": TableSpec(primary_key=["id"])}
+    new = {"sites": TableSpec(primary_key=["id"], not_null=["name"], defaults={"code": "'none'"}, checks={"named": "name <> ''"},
+                              indexes={"by_code": Index(["code"])})}
+    main = committed(spark, tmp_root + "/main", {"sites": sites(spark, BASE_SITES)}, old)
+    branch = committed(spark, tmp_root + "/branch", {"sites": sites(spark, BASE_SITES + [(3, "Mill", "M-3")])}, new)
+    assert main.specs["public.sites"] == old["sites"]
+    base = take_snapshot(main.tables, main.specs)
+    merge(base, main, branch, target=tmp_root + "/merged")
+    merged = Namespace.load(spark, tmp_root + "/merged")
+    assert merged.specs["public.sites"] == new["sites"] and merged.tables["public.sites"].count() == 3
+    again = merge(base, merged, branch, target=tmp_root + "/again")
+    assert again.schema_ops.filter("status <> 'skipped'").count() == 0
+    assert again.conflicts.count() == 0 and sum(again.inserted.values()) == 0
+
+
+def test_table_that_only_main_dropped(spark, tmp_root):
+    spec = {"sites": TableSpec(primary_key=["id"]), "kept": TableSpec(primary_key=["id"])}
+    kept = spark.createDataFrame([(1,)], "id int")
+    base = take_snapshot({"sites": sites(spark, BASE_SITES), "kept": kept}, spec)
+    branch = {"sites": sites(spark, BASE_SITES), "kept": kept}
+    main_spec = {"kept": spec["kept"]}
+    plan = merge(base, {"kept": kept}, branch, main_spec, spec)
+    assert [(r.type, r.object_name) for r in plan.conflicts.collect()] == [("data", "public.sites")]
+    with pytest.raises(MergeConflictError):
+        merge(base, {"kept": kept}, branch, main_spec, spec, target=tmp_root + "/0")
+    merge(base, {"kept": kept}, branch, main_spec, spec, target=tmp_root + "/1", resolve="main")
+    assert set(Namespace.load(spark, tmp_root + "/1").tables) == {"public.kept"}
+    done = merge(base, {"kept": kept}, branch, main_spec, spec, target=tmp_root + "/2", resolve="branch")
+    out = Namespace.load(spark, tmp_root + "/2")
+    assert done.inserted == {"public.sites": 2} and out.tables["public.sites"].count() == 2
+    assert out.specs["public.sites"] == spec["sites"]
+    # the branch also added a column: the whole table comes back with it
+    wider = {"sites": sites(spark, BASE_SITES).withColumn("note", F.lit("x")), "kept": kept}
+    merge(base, {"kept": kept}, wider, main_spec, spec, target=tmp_root + "/3", resolve="branch")
+    assert {r.note for r in Namespace.load(spark, tmp_root + "/3").tables["public.sites"].collect()} == {"x"}
+
+
+def test_retyped_column_that_main_dropped(spark, tmp_root):
+    spec = {"sites": TableSpec(primary_key=["id"])}
+    base = take_snapshot({"sites": sites(spark, BASE_SITES)}, spec)
+    main = {"sites": sites(spark, BASE_SITES).drop("code")}
+    branch = {"sites": sites(spark, BASE_SITES).withColumn("code", F.lit(7))}
+    merge(base, main, branch, spec, spec, target=tmp_root + "/t", resolve="branch")
+    out = Namespace.load(spark, tmp_root + "/t").tables["public.sites"]
+    assert dict(out.dtypes)["code"] == "int" and out.count() == 2
+
+
+def test_self_reference_and_lost_parent(spark, tmp_root):
+    staff = lambda rows: spark.createDataFrame(rows, "id int, boss int")
+    spec = {"staff": TableSpec(primary_key=["id"], foreign_keys={"staff_boss": ForeignKey(["boss"], "staff", ["id"])})}
+    main = committed(spark, tmp_root + "/m", {"staff": staff([(1, None), (2, 1)])}, spec)
+    base = take_snapshot(main.tables, main.specs)
+    merge(base, main, {"staff": staff([(1, None), (2, 1), (3, 1), (4, 3)])}, branch_specs=spec, target=tmp_root + "/ok")
+    assert Namespace.load(spark, tmp_root + "/ok").tables["public.staff"].count() == 4
+    with pytest.raises(MergeCheckError, match="staff_boss"):
+        merge(base, main, {"staff": staff([(1, None), (2, 1), (5, 9)])}, branch_specs=spec, target=tmp_root + "/bad")
+    cust, order = spark.createDataFrame([(1,)], "c int"), spark.createDataFrame([(1, 1)], "o int, c int")
+    specs = {"cust": TableSpec(primary_key=["c"]), "ord": TableSpec(primary_key=["o"], foreign_keys={"ord_c": ForeignKey(["c"], "cust", ["c"])})}
+    both = {"cust": cust, "ord": order}
+    base = take_snapshot(both, specs)
+    with pytest.raises(MergeCheckError, match="ord_c"):
+        merge(base, both, {"ord": order}, specs, {"ord": specs["ord"]}, target=tmp_root + "/lost")
+
+
+def test_common_columns_and_equal_files(spark, tmp_root):
+    main = committed(spark, tmp_root + "/m", {"sites": sites(spark, BASE_SITES), "big": spark.range(5).toDF("id")}, SPECS)
+    branch = Namespace({**main.tables, "public.sites": main.tables["public.sites"].withColumn("note", F.lit(1))},
+                       {"public.big": main.paths["public.big"]}, main.specs)
+    base = take_snapshot(main.tables, main.specs)
+    assert [r.table for r in merge(base, main, branch).data_ops.collect()] == ["public.sites"]
+    assert merge(base, main, branch, common_columns=True).data_ops.count() == 0
+    changes, data = diff_branch(base, main, branch)
+    assert {r.table for r in data.filter("has_change").collect()} == {"sites"} and changes.count() == 1
+    assert diff_branch(base, main, branch, common_columns=True)[1].filter("has_change").count() == 0
+    done = merge(base, main, branch, target=tmp_root + "/t")
+    out = Namespace.load(spark, tmp_root + "/t")
+    assert done.applied and out.paths["public.big"] == main.paths["public.big"]
 
 
 def test_append_only_merge_references_main_files(spark, tmp_root):

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from branchwise.operators import changelog
 from branchwise.operators.schemadiff import format_changes, schema_diff
 from branchwise.plans.schema_plan import plan_schema
@@ -16,7 +17,7 @@ def details(changes):
 def test_table_added_and_removed(spark):
     base = take_snapshot({"sites": sites(spark)})
     cur = take_snapshot({"visits": spark.createDataFrame([], "id int, title string")})
-    assert details(schema_diff(base, cur)) == ["table public.visits added (2 columns)", "table public.sites removed"]
+    assert details(schema_diff(base, cur)) == ["table public.sites removed", "table public.visits added (2 columns)"]
 
 
 def test_column_added_and_type_changed(spark):
@@ -113,20 +114,32 @@ def test_child_change_against_removed_table_conflicts(spark):
 
 
 def test_changelog_newest_entry(spark):
-    log = spark.createDataFrame([
-        ("dev", 1, None, "CREATE TABLE", "table", "public", "public.sites", "CREATE TABLE public.sites (id INT)"),
-        ("dev", 2, None, "ALTER TABLE", "table", "public", "public.sites", "ALTER TABLE public.sites ADD COLUMN note TEXT"),
-        ("dev", 3, None, "CREATE TABLE", "table", "public", "public.visits", "CREATE TABLE public.visits (id INT)"),
-        ("dev", 4, None, "CREATE INDEX", "index", "public", None, "CREATE INDEX idx_sites_code ON public.sites (code)"),
-    ], changelog.LOG_SCHEMA)
-    objs = spark.createDataFrame([("public.sites",), ("public.nowhere",), ("public.idx_sites_code",)],
-                                 "object_name string")
-    exact = {r.object_name: r.command for r in changelog.newest_change(log, objs).collect()}
-    assert exact == {"public.sites": "ALTER TABLE public.sites ADD COLUMN note TEXT"}
-    loose = {r.object_name: r.id for r in changelog.newest_change(log, objs, match="loose").collect()}
-    assert loose == {"public.sites": 4, "public.idx_sites_code": 4}
-    lines = [r.line for r in changelog.status_lines(log, "dev").orderBy("id").collect()]
-    assert lines[0] == "CREATE TABLE table public.sites" and lines[3] == "CREATE INDEX index "
+    rows = [("alpha", 1, "CREATE TABLE", "lake.trips", "CREATE TABLE lake.trips (fare DOUBLE)"),
+            ("alpha", 2, "ALTER TABLE", "lake.trips", "ALTER TABLE lake.trips ADD COLUMN tip DOUBLE"),
+            ("alpha", 3, "CREATE TABLE", "lake.zones", "CREATE TABLE lake.zones (id INT)"),
+            ("alpha", 4, "CREATE INDEX", None, "CREATE INDEX trips_by_fare ON lake.trips (fare)"),
+            ("beta", 1, "DROP TABLE", "lake.trips", "DROP TABLE lake.trips"),
+            ("beta", 2, "CREATE TABLE", "lake.tripsheets", "CREATE TABLE lake.tripsheets (id INT)")]
+    log = spark.createDataFrame([(b, i, None, tag, "table", "lake", o, c) for b, i, tag, o, c in rows], changelog.LOG_SCHEMA)
+    objs = spark.createDataFrame([("lake.trips",), ("lake.nowhere",), ("lake.trips_by_fare",)], "object_name string")
+    newest = lambda o, match: {(r.branch, r.object_name): r.id for r in changelog.newest_change(log, o, match).collect()}
+    assert newest(objs, "exact") == {("alpha", "lake.trips"): 2, ("beta", "lake.trips"): 1}
+    assert newest(objs, "loose") == {("alpha", "lake.trips"): 4, ("beta", "lake.trips"): 1, ("alpha", "lake.trips_by_fare"): 4}
+    assert newest(objs, "contains")[("beta", "lake.trips")] == 2  # part of another name
+    only = spark.createDataFrame([("beta", "lake.trips")], "branch string, object_name string")
+    assert newest(only, "loose") == {("beta", "lake.trips"): 1}
+    plan = changelog.newest_change(log, objs, "loose")._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    lines = [r.line for r in changelog.status_lines(log, "alpha").orderBy("id").collect()]
+    assert lines[0] == "CREATE TABLE table lake.trips" and lines[3] == "CREATE INDEX table "
+    more = spark.createDataFrame([("beta", 1, None, "ALTER TABLE", "table", "lake", "lake.zones", "x"),
+                                  ("gamma", 1, None, "ALTER TABLE", "table", "lake", "lake.zones", "y")], changelog.LOG_SCHEMA)
+    grown = changelog.append(log, more)
+    assert sorted((r.branch, r.id) for r in grown.where("object_identity = 'lake.zones'").collect()) == [
+        ("alpha", 3), ("beta", 3), ("gamma", 1)]
+    shown = [r.line for r in changelog.log_lines(grown.fillna({"object_identity": ""}).withColumn(
+        "event_time", F.lit("2024-05-06 07:08:09").cast("timestamp")), "beta", verbose=True).orderBy("id").collect()]
+    assert shown[0] == "  2024-05-06 07:08:09  DROP TABLE lake.trips\n           DROP TABLE lake.trips"
 
 
 def test_log_tail_stream(spark, tmp_root):
@@ -138,3 +151,49 @@ def test_log_tail_stream(spark, tmp_root):
     q.awaitTermination(120)
     lines = [r.line for r in spark.read.parquet(tmp_root + "/status").collect()]
     assert lines == ["CREATE TABLE table public.sites"]
+
+
+def test_table_dropped_on_both_sides_is_no_conflict(spark):
+    spec = {"sites": TableSpec(primary_key=["id"], checks={"c": "id > 0"}, indexes={"i": Index(["code"])})}
+    other = {"other": spark.createDataFrame([], "x int")}
+    base = take_snapshot({"sites": sites(spark), **other}, spec)
+    gone = schema_diff(base, take_snapshot(other))
+    ops, conflicts = plan_schema(gone, gone)
+    assert conflicts.count() == 0
+    assert {(r.object_kind, r.object_name, r.status, r.description.split(" (")[-1]) for r in ops.collect()} == {
+        ("table", "public.sites", "skipped", "same on both sides)"), ("index", "public.sites_pkey", "skipped", "same on both sides)"),
+        ("index", "public.i", "skipped", "same on both sides)"), ("constraint", "public.sites_pkey", "skipped", "same on both sides)"),
+        ("constraint", "public.c", "skipped", "same on both sides)")}
+
+
+def test_children_go_with_the_table_that_the_branch_drops(spark):
+    spec = {"sites": TableSpec(primary_key=["id"])}
+    other = {"other": spark.createDataFrame([], "x int")}
+    base = take_snapshot({"sites": sites(spark), **other}, spec)
+    same, gone = take_snapshot({"sites": sites(spark), **other}, spec), take_snapshot(other)
+    ops, conflicts = plan_schema(schema_diff(base, same), schema_diff(base, gone))
+    assert conflicts.count() == 0 and {(r.object_kind, r.status) for r in ops.collect()} == {
+        ("table", "ok"), ("index", "skipped"), ("constraint", "skipped")}
+    more = take_snapshot({"sites": sites(spark, ", note string"), **other}, spec)
+    for resolve, status in ((None, "conflict"), ("branch", "ok"), ("main", "skipped")):
+        ops, conflicts = plan_schema(schema_diff(base, more), schema_diff(base, gone), resolve)
+        got = {(r.object_kind, r.status) for r in ops.collect()}
+        assert got == {("table", status), ("index", "skipped"), ("constraint", "skipped")}
+        assert conflicts.count() == (resolve is None)
+    plan = plan_schema(schema_diff(base, more), schema_diff(base, gone))[0]._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_hidden_schemas_are_left_out(spark):
+    frames = {"a.t": sites(spark), "b.t": sites(spark), "information_schema.t": sites(spark)}
+    assert {r.schema for r in take_snapshot(frames).tables.collect()} == {"a", "b"}
+    assert {r.schema for r in take_snapshot(frames, hidden=["a"]).columns.collect()} == {"b", "information_schema"}
+
+
+def test_dropped_column_takes_its_constraints_along():
+    from branchwise.operators.evolve import ColumnOp, evolve_spec
+    spec = TableSpec(primary_key=["a", "e"], unique={"q": ["e"], "r": ["b"]}, checks={"c": "e > 0", "d": "bee > 0 AND b <> 'e'"},
+                     foreign_keys={"f": ForeignKey(["e"], "p", ["x"])}, indexes={"i": Index(["e"]), "j": Index(["b"])}, not_null=["e"])
+    got = evolve_spec(spec, [ColumnOp("drop_column", "e")])
+    assert got == TableSpec(unique={"r": ["b"]}, checks={"d": "bee > 0 AND b <> 'e'"}, indexes={"j": Index(["b"])})
+    assert TableSpec.from_json(spec.to_json()) == spec
