@@ -49,8 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    key = F.sha2(F.col("text"), 256)  # ids may be null or repeat; equal texts hold the same
+    leaks = decontaminate.find_leaks(docs.select(key.alias("__key"), "text"), table(spark, sf_dir, "benchmark"), doc_id="__key")
+    return docs.join(leaks.select(F.col("doc_id").alias("__leak")).distinct(), key == F.col("__leak"), "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

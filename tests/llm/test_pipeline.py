@@ -87,6 +87,14 @@ def test_nulls_repeated_rows_clashing_columns_and_empty_tables(spark):
         assert empty.count() == 0
 
 
+def test_a_leak_takes_no_other_rows_of_its_id(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").head().text
+    rows = [(None, f"before it {leak} after it"), (None, "the clean row has no id"), (1, "a clean row with an id"), (1, leak), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.benchmark_decontamination(spark, docs, SF)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {rows[1], rows[2], rows[4]}
+
+
 @pytest.mark.parametrize("module", [langid, simhash, decontaminate, secret_scan])
 def test_stage_operators_say_what_edge_cases_give(module):
     assert "Defined results" in module.__doc__
