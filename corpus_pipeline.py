@@ -28,23 +28,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document that names its group of near-duplicates; of rows that share its id, the smallest.
-
-    In a group in which no row has an id one row stays, the smallest.
-    """
-    found = written(simhash.near_duplicates(docs), "pipeline-groups")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
-    nameless = docs.where("doc_id is null")
-    groups = found.where("component_id is null").select("fp", "root").distinct()
-    nameless = simhash.fingerprints(nameless.withColumn("__text", F.col("text")), "__text", name="__fp")
-    nameless = nameless.join(groups, F.col("__fp") == F.col("fp"))
+    """Keeps one row of each group of near-duplicates: the one with the smallest id (null last), of those the smallest row."""
+    key = F.sha2(F.col("text"), 256)
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), key.alias("key"))
+    found = written(simhash.near_duplicates(docs.select(name.alias("__name"), "text"), doc_id="__name"), "pipeline-groups")
+    kept = found.where(F.col("doc_id.id").eqNullSafe(F.col("component_id.id"))).select(
+        F.col("doc_id.id").alias("__id"), F.col("doc_id.key").alias("__key"), F.col("root").alias("__root")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__key")))
     rest = [c for c in docs.columns if c != "doc_id"]
     row = F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("__row")
-    back = [F.col("__id").cast(docs.schema["doc_id"].dataType).alias(c) if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
-    named = named.groupBy(F.col("doc_id").alias("__id")).agg(row).select(*back)
-    nameless = nameless.groupBy("root").agg(row).withColumn("__id", F.lit(None)).select(*back)
-    return named.unionByName(nameless)
+    rows = rows.groupBy("__root").agg(F.min("doc_id").alias("__id"), row)  # a root's rows share their id by now
+    return rows.select(*(F.col("__id").alias(c) if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,15 @@ def test_a_leak_takes_no_other_rows_of_its_id(spark):
     assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {rows[1], rows[2], rows[4]}
 
 
+def test_every_group_keeps_one_row_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in ("apple", "brick", "cloud"))
+    rows = [(1, a, "x"), (1, b, "x"), (0, b, "y"), (0, b, "x"), (None, b, "a"), (None, c, "z"), (None, c, "y"), (1, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = P.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, a, "x"), (0, b, "x"), (None, c, "y"), (1, None, "x")], key=str)
+
+
 @pytest.mark.parametrize("module", [langid, simhash, decontaminate, secret_scan])
 def test_stage_operators_say_what_edge_cases_give(module):
     assert "Defined results" in module.__doc__
