@@ -31,6 +31,8 @@ from branchwise.llm.common import once, table
 DIM = 1024
 SLOTS = 64
 MAX_LANGS = 2000
+#: Four standard deviations of the cosine of unlike vectors; fewer labelled rows than this say little of a language's spread.
+NOISE, FEW = 4 / DIM**0.5, 100
 #: Code points worked on at once, so that a task's memory doesn't depend on a text's length.
 CHUNK = 1 << 18
 
@@ -132,6 +134,18 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
             .select(*keep, F.col("__lang.pred").alias(pred), F.col("__lang.score").alias(score)))
 
 
+def floors(judged: DataFrame, label: str = "lang", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """__lang and __floor, the least score of a text in it: half of the lowest hundredth's among the labelled rows judged right.
+
+    A language of fewer than ``FEW`` such rows, which mostly judge themselves, has no more than the ``NOISE`` of unlike texts.
+    At most ``MAX_LANGS`` rows.
+    """
+    half = F.percentile_approx(score, 0.01, 10000) / 2
+    floor = F.when(F.count("*") < FEW, F.least(half, F.lit(NOISE))).otherwise(half)
+    right = judged.where(F.col(label).cast("string") == F.col(pred))
+    return right.groupBy(F.col(pred).alias("__lang")).agg(floor.alias("__floor"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Documents that are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

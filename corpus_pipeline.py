@@ -21,10 +21,13 @@ from branchwise.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined: no letters, or like no language that was learned."""
+    """Drops documents whose language is undetermined: no letters, or like no language that was learned (``langid.floors``)."""
     model = langid.train(docs.where(~langid.held_out()).select("text", "lang"))
-    judged = langid.identify(docs, model, pred="__pred", score="__score")
-    return judged.where("__pred <> 'und' and __score > 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    judged = written(langid.identify(docs, model, pred="__pred", score="__score"), "pipeline-judged")
+    floors = langid.floors(judged.where(~langid.held_out()), "lang", "__pred", "__score")
+    known = judged.where("__pred <> 'und' and __score > 0").join(F.broadcast(floors), F.col("__pred") == F.col("__lang"), "left")
+    known = known.where(F.col("__score") >= F.coalesce("__floor", F.lit(langid.NOISE)))
+    return known.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import sys
 from pathlib import Path
 
@@ -104,6 +105,20 @@ def test_every_group_keeps_one_row_whatever_the_ids(spark):
         [(1, a, "x"), (0, b, "x"), (None, c, "y"), (1, None, "x")], key=str)
 
 
+def test_unlearned_scripts_and_noise_go(spark):
+    rnd = random.Random(5)
+    scripts = {"greek": (0x3B1, 0x3C9), "cyrillic": (0x430, 0x44F), "cjk": (0x4E00, 0x9FA5), "hangul": (0xAC00, 0xD7A3), "arabic": (0x627, 0x64A)}
+    text = lambda letters: " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(60))
+    noise = [text([chr(c) for c in range(a, z + 1)]) for a, z in scripts.values() for _ in range(20)]
+    noise += [text("bcdfghjklmnpqrstvwxz") for _ in range(20)] + [text("0123456789") + " a" for _ in range(20)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(noise)], docs.schema)
+    got = {r.doc_id: r.text for r in P.language_id(spark, docs.unionByName(extra), SF).collect()}
+    clean = {r.doc_id for r in docs.where(langid.held_out()).collect() if any(map(str.isalpha, r.text or ""))}
+    assert [noise[-1 - d] for d in got if d < 0] == []
+    assert len(clean - got.keys()) <= 0.01 * len(clean)
+
+
 @pytest.mark.parametrize("module", [langid, simhash, decontaminate, secret_scan])
 def test_stage_operators_say_what_edge_cases_give(module):
     assert "Defined results" in module.__doc__
