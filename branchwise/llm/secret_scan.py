@@ -4,10 +4,11 @@ Base findings stand by themselves: assignments (a keyword, ``:`` or ``=``, a val
 characters), access identifiers and long hex strings. Weak parts are only reported together: an access
 identifier by name (``user = ...``), a bare 40-character key, a value behind a weak keyword, an endpoint. Each part
 has a role (identifier, secret, endpoint); base findings have roles too. A scope is a stretch of
-text without a blank line, and parts link if they are in one scope and begin within ``REACH`` code points:
-a weak secret needs an identifier, a weak identifier a secret, an endpoint both. The link is an
-interval join: parts are keyed by scope and cell of ``REACH`` code points, a weak part looks into
-its own cell and the two beside it, as a semi join, so that no pairs are made.
+text without a blank line, and parts link if they are in one scope and within ``REACH`` code points:
+a weak secret needs an identifier, a weak identifier a secret, an endpoint both. With ``between`` (the query and the
+pipeline) that is what lies between the end of one and the start of the other, so a long value hides nothing; else
+their begins count. The link is an interval join: parts are keyed by scope and the cells of ``REACH`` code points that they
+cover, a weak part looks into its own cells and the two beside them, as a semi join, so that no pairs are made.
 
 Places come from the lengths of the matches and of what lies between them, summed along a text by a
 window. Texts with a match are known by a hash of the text: the parts of equal texts are worked out
@@ -90,7 +91,7 @@ def matches(text: Column) -> Column:
     return F.when(suspect(text), found)
 
 
-def spans(seen: DataFrame, reach: int = REACH) -> DataFrame:
+def spans(seen: DataFrame, reach: int = REACH, between: bool = False) -> DataFrame:
     """key and found, the sorted (start, rank, kind, end) of each text that has a finding; seen: key, m (``matches``)."""
     seen = seen.select("key", "m").dropDuplicates(["key"])
     rows = seen.select("key", F.explode("m").alias("m")).select("key", F.posexplode("m").alias("n", "m")).select("key", "n", "m.*")
@@ -113,40 +114,45 @@ def spans(seen: DataFrame, reach: int = REACH) -> DataFrame:
         "left_semi").select("key", "rank", "start").distinct()
     weak = weak.join(hidden, ["key", "rank", "start"], "left_anti")
     every = base.unionByName(weak)
+    stop = F.col("end") if between else F.col("start")
+    cell = lambda place: F.floor(place / reach)
     near = {r: every.where(F.col("role") == r).select(
-        F.col("key").alias("k2"), F.col("scope").alias("o2"), F.col("start").alias("s2"),
-        F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1)))).alias("c2")) for r in ("identifier", "secret")}
+        F.col("key").alias("k2"), F.col("scope").alias("o2"), F.col("start").alias("s2"), stop.alias("e2"),
+        F.explode(F.sequence(cell(F.col("start")) - 1, cell(stop) + 1)).alias("c2")) for r in ("identifier", "secret")}
     linked = []
     for r, needs in NEEDS.items():
         part = weak.where(F.col("role") == r)
         for need in needs:
-            part = part.join(near[need], (F.col("key") == F.col("k2")) & (F.col("scope") == F.col("o2")) & (F.col("cell") == F.col("c2"))
-                             & (F.abs(F.col("start") - F.col("s2")) <= reach), "left_semi")
+            looks = part.withColumn("stop", stop).withColumn("c1", F.explode(F.sequence(cell(F.col("start")), cell(F.col("stop")))))
+            part = looks.join(near[need], (F.col("key") == F.col("k2")) & (F.col("scope") == F.col("o2")) & (F.col("c1") == F.col("c2"))
+                              & (F.greatest(F.col("start") - F.col("e2"), F.col("s2") - F.col("stop")) <= reach), "left_semi")
+            part = part.drop("stop", "c1")
+            part = part.distinct() if between else part
         linked.append(part)
     for part in linked:
         base = base.unionByName(part)
     return base.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
 
 
-def scan(df: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", reach: int = REACH, between: bool = False) -> DataFrame:
     """The other columns of ``df`` with found: the sorted (start, rank, kind, end) of each row's text."""
     keep = [c for c in df.columns if c not in (text, "found")]
     t = F.col(f"`{text}`").cast("string")
     rows = df.select(*(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep), matches(t).alias("m"), t.alias("t"))
     rows = rows.withColumn("__key", F.when(F.col("m").isNotNull(), text_key(F.col("t")))).drop("t")
     rows = written(rows, "secret-rows")
-    found = spans(rows.where("__key is not null").select(F.col("__key").alias("key"), "m"), reach)
+    found = spans(rows.where("__key is not null").select(F.col("__key").alias("key"), "m"), reach, between)
     none = F.array().cast(found.schema["found"].dataType)
     with_match = rows.where("__key is not null").join(found, F.col("__key") == F.col("key"), "left")
     out = with_match.select(*(F.col(f"`kept_{c}`").alias(c) for c in keep), F.coalesce("found", none).alias("found"))
     return out.unionByName(rows.where("__key is null").select(*(F.col(f"`kept_{c}`").alias(c) for c in keep), none.alias("found")))
 
 
-def mask(df: DataFrame, text: str = "text", mark: str = "[redacted]", reach: int = REACH) -> DataFrame:
+def mask(df: DataFrame, text: str = "text", mark: str = "[redacted]", reach: int = REACH, between: bool = False) -> DataFrame:
     """``df`` with every finding in ``text`` replaced by ``mark``; overlapping findings become one."""
     t = F.col(f"`{text}`").cast("string")
     seen = df.where(suspect(t)).select(text_key(t).alias("key"), matches(t).alias("m"))
-    found = spans(written(seen, "secret-matches"), reach)
+    found = spans(written(seen, "secret-matches"), reach, between)
     # runs of overlapping findings: a finding begins one if none before it reaches it
     merged = F.aggregate(
         "found", F.array().cast("array<struct<s:bigint,e:bigint>>"),
@@ -171,7 +177,7 @@ def listed(found: Column) -> Column:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), between=True)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("found", lambda x: x["rank"] < len(BASE))
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(listed(base), 256).alias("base_sha256"),

@@ -53,7 +53,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every finding in the texts; ``n_chars`` follows the text."""
-    out = secret_scan.mask(docs)
+    out = secret_scan.mask(docs, between=True)
     if "n_chars" in out.columns:
         changed = F.col("text").contains("[redacted]")
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -52,6 +52,30 @@ def test_spans_against_brute_force(spark):
         assert [tuple(x) for x in r.found] == brute(r.copy), r.copy
 
 
+def plain_between(text, reach=S.REACH):
+    """As ``brute``, but by what lies between two parts."""
+    breaks = [m.end() for m in re.finditer(S.BREAK, text)]
+    parts = [(m.start(), rank, kind, m.end(), role, sum(b <= m.start() for b in breaks)) for rank, (kind, (pattern, role)) in enumerate(S.KINDS.items())
+             for m in re.finditer(pattern, text, re.ASCII) if kind != "assign" or len(m[2]) >= S.LEAST_VALUE]
+    base = [p for p in parts if p[2] in S.BASE]
+    weak = [p for p in parts if p[2] not in S.BASE and not any(b[0] < p[3] and p[0] < b[3] for b in base)]
+    has = lambda p, role: any(q[4] == role and q[5] == p[5] and max(q[0] - p[3], p[0] - q[3]) <= reach for q in base + weak)
+    return sorted(p[:4] for p in base + [p for p in weak if all(has(p, need) for need in S.NEEDS[p[4]])])
+
+
+def test_long_values_link_by_what_lies_between(spark):
+    jwt = "eyJ" + "Q-z" * 299
+    every = [f"auth: {jwt}\nuser: bob", f"user: bob\nauth: {jwt}", f"user: bob pwd=hunter22 https://h.example.com/{jwt}\nlogin: eve"]
+    every += [f"auth: {jwt}{' ' * n}user: bob" for n in (399, 400, 401)] + [f"user: bob{' ' * n}auth: {jwt}" for n in (399, 400, 401)]
+    every += [" " * k + f"auth: {jwt}{' ' * 400}user: bob" for k in range(0, 400, 57)] + [t for t in texts() if t]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(every)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in S.scan(df, between=True).collect()}
+    assert got == {i: plain_between(t) for i, t in enumerate(every)}
+    assert len(got[0]) == len(got[1]) == 2 and len(got[2]) == 3
+    clear = {r.doc_id: r.text for r in S.mask(df, between=True).collect()}
+    assert clear[0] == "[redacted]\n[redacted]" and clear[1] == clear[0]
+
+
 def test_mask_leaves_nothing_and_keeps_the_rest(spark):
     every = texts()
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(every)], "doc_id long, text string, key string")
