@@ -3,8 +3,9 @@
 A page is cut into blocks at its block-level tags (and at two line breaks in a row). Pass one labels each
 block by itself: blocks of menus, headers, footers, asides, forms and the like (by tag, role, or a
 word of class or id), blocks that are mostly links, and copyright lines are boilerplate; long blocks dense in
-stop words are text; long blocks poor in stop words are boilerplate outside an article. Everything else, above all
-short blocks, is ambiguous. Pass two gives an ambiguous block the label of its nearest decided neighbours,
+stop words are text. Everything else, short blocks and long ones poor in stop words (of another language, or rich in names), is
+ambiguous. Outside articles pass two first settles the long ones, by the nearest block that is decided without boilerplate markup
+(text where they differ or there is none); markup says nothing about the blocks beside it. Then it gives an ambiguous block the label of its nearest decided neighbours,
 within the same ``article`` or ``main`` if it is in one that has text. Where two neighbours at the same distance differ,
 the block is text if it holds a stop word. A block in a container without any decided block
 is text. If a page has text in an ``article`` or ``main``, what stands outside is boilerplate.
@@ -164,10 +165,8 @@ def first_pass(blocks: list[tuple[str, int, int, bool]]) -> list[bool | None]:
             out.append(False)
         elif len(text) < LONG:
             out.append(None)
-        elif stops >= MIN_STOPS:
-            out.append(True)
         else:
-            out.append(None if container else False)
+            out.append(True if stops >= MIN_STOPS else None)
     return out
 
 
@@ -182,6 +181,13 @@ def second_pass(blocks: list[tuple[str, int, int, bool]], labels: list[bool | No
         return found
 
     has_text = {b[2] for b, x in zip(blocks, labels, strict=True) if x}
+    plain = [k for k, b in enumerate(blocks) if not b[2] and not b[3]]
+    before, after = nearest(plain), nearest(plain[::-1])
+    labels = list(labels)
+    for k in plain:
+        if labels[k] is None and len(blocks[k][0]) >= LONG:
+            (d1, x1), (d2, x2) = before[k], after[k]
+            labels[k] = x1 is not False or x2 is not False if d1 == d2 else x1 if d1 < d2 else x2
     out = list(labels)
     groups: dict[int, list[int]] = {}
     for k, b in enumerate(blocks):

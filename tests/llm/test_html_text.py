@@ -57,3 +57,24 @@ def test_query_against_the_articles_of_the_given_table(spark):
         want[r.page_id] = "\n\n".join(x for x in blocks if x)
     got = {r.page_id: r.text for r in H.op2_html_text(spark, sf).collect()}
     assert got == want
+
+
+def test_long_paragraphs_poor_in_stop_words_without_an_article():
+    polish = ["Miasto zbudowano nad rzeką przed wieloma laty, kiedy kupcy szukali bezpiecznej przystani dla swoich statków.",
+              "Mieszkańcy opowiadają dzieciom, jak dawniej wyglądały ulice, targi, warsztaty oraz stare drewniane mosty."]
+    nav, foot = "<nav><a href=x>Start</a></nav>", "<footer><p>Wszystkie prawa</p></footer>"
+    links = "<p><a href=1>Pierwszy odnośnik prowadzi bardzo daleko</a> <a href=2>Drugi odnośnik też prowadzi daleko</a></p>"
+    body = "".join(f"<div>{p}</div>" for p in polish)
+    assert H.main_text(nav + body + foot) == "\n\n".join(polish)
+    assert H.main_text(f"{nav}<p>{LONG}</p>{body}<p>{LONG}</p>{foot}") == "\n\n".join([LONG, *polish, LONG])
+    assert H.main_text(f"<p>{LONG}</p><p>Kort.</p><p>Kort.</p>{links}<p>{polish[0]}</p>{links}") == f"{LONG}\n\nKort."
+
+
+def test_given_pages_with_a_div_for_the_article(spark):
+    """Every long block of the article is found again."""
+    lost = long = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = [x for x in H.main_text(r.html).split("\n\n") if len(x) >= H.LONG]
+        got = H.main_text(re.sub(r"<(/?)article\b", r"<\1div", r.html)).split("\n\n")
+        long, lost = long + len(want), lost + len(set(want) - set(got))
+    assert long > 500 and lost == 0, (long, lost)
