@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from branchwise.llm import chat, decontaminate, html_text, langid, mixing, quality, secret_scan, simhash, token_counts, url_filter
+from branchwise.llm import chat, decontaminate, fim, html_text, langid, mixing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_quality": quality.op9_quality,
         "op10_language_id": langid.op10_language_id,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": chat.ORACLE,
         "op7_mixing": mixing.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
+        "op11_fill_in_middle": fim.ORACLE,
     }
