@@ -100,8 +100,8 @@ def cuts(text: Column, first: Column, second: Column, error: int = ERROR) -> Col
 
     def judge(texts: pa.Array, first_: pa.Array, second_: pa.Array) -> pa.Array:
         rows = []
-        for t, x, y in zip(texts.to_pylist(), first_.to_pylist(), second_.to_pylist(), strict=True):
-            at = boundaries(t or "")
+        for t, x, y in zip(texts, first_.to_pylist(), second_.to_pylist(), strict=True):  # one text at a time in memory
+            at = boundaries(t.as_py() or "")
             n = len(at) - 1
             index = RankIndex(at, error)
             a, b = index.offset(np.sort([x % (n + 1), y % (n + 1)])).tolist()
