@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from branchwise.llm import chat, decontaminate, fim, html_text, langid, mixing, quality, secret_scan, simhash, spelling, token_counts, url_filter
+from branchwise.llm import chat, decontaminate, fim, html_text, langid, mixing, ngram_join, quality, secret_scan, simhash, spelling, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": langid.op10_language_id,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
         "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_ngram_join": ngram_join.op13_ngram_join,
         "pipeline": corpus_pipeline.run,
     }
 
