@@ -7,15 +7,22 @@ command. Entries come from our own schema operations or from a schema diff
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.local import local_frame
 from ..functions.names import name_suffixes
+from ..session import scratch_path
+from .asof import as_of
 
 LOG_SCHEMA = ("branch string, id long, event_time timestamp, command_tag string, object_type string, "
               "schema_name string, object_identity string, command string")
 
+#: Characters of a run in the index of commands.
+GRAM = 3
+
 NAME_PATTERN = r"[A-Za-z_][A-Za-z0-9_$]*(?:\.[A-Za-z_][A-Za-z0-9_$]*)*"
 
 _TAGS = {  # (object_kind, change_type) -> command tag
@@ -103,6 +110,39 @@ def _mentions(command) -> Column:
     return F.array_distinct(F.flatten(F.transform(names, lambda n: runs(F.split(n, r"\.")))))
 
 
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """The different runs of so many characters in a text."""
+    chars = F.split(text, "")
+    runs = [F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda k: F.array_join(
+        F.slice(chars, k, n), ""))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    return F.array_distinct(F.concat(*runs))
+
+
+def containing(entries: DataFrame, refs: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Each entry (branch, id, command) with each row of ``refs`` whose ``ref`` is a part of the command and whose columns ``on`` are the entry's.
+
+    Commands are looked up in an inverted index of their runs of ``GRAM`` characters: a ref asks for that one of its own runs that the fewest
+    commands have (a shorter ref for itself), which is an equi join; only what it finds is searched for the ref. The index has a row for each
+    run of a command that some ref holds, and is written to the scratch folder.
+    """
+    spark, on = entries.sparkSession, list(on)
+    refs = refs.where("ref <> ''")
+    sizes = sorted(r.n for r in refs.select(F.least(F.length("ref"), F.lit(GRAM)).alias("n")).distinct().collect()) or [1]  # GRAM rows at most
+    asked = refs.select("ref", F.explode(_grams(F.col("ref"), sizes)).alias("gram")).distinct()
+    asked = asked.where(F.length("gram") == F.least(F.length("ref"), F.lit(GRAM)))
+    index = entries.select("branch", "id", F.explode(_grams(F.col("command"), sizes)).alias("gram"))
+    path = scratch_path(spark, "grams")
+    index.join(asked.select("gram").distinct(), "gram", "left_semi").write.parquet(path)
+    index = spark.read.schema(index.schema).parquet(path)
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram").groupBy("ref").agg(F.min(F.struct("n", "gram")).alias("m")).select("ref", "m.gram")
+    found = refs.withColumnsRenamed({c: f"__{c}" for c in on}).join(rarest, "ref").join(index, "gram")
+    for c in on:
+        found = found.where(F.col(f"__{c}") == F.col(c))
+    found = found.drop("gram", *[f"__{c}" for c in on]).join(entries.select("branch", "id", "command"), ["branch", "id"])
+    return found.where(F.col("command").contains(F.col("ref")))
+
+
 def newest_change(log: DataFrame, objects: DataFrame, match: str = "exact") -> DataFrame:
     """Newest log entry per branch and object name: DF[branch, object_name, id, command].
 
@@ -110,8 +150,7 @@ def newest_change(log: DataFrame, objects: DataFrame, match: str = "exact") -> D
     ``match='exact'``: the entry's identity equals the name.
     ``match='loose'``: also an entry whose command names the object by its full name or a dotted suffix. Names
     are taken out of the commands, so both are equi joins however long the log is.
-    ``match='contains'``: as loose, but any part of the command's text will do. That compares every entry with
-    every object, for short logs only.
+    ``match='contains'``: as loose, but any part of the command's text will do; see ``containing``.
     Objects without a match are left out.
     """
     if match not in ("exact", "loose", "contains"):
@@ -127,14 +166,20 @@ def newest_change(log: DataFrame, objects: DataFrame, match: str = "exact") -> D
         named = entries.select("branch", "id", "command", F.explode(_mentions(F.col("command"))).alias("ref"))
         found = found.unionByName(refs.join(named, on).select("branch", "object_name", "id", "command"))
     elif match == "contains":
-        r = refs.withColumnRenamed("branch", "r_branch") if "branch" in keys else refs
-        cond = entries["command"].contains(r["ref"])
-        if "branch" in keys:
-            cond = cond & (entries["branch"] == r["r_branch"])
-        found = found.unionByName(entries.join(r, cond).select("branch", "object_name", "id", "command"))
+        found = found.unionByName(containing(entries, refs, on[:-1]).select("branch", "object_name", "id", "command"))
     return found.groupBy("branch", "object_name").agg(F.max("id").alias("id"), F.max_by("command", "id").alias("command"))
 
 
+def log_as_of(log: DataFrame, points: DataFrame, by: Sequence[str] = ("branch",)) -> DataFrame:
+    """For each point (the columns ``by`` and ``at``, a time) the newest entry of the log up to then, by time and id.
+
+    DF[columns of points, id, event_time, object_identity, command]; the last four are NULL where the log has none.
+    """
+    entries = log.select(*by, "id", "event_time", *[c for c in ("object_identity", "command") if c not in by])
+    found = as_of(points, entries, by, "at", "event_time", "id")
+    return found.select(*points.columns, *[F.col(f"entry.{c}").alias(c) for c in entries.columns if c not in by])
+
+
 def status_lines(log: DataFrame, branch: str) -> DataFrame:
     """``tag type identity`` per entry (the status report)."""
     return read_log(log, branch).select(
