@@ -10,6 +10,10 @@ For every branch table (main-only tables are left alone):
 * at the branch point and gone from main -> main dropped a table whose rows the branch still has: a conflict, or
   with ``resolve='main'`` skipped, or with ``resolve='branch'`` a new table again.
 
+With the branch point's fingerprints the plan is three-way: a table whose rows on the branch are those of the branch point was
+changed by main alone, or by nobody, and is neither an operation nor a conflict, even if main dropped it; ``changed_by``
+tells of the others whether main changed them as well.
+
 With ``only_meta`` (no data merge) only bookkeeping tables are planned. The bookkeeping list
 is built from the defaults, a replacement list and extras; a bare name matches the table in
 any schema, a dotted name matches ``schema.table``.
@@ -56,10 +60,12 @@ def key_frame(spark: SparkSession, keys: Mapping[str, list[str]]) -> DataFrame:
 
 def plan_data(main_fp: DataFrame, branch_fp: DataFrame, main_keys: DataFrame, branch_keys: DataFrame,
               meta: list[str] | None = None, only_meta: bool = False, base_tables: DataFrame | None = None,
-              resolve: str | None = None) -> DataFrame:
-    """``base_tables`` (schema, name) are those of the branch point; without it no table counts as dropped.
+              resolve: str | None = None, base_fp: DataFrame | None = None) -> DataFrame:
+    """``base_tables`` (schema, name) are those of the branch point; without it no table counts as dropped. ``base_fp`` are its
+    fingerprints.
 
-    DF[table, schema, table_name, operation, row_key, status, pk_columns, branch_rows, main_rows, new_table]."""
+    DF[table, schema, table_name, operation, row_key, status, pk_columns, branch_rows, main_rows, new_table, changed_by];
+    changed_by is ``branch`` or ``both``, null without ``base_fp`` and for tables that the branch point did not have."""
     meta = resolved_meta_tables() if meta is None else meta
     b = branch_fp
     if only_meta:
@@ -69,6 +75,13 @@ def plan_data(main_fp: DataFrame, branch_fp: DataFrame, main_keys: DataFrame, br
         .join(m, ["schema", "table"], "left")
     new_table = F.col("m_sum").isNull()
     j = j.filter((new_table & (F.col("branch_rows") > 0)) | (~new_table & (F.col("b_sum") != F.col("m_sum"))))
+    if base_fp is None:
+        j = j.withColumn("changed_by", F.lit(None).cast("string"))
+    else:
+        j = j.join(base_fp.select("schema", "table", F.col("checksum").alias("_o_sum")), ["schema", "table"], "left")
+        j = j.filter(F.col("_o_sum").isNull() | (F.col("b_sum") != F.col("_o_sum")))
+        j = j.withColumn("changed_by", F.when(F.col("_o_sum").isNull(), None).when(F.col("m_sum").eqNullSafe(F.col("_o_sum")), "branch")
+                         .otherwise("both"))
     mk = main_keys.select("schema", "table", F.col("pk_columns").alias("m_pk"))
     bk = branch_keys.select("schema", "table", F.col("pk_columns").alias("b_pk"))
     j = j.join(mk, ["schema", "table"], "left").join(bk, ["schema", "table"], "left")
@@ -91,4 +104,4 @@ def plan_data(main_fp: DataFrame, branch_fp: DataFrame, main_keys: DataFrame, br
         F.when(dropped, F.lit({"branch": "ok", "main": "skipped"}.get(resolve, "conflict"))).otherwise("ok").alias("status"),
         F.when(has_key, pk).otherwise(F.array().cast("array<string>")).alias("pk_columns"),
         "branch_rows", F.coalesce("main_rows", F.lit(0).cast("long")).alias("main_rows"),
-        new_table.alias("new_table"))
+        new_table.alias("new_table"), "changed_by")

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.local import local_frame
+from ..functions.names import split_name
 from .namespace import copy_namespace
-from .snapshot import Snapshot, from_json, take_snapshot, to_json
+from .snapshot import FINGERPRINT_SCHEMA, Snapshot, from_json, take_snapshot, to_json
 from .spec import TableSpec
 
 REGISTRY_SCHEMA = "name string, db_name string, parent_db string, created_at timestamp, snapshot_data string"
@@ -77,4 +78,6 @@ def create_branch(registry: DataFrame, name: str, tables: Mapping[str, DataFrame
         raise RuntimeError(f"copy of {bad} does not match its source")
     proof = local_frame(proof.sparkSession, [tuple(r) for r in rows], proof.schema)
     snap = take_snapshot(tables, specs)
+    # the copy was proved equal to its source, so these are the branch point's rows
+    snap.fingerprints = local_frame(proof.sparkSession, [(*split_name(r.table), r.row_count, r.checksum) for r in rows], FINGERPRINT_SCHEMA)
     return register_branch(registry, name, root, parent_db, snap, created_at), proof

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,11 @@ INDEX_STRUCT = ("struct<schema:string,table:string,name:string,definition:string
                 "is_primary:boolean>")
 CONSTRAINT_STRUCT = "struct<schema:string,table:string,name:string,type:string,definition:string>"
 
+FINGERPRINT_SCHEMA = "schema string, table string, row_count long, checksum string"
+FINGERPRINT_STRUCT = "struct<schema:string,table:string,row_count:bigint,checksum:string>"
+
 SNAPSHOT_JSON_SCHEMA = (f"tables array<{TABLE_STRUCT}>, indexes array<{INDEX_STRUCT}>, "
-                        f"constraints array<{CONSTRAINT_STRUCT}>")
+                        f"constraints array<{CONSTRAINT_STRUCT}>, fingerprints array<{FINGERPRINT_STRUCT}>")
 
 
 @dataclass
@@ -43,6 +47,7 @@ class Snapshot:
     columns: DataFrame
     indexes: DataFrame
     constraints: DataFrame
+    fingerprints: DataFrame | None = None  # of the tables' rows at that moment, where they were taken
 
 
 def take_snapshot(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec] | None = None,
@@ -76,7 +81,8 @@ def take_snapshot(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec
 def ordered_snapshot(snap: Snapshot) -> Snapshot:
     """The snapshot in display order."""
     return Snapshot(snap.tables.orderBy("schema", "name"), snap.columns.orderBy("schema", "table", "ordinal_position"),
-                    snap.indexes.orderBy("schema", "table", "name"), snap.constraints.orderBy("schema", "table", "name"))
+                    snap.indexes.orderBy("schema", "table", "name"), snap.constraints.orderBy("schema", "table", "name"),
+                    snap.fingerprints.orderBy("schema", "table") if snap.fingerprints is not None else None)
 
 
 def to_json(snap: Snapshot) -> DataFrame:
@@ -95,16 +101,19 @@ def to_json(snap: Snapshot) -> DataFrame:
     t_s = F.struct("schema", "name", "columns")
     i_s = F.struct(*snap.indexes.columns)
     k_s = F.struct(*snap.constraints.columns)
-    n = lambda s: F.lit(None).cast(s)
-    u = (t.select(t_s.alias("t"), n(INDEX_STRUCT).alias("i"), n(CONSTRAINT_STRUCT).alias("k"))
-         .unionByName(snap.indexes.select(n(TABLE_STRUCT).alias("t"), i_s.alias("i"), n(CONSTRAINT_STRUCT).alias("k")))
-         .unionByName(snap.constraints.select(n(TABLE_STRUCT).alias("t"), n(INDEX_STRUCT).alias("i"),
-                                              k_s.alias("k"))))
+    f_s = F.struct("schema", "table", "row_count", "checksum")
+    kinds = {"t": TABLE_STRUCT, "i": INDEX_STRUCT, "k": CONSTRAINT_STRUCT, "f": FINGERPRINT_STRUCT}
+    lists = [(t, "t", t_s), (snap.indexes, "i", i_s), (snap.constraints, "k", k_s)]
+    if snap.fingerprints is not None:
+        lists.append((snap.fingerprints, "f", f_s))
+    u = reduce(DataFrame.unionByName, [df.select(*[(s if k == own else F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()])
+                                       for df, own, s in lists])
     agg = u.agg(F.sort_array(F.collect_list("t")).alias("tables"),
                 F.sort_array(F.collect_list("i")).alias("indexes"),
-                F.sort_array(F.collect_list("k")).alias("constraints"))
-    return agg.select(F.to_json(F.struct("tables", "indexes", "constraints"),
-                                {"ignoreNullFields": "false"}).alias("snapshot_data"))
+                F.sort_array(F.collect_list("k")).alias("constraints"),
+                F.sort_array(F.collect_list("f")).alias("fingerprints"))
+    parts = ["tables", "indexes", "constraints", *(["fingerprints"] if snap.fingerprints is not None else [])]
+    return agg.select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("snapshot_data"))
 
 
 def from_json(json_df: DataFrame, column: str = "snapshot_data") -> Snapshot:
@@ -115,9 +124,11 @@ def from_json(json_df: DataFrame, column: str = "snapshot_data") -> Snapshot:
                           F.explode("t.columns").alias("c"))
             .select("schema", "table", "c.name", "c.data_type", "c.is_nullable", "c.column_default",
                     "c.ordinal_position"))
+    known = p.where("s.fingerprints is not null").limit(1).count() > 0  # a snapshot may have none
     return Snapshot(
         tables.select("t.schema", "t.name"),
         cols,
         p.select(F.explode("s.indexes").alias("i")).select("i.*"),
         p.select(F.explode("s.constraints").alias("k")).select("k.*"),
+        p.select(F.explode("s.fingerprints").alias("f")).select("f.*") if known else None,
     )
