@@ -7,7 +7,9 @@ branch scenario in ``scenario.py``). Column names are the same on both sides.
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Callable
+from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +21,12 @@ import oracles as O  # noqa: E402
 import scenario as S  # noqa: E402
 from branchwise.functions.local import local_frame  # noqa: E402
 from branchwise.functions.names import qualify  # noqa: E402
+from branchwise.operators import buckets  # noqa: E402
+from branchwise.operators.changelog import log_as_of, newest_change  # noqa: E402
 from branchwise.operators.checks import check_constraints  # noqa: E402
 from branchwise.operators.datadiff import compare_data, data_change_lines, divergent_tables  # noqa: E402
 from branchwise.operators.evolve import ColumnOp, evolve  # noqa: E402
+from branchwise.operators.filesums import FileSums  # noqa: E402
 from branchwise.operators.fingerprint import fingerprint, fingerprint_all  # noqa: E402
 from branchwise.operators.impact import profile, with_impact  # noqa: E402
 from branchwise.operators.rows import inserted_counts, merge_rows, new_rows  # noqa: E402
@@ -34,9 +39,10 @@ from branchwise.sources.namespace import Namespace, copy_namespace  # noqa: E402
 from branchwise.sources.snapshot import take_snapshot  # noqa: E402
 from branchwise.sources.spec import ForeignKey, TableSpec  # noqa: E402
 
-try:  # the training-data operators are an optional subpackage
+# The training-data operators are an optional subpackage; if it is there, what it fails to import is an error.
+if find_spec("branchwise.llm") and find_spec("corpus_pipeline"):
     from branchwise.llm import queries as llm_queries
-except ImportError:
+else:
     llm_queries = None
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
@@ -276,6 +282,79 @@ def _merged(spark, sf):
     return Namespace.load(spark, f"{root}/merged")
 
 
+def q_fingerprint_by_file(spark, sf):
+    """Fingerprints of main's edited tables after an append: the files of the first commit are known and aren't read again."""
+    root, names = scratch_path(spark, "by-file"), ("orders", "lineitem", "conversations")
+    paths, halves = {}, ("{0} % 3 = 0", "{0} % 3 <> 0")
+    for t in names:
+        df, key = _side(spark, sf, "main", t), S.BY_FILE_KEY[t]
+        paths[qualify(t)] = [f"{root}/{t}-{k}" for k in range(2)]
+        for path, rows in zip(paths[qualify(t)], halves):
+            df.filter(rows.format(key)).write.parquet(path)
+    first = Namespace.from_paths(spark, {t: p[:1] for t, p in paths.items()})
+    known = FileSums(spark, {"main": first.scans()})
+    now = Namespace.from_paths(spark, paths)
+    return FileSums(spark, {"main": now.scans()}, known.sums).fingerprints("main")
+
+
+def q_new_rows_localised(spark, sf):
+    """New orders and turns, each joined only in the key buckets that differ."""
+    o = buckets.new_rows(_side(spark, sf, "branch", "orders"), _side(spark, sf, "main", "orders"), ["o_orderkey"])
+    c = buckets.new_rows(_side(spark, sf, "branch", "conversations"), _side(spark, sf, "main", "conversations"), ["conv_id", "turn"])
+    none = F.lit(None).cast("long")
+    return o.select(F.lit("orders").alias("t"), F.col("o_orderkey").alias("a"), none.alias("b"), F.col("o_orderstatus").alias("v")).unionByName(
+        c.select(F.lit("conversations").alias("t"), F.col("conv_id").alias("a"), F.col("turn").alias("b"), F.col("text").alias("v")))
+
+
+def q_row_changes_orders(spark, sf):
+    return buckets.row_changes(_side(spark, sf, "base", "orders"), _side(spark, sf, "branch", "orders"), ["o_orderkey"])
+
+
+def _three_way_sides(spark, sf):
+    """The scenario's sides; on main alone nation has lost rows as well."""
+    sides = {side: _ns(spark, sf, side) for side in ("base", "main", "branch")}
+    sides["main"]["public.nation"] = sides["main"]["public.nation"].filter("n_nationkey % 5 <> 2")
+    return sides
+
+
+def q_data_merge_plan_three_way(spark, sf):
+    fp = {side: fingerprint_all(tables) for side, tables in _three_way_sides(spark, sf).items()}
+    p = plan_data(fp["main"], fp["branch"], key_frame(spark, _keys("main")), key_frame(spark, _keys("branch")),
+                  base_tables=_snap(spark, sf, "base").tables, base_fp=fp["base"])
+    return p.select("table", "operation", "row_key", "status", "branch_rows", "main_rows", "new_table", "changed_by")
+
+
+def _log_objects(spark, sf):
+    return S.read_table(spark, sf, "events").selectExpr(f"{S.LOG_OBJECTS.format(string='STRING')} AS object_name").distinct()
+
+
+def q_log_newest_contains(spark, sf):
+    return newest_change(S.change_log(spark, sf), _log_objects(spark, sf), match="contains").select("branch", "object_name", "id")
+
+
+def q_log_as_of_branches(spark, sf):
+    """For each order the state of one branch's log at the order's time, moved to the log's years."""
+    points = S.read_table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS point", "concat('b', CAST(o_custkey % 9 AS STRING)) AS branch",
+        "timestampadd(SECOND, CAST((o_orderkey * 7919) % 2700000 AS INT), TIMESTAMP_NTZ '2023-12-31 12:00:00') AS at")
+    found = log_as_of(S.change_log(spark, sf), points)
+    return found.select("point", "branch", "id", "object_identity")
+
+
+def q_catalog_snapshot(spark, sf):
+    """Tables and columns of a database of the session catalog over the given files, with their rows."""
+    name = f"bw_{zlib.crc32(sf.encode())}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{scratch_path(spark, 'catalog')}'")
+    for t in S.TABLES:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name}.{t} USING parquet LOCATION '{sf}/{t}.parquet'")
+    ns = Namespace.from_catalog(spark, name)
+    listed = take_snapshot(ns.tables, spark=spark).columns
+    p = profile(ns.tables).withColumn("table", F.substring_index("table", ".", -1))
+    listed = listed.select(F.col("table").alias("t"), "name", "data_type", "ordinal_position")
+    return listed.join(p, (F.col("t") == F.col("table")) & (F.col("name") == F.col("column"))).select(
+        "table", "name", "data_type", "ordinal_position", "row_count", "null_count")
+
+
 def q_merge_orders_end_to_end(spark, sf):
     return _merged(spark, sf).tables["public.orders"]
 
@@ -328,6 +407,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "check_fk_composite": q_check_fk_composite,
         "check_fk_self_append": q_check_fk_self_append,
         "diff_branch": q_diff_branch,
+        "fingerprint_by_file": q_fingerprint_by_file,
+        "new_rows_localised": q_new_rows_localised,
+        "row_changes_orders": q_row_changes_orders,
+        "data_merge_plan_three_way": q_data_merge_plan_three_way,
+        "log_newest_contains": q_log_newest_contains,
+        "log_as_of_branches": q_log_as_of_branches,
+        "catalog_snapshot": q_catalog_snapshot,
         "branch_copy_proof": q_branch_copy_proof,
         "merge_orders_end_to_end": q_merge_orders_end_to_end,
         "merge_namespace_fingerprints": q_merge_namespace_fingerprints,
@@ -514,6 +600,24 @@ def _merged_sql():
     return " UNION ALL ".join(parts)
 
 
+def _three_way_sql():
+    """The plan from counts and digests of the three sides; nation as main alone has it."""
+    main = _fp_all_sql("main").replace(_fp_sql("main", "nation"), O.duck_fingerprint("(SELECT * FROM nation WHERE n_nationkey % 5 <> 2)", _cols("nation")))
+    return (f"WITH o AS ({_fp_all_sql('base')}), m AS ({main}), b AS ({_fp_all_sql('branch')}), "
+            f"mk AS ({_keys_sql('main')}), bk AS ({_keys_sql('branch')}), "
+            f"j AS (SELECT b.schema || '.' || b.\"table\" AS \"table\", b.row_count AS branch_rows, coalesce(m.row_count, 0) AS main_rows, "
+            f"m.checksum IS NULL AS new_table, o.checksum AS o_sum, m.checksum AS m_sum, "
+            f"CASE WHEN m.checksum IS NULL THEN bk.key_columns ELSE mk.key_columns END AS pk FROM b "
+            f"LEFT JOIN m ON m.schema = b.schema AND m.\"table\" = b.\"table\" LEFT JOIN o ON o.schema = b.schema AND o.\"table\" = b.\"table\" "
+            f"LEFT JOIN mk ON mk.schema = b.schema AND mk.tname = b.\"table\" LEFT JOIN bk ON bk.schema = b.schema AND bk.tname = b.\"table\" "
+            f"WHERE (o.checksum IS NULL OR o.checksum <> b.checksum) AND ((m.checksum IS NULL AND b.row_count > 0) OR m.checksum <> b.checksum)) "
+            f"SELECT \"table\", CASE WHEN pk IS NOT NULL THEN 'INSERT_PK' ELSE 'SYNC' END AS operation, "
+            f"CASE WHEN new_table AND o_sum IS NOT NULL THEN branch_rows || ' row(s) (dropped on main)' WHEN new_table THEN branch_rows || ' row(s) (new table)' "
+            f"ELSE branch_rows || ' rows (branch) vs ' || main_rows || ' rows (main)' END || CASE WHEN pk IS NULL THEN ' (no primary key)' ELSE '' END AS row_key, "
+            f"CASE WHEN new_table AND o_sum IS NOT NULL THEN 'conflict' ELSE 'ok' END AS status, branch_rows, main_rows, new_table, "
+            f"CASE WHEN o_sum IS NULL THEN NULL WHEN m_sum IS NOT DISTINCT FROM o_sum THEN 'branch' ELSE 'both' END AS changed_by FROM j")
+
+
 def oracle_sql() -> dict[str, str]:
     orders_cols = ", ".join(c for c, _ in _cols("orders"))
     out = {
@@ -591,6 +695,22 @@ def oracle_sql() -> dict[str, str]:
                                  "count(*) AS violations FROM conversations a WHERE turn > 1 AND (conv_id + turn) % 5 <> 1 AND NOT EXISTS "
                                  "(SELECT 1 FROM conversations q WHERE (q.conv_id + q.turn) % 5 <> 1 AND q.conv_id = a.conv_id AND "
                                  "q.turn = a.turn - 1)"),
+        "fingerprint_by_file": f"SELECT * FROM ({_fp_all_sql('main')}) WHERE \"table\" IN ('orders', 'lineitem', 'conversations')",
+        "new_rows_localised": ("SELECT 'orders' AS t, o_orderkey AS a, CAST(NULL AS BIGINT) AS b, o_orderstatus AS v FROM ("
+                               + _anti_sql("orders", ["o_orderkey"]) + ") UNION ALL SELECT 'conversations', conv_id, turn, text FROM ("
+                               + _anti_sql("conversations", ["conv_id", "turn"]) + ")"),
+        "row_changes_orders": (f"SELECT coalesce(b.o_orderkey, c.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'added' "
+                               f"WHEN c.o_orderkey IS NULL THEN 'removed' ELSE 'modified' END AS change FROM {S.side_sql('base', 'orders')} b "
+                               f"FULL OUTER JOIN {S.side_sql('branch', 'orders')} c ON b.o_orderkey = c.o_orderkey WHERE b.o_orderkey IS NULL OR "
+                               f"c.o_orderkey IS NULL OR " + " OR ".join(f"b.{c} IS DISTINCT FROM c.{c}" for c, _ in _cols("orders"))),
+        "data_merge_plan_three_way": _three_way_sql(),
+        "log_newest_contains": (f"WITH l AS ({S.log_sql('VARCHAR')}), o AS (SELECT DISTINCT {S.LOG_OBJECTS.format(string='VARCHAR')} AS object_name FROM events) "
+                                f"SELECT l.branch, o.object_name, max(l.id) AS id FROM l JOIN o ON l.object_identity = o.object_name OR "
+                                f"contains(l.command, o.object_name) OR contains(l.command, split_part(o.object_name, '.', 2)) GROUP BY ALL"),
+        "log_as_of_branches": (f"WITH l AS ({S.log_sql('VARCHAR')}), p AS (SELECT o_orderkey AS point, concat('b', CAST(o_custkey % 9 AS VARCHAR)) AS branch, "
+                               f"TIMESTAMP '2023-12-31 12:00:00' + to_seconds(CAST((o_orderkey * 7919) % 2700000 AS INTEGER)) AS at FROM orders) "
+                               f"SELECT p.point, p.branch, l.id, l.object_identity FROM p ASOF LEFT JOIN l ON p.branch = l.branch AND p.at >= l.event_time"),
+        "catalog_snapshot": f"SELECT * EXCLUDE (schema, is_nullable) FROM ({_columns_sql()})",
         "merge_namespace_fingerprints": _merged_sql(),
         "branch_copy_proof": (f"SELECT schema || '.' || \"table\" AS \"table\", row_count, checksum, true AS copied_ok "
                               f"FROM ({_all_fp_sql()})"),

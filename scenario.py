@@ -30,6 +30,9 @@ KEYS = {
     "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
 }
 
+#: Columns by which ``fingerprint_by_file`` splits a table's rows into two commits.
+BY_FILE_KEY = {"orders": "o_custkey", "lineitem": "l_partkey", "conversations": "conv_id"}
+
 # side -> table -> None (absent) or (row filter, {column: replacement expression})
 VARIANTS: dict[str, dict[str, tuple[str | None, dict[str, str]] | None]] = {
     "base": {
@@ -175,6 +178,24 @@ def evolved_namespace(spark: SparkSession, sf_dir: str, side: str) -> dict[str,
     return ns
 
 
+#: A change log of the ``events`` table, one entry per event, and the points at which branches were taken; both in Spark and DuckDB text.
+LOG_COLUMNS = {
+    "branch": "concat('b', CAST(user_id % 7 AS {string}))", "id": "event_id", "event_time": "ts", "command_tag": "upper(event_type)",
+    "object_type": "'table'", "schema_name": "'shop'", "object_identity": "concat('shop.', event_type, '.u', CAST(user_id AS {string}))",
+    "command": "concat('ALTER TABLE shop.', event_type, '_', CAST(user_id % 40 AS {string}), ' SET props = ', coalesce(props, ''))",
+}
+LOG_OBJECTS = "concat('shop.', event_type, '_', CAST(user_id AS {string}))"
+
+
+def log_sql(kind: str) -> str:
+    """``SELECT`` of the log from ``events``; kind is the dialect's name for text."""
+    return "SELECT " + ", ".join(f"{e.format(string=kind)} AS {c}" for c, e in LOG_COLUMNS.items()) + " FROM events"
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").selectExpr(*[f"{e.format(string='STRING')} AS {c}" for c, e in LOG_COLUMNS.items()])
+
+
 def commit_side(spark: SparkSession, sf_dir: str, side: str, root: str) -> Namespace:
     """One side as a committed namespace: what it edits is written, the other tables refer to the given files."""
     entries = {}
