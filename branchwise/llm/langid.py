@@ -68,7 +68,8 @@ def bundle(codes_: np.ndarray) -> np.ndarray:
     first, second, third = once("letter vectors", _letters)
     for at in range(0, max(len(codes_) - 2, 0), CHUNK):
         c = codes_[at:at + CHUNK + 2]
-        grams, n = np.unique((c[:-2] * SLOTS + c[1:-1]) * SLOTS + c[2:], return_counts=True)
+        within = (c[1:-1] > 0) | ((c[:-2] > 0) & (c[2:] > 0))  # two spaces in a row are a seam between texts
+        grams, n = np.unique(((c[:-2] * SLOTS + c[1:-1]) * SLOTS + c[2:])[within], return_counts=True)
         for k in range(0, len(grams), 4096):
             g, m = grams[k:k + 4096], n[k:k + 4096].astype(np.float32)
             bound = first[g // SLOTS**2] * second[g // SLOTS % SLOTS] * third[g % SLOTS]
@@ -86,7 +87,7 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> tuple[list[
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if t and (c := codes(t)).any():
                     by.setdefault(lang, []).append(c)
-            for lang, texts in by.items():  # the spaces at both ends keep texts apart but for "x  y"
+            for lang, texts in by.items():  # the spaces at both ends keep texts apart, ``bundle`` leaves the seams out
                 sums[lang] = sums.get(lang, 0) + bundle(np.concatenate(texts))
             if len(sums) > MAX_LANGS:
                 yield from send(sums)

@@ -36,6 +36,15 @@ def test_train_and_identify(spark):
     assert L.identify(one, model).head().lang_pred == "en"
 
 
+def test_prototypes_do_not_depend_on_partitions(spark):
+    rows = [(k, text, lang) for k in range(12) for text, lang in ((EN, "en"), (DE, "de"), ("a", "en"), ("ß 1", "de"), ("x  y", "en"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = [12 * (slow_bundle(DE) + slow_bundle("ß 1")), 12 * (slow_bundle(EN) + slow_bundle("a") + slow_bundle("x y"))]
+    for n in (1, 3, 11):
+        langs, protos = L.train(df.repartition(n))
+        assert langs == ["de", "en"] and (protos == np.array(want)).all()
+
+
 def test_no_labels_and_no_rows(spark):
     df = spark.createDataFrame([(1, EN, None)], "doc_id long, text string, lang string")
     model = L.train(df)
