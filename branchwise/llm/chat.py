@@ -27,14 +27,16 @@ from branchwise.llm.common import table
 
 START, END = "### ", "\n</turn>\n"
 _CONTROL = r"(</turn>|### )"
+#: A run of backslashes is tried from its beginning only, so a long one takes linear time.
+_RUN = r"(?<!\\)"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(\\*)" + _CONTROL, r"\\$1$2")
+    return F.regexp_replace(text, _RUN + r"(\\*+)" + _CONTROL, r"\\$1$2")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(\\*)" + _CONTROL, "$1$2")
+    return F.regexp_replace(text, _RUN + r"\\(\\*+)" + _CONTROL, "$1$2")
 
 
 def encode_role(role: Column) -> Column:

@@ -51,6 +51,14 @@ def test_round_trip_against_a_plain_parser(spark):
         assert [plain_parse(f"### a: {m}\n</turn>\n")[0][1] for m in masked] == [x for role, x in turns if role == "assistant"]
 
 
+def test_long_runs_of_backslashes(spark):
+    n = 1_000_000
+    texts = ["\\" * n, "\\" * n + "### ", "### " + "\\" * n + "</turn>", "\\" * n + "x </turn>"]
+    df = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.parsed for r in C.format_conversations(df).select("conv_id", C.parse(F.col("formatted")).alias("parsed")).collect()}
+    assert {c: p[0].text for c, p in got.items()} == dict(enumerate(texts))
+
+
 def test_plain_text_stays_as_it_is(spark):
     df = spark.createDataFrame([(1, 0, "user", "a\\b # c\n")], "conv_id long, turn long, role string, text string")
     assert C.format_conversations(df).head().formatted == "### user: a\\b # c\n\n</turn>\n"
