@@ -14,6 +14,7 @@ other columns pass through, and result columns replace input columns of the same
 from __future__ import annotations
 
 import re
+from bisect import insort
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,9 @@ from pyspark.sql import types as T
 
 from branchwise.llm.common import table
 
-#: Entries are broadcast; the list must stay under these bounds.
-MAX_ENTRIES = 2_000_000
-MAX_ENTRY_BYTES = 200_000_000
+#: The trie is broadcast; it must stay under these bounds. A node takes about 700 bytes.
+MAX_NODES = 300_000
+MAX_ENTRY_BYTES = 50_000_000
 
 #: The rules of the query: (verdict, host, path).
 RULES = (
@@ -52,22 +53,33 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         node = root
         for label in reversed(host.translate(_LOWER).split(".")) if host else ():
             node = node["next"].setdefault(label, {"next": {}, "path": None})
-        at = node["path"] = node["path"] or {"next": {}, "tails": {}}
+        at = node["path"] = node["path"] or {"next": {}, "tails": {}, "sizes": []}
         *segments, tail = path.split("/")
         for segment in segments:
-            at = at["next"].setdefault(segment, {"next": {}, "tails": {}})
+            at = at["next"].setdefault(segment, {"next": {}, "tails": {}, "sizes": []})
         rule = host.translate(_LOWER) + path
         if at["tails"].get(tail, (rule, ""))[1] != "block":
             at["tails"][tail] = (rule, verdict)
+        if len(tail) not in at["sizes"]:
+            insort(at["sizes"], len(tail))
     return root
 
 
+def count_nodes(trie: dict) -> int:
+    stack, n = [trie], 0
+    while stack:
+        node = stack.pop()
+        n += 1
+        stack += [*node["next"].values(), *([node["path"]] if node.get("path") else [])]
+    return n
+
+
 def _best_path(node: dict, path: str) -> tuple[str, str] | None:
     """Longest entry of a host's path trie that ``path`` starts with."""
     best, segments = None, path.split("/")
     for k, segment in enumerate(segments):
-        for n in range(len(segment), -1, -1):  # an entry's tail holds no slash: a prefix of this segment
-            if segment[:n] in node["tails"]:
+        for n in reversed(node["sizes"]):  # an entry's tail holds no slash: a prefix of this segment
+            if n <= len(segment) and segment[:n] in node["tails"]:
                 best = node["tails"][segment[:n]]
                 break
         if k + 1 == len(segments) or segment not in node["next"]:  # a deeper entry needs a slash here
@@ -95,11 +107,11 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]], url: str =
     """Adds host, path, rule and verdict to each row of ``df``."""
     rules = list(rules)
     size = sum(len(host) + len(path) for _, host, path in rules)
-    if len(rules) > MAX_ENTRIES or size > MAX_ENTRY_BYTES:
-        raise ValueError(f"{len(rules)} entries, {size} characters: over the bound of the broadcast; "
-                         "split the list by top-level label and filter in several passes")
-    spark = df.sparkSession
-    trie = spark.sparkContext.broadcast(build_trie(rules))
+    trie = build_trie(rules) if size <= MAX_ENTRY_BYTES else None
+    if trie is None or (nodes := count_nodes(trie)) > MAX_NODES:
+        raise ValueError(f"{len(rules)} entries, {size} characters" + (f", {nodes} nodes" if trie else "") + ": over the bound of the "
+                         "broadcast; split the list by top-level label and filter in several passes")
+    trie = df.sparkSession.sparkContext.broadcast(trie)
 
     def judge(urls):
         import pandas as pd

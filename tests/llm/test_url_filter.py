@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from branchwise.llm import url_filter as U
 
 
@@ -38,6 +40,16 @@ def test_empty_tables_rules_and_bound(spark):
     assert [r.verdict for r in U.filter_urls(one, [], default="block").collect()] == ["block"] * 2
 
 
+def test_long_segments_and_bound(spark, monkeypatch):
+    rules = [("block", "a.net", "/x"), ("allow", "a.net", "/xyz"), ("block", "a.net", "/" + "q" * 999_999)]
+    urls = ["http://a.net/x" + "y" * 1_000_000, "http://a.net/xyz" + "z" * 1_000_000, "http://a.net/" + "q" * 1_000_000, "http://" + "b." * 500_000 + "a.net/x"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert [r.verdict for r in U.filter_urls(df, rules).orderBy("page_id").collect()] == ["block", "allow", "block", "block"]
+    monkeypatch.setattr(U, "MAX_NODES", 3)
+    with pytest.raises(ValueError):
+        U.filter_urls(df, rules)
+
+
 def test_block_beats_equal_allow():
     trie = U.build_trie([("block", "a.b", "/"), ("allow", "a.b", "/"), ("allow", "", "/z")])
     assert U.lookup(trie, "c.a.b", "/z") == ("a.b/", "block") and U.lookup(trie, "", "/zz") == ("/z", "allow")
