@@ -4,7 +4,8 @@ Every rule says whether it rejects a text. A sample of at most ``SAMPLE_ROWS`` d
 costs (seconds per character, its statistics included) and what share it rejects; the cascade runs the rules by
 rejection per cost, largest first, and a text leaves it at the first rule that rejects. The order changes how much work is
 done, never the verdict: a text is kept if no rule rejects it. Costs are clocked, so the order may
-differ between runs.
+differ between runs; what is reported of a rejected text is the first rule of the fixed list that rejects it, which doesn't. Measures
+that are asked for are worked out for every text, whatever the cascade spares.
 
 Words are runs of anything but ASCII white space. The base statistics (``measure``) are exact for whole texts:
 repeats are words in 8-word windows that occur twice or more, found by numbering 1-, 2-, 4- and
@@ -136,7 +137,7 @@ def plan_cascade(df: DataFrame, text: str = "text", rules: dict = RULES, sample_
 
 def judge(df: DataFrame, order: list[str], text: str = "text", rules: dict = RULES, measures: tuple = (),
           base: tuple = BASE) -> DataFrame:
-    """Adds ``measures``, base_failed, kept and rejected_by (the rule that ended the cascade)."""
+    """Adds ``measures``, base_failed, kept and rejected_by (the first of ``rules`` that rejects the text)."""
     stats = [f"__{m}" for m in measures]
 
     def run(texts):
@@ -144,8 +145,9 @@ def judge(df: DataFrame, order: list[str], text: str = "text", rules: dict = RUL
 
         rows = []
         for t in map(Text, texts):
-            why = next((name for name in order if rules[name](t)), None)
-            rows.append((*(t.get(m) for m in measures), any(rules[b](t) for b in base), why is None, why))
+            kept = not any(rules[name](t) for name in order)
+            why = None if kept else next(name for name in rules if rules[name](t))
+            rows.append((*(t.get(m) for m in measures), any(rules[b](t) for b in base), kept, why))
         return pd.DataFrame(rows, columns=[*stats, "__base_failed", "__kept", "__rejected_by"])
 
     kind = "".join(f"{s} long, " for s in stats) + "__base_failed boolean, __kept boolean, __rejected_by string"

@@ -48,8 +48,10 @@ def test_order_is_by_rejection_per_cost_and_changes_no_verdict(spark):
     per_cost = [share / cost for _, cost, share in plan]
     assert per_cost == sorted(per_cost, reverse=True)
     names = list(Q.RULES)
-    one, two = (sorted((r.doc_id, r.kept) for r in Q.judge(df, o).collect()) for o in (names, names[::-1]))
+    one, two = (sorted((r.doc_id, r.kept, r.rejected_by or "") for r in Q.judge(df, o).collect()) for o in (names, names[::-1]))
     assert one == two
+    every = dict(enumerate(texts()))
+    assert all(by == next((n for n in names if Q.RULES[n](Q.Text(every[i]))), "") for i, _, by in one)
 
 
 def test_empty_table(spark):
