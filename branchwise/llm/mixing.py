@@ -17,7 +17,8 @@ Ordering the sources takes one task one row per source.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; with no words at all every target
 is 0. A null source is a source. Repeated rows are documents of their own; rows without id too. The shuffle depends on the
-id and ``seed`` alone, ties go by size. Empty tables give empty results.
+id, the text and ``seed`` alone, ties go by size; rows of one id and text stand together, in as many buckets as the input had
+partitions. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ CHUNK = 4096
 GOLDEN = 0.6180339887498949
 
 
-def shuffle_key(doc_id: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def shuffle_key(doc_id: str, text: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"),
+                          F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).cast("binary"))
 
 
 def div(a: Column, b: Column | int) -> Column:
@@ -102,9 +104,10 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     new = ["size", "source_size", "target", "taken"]
     keep = [c for c in df.columns if c != text and c not in new]
     base = df.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in keep),
-                     F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+                     F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                     shuffle_key(f"`{doc_id}`", f"`{text}`", seed).alias("turn"))
     base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("source", F.col(f"`__{source}`"))
-    base = written(base.withColumn("turn", shuffle_key(f"`__{doc_id}`", seed)), "mixing-sizes")
+    base = written(base, "mixing-sizes")
     plan = targets(base.select("source", "size"), max_epochs)
     sums = base.agg(F.sum("size"), F.count("*")).first()
     total, rows = int(sums[0] or 0), int(sums[1])
@@ -129,6 +132,12 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
         digits += 1
     docs = base.where("size > 0").join(plan.select("sid", "source"), base["source"].eqNullSafe(plan["source"]))
     docs = docs.select("row", "sid", "size", "turn", f"__{doc_id}", F.substring("turn", 1, digits).alias("bucket"))
+    # where one id and text has more rows than a bucket should, its bucket is cut on in the order of the rows: turn, size, input partition
+    hot = docs.groupBy("sid", "bucket", "turn").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("sid", "bucket").distinct()
+    docs = docs.join(hot.withColumn("cut", F.lit(True)), ["sid", "bucket"], "left")
+    padded = lambda c: F.lpad(c.cast("string"), 20, "0")
+    docs = docs.withColumn("bucket", F.when(F.col("cut"), F.concat("turn", padded(F.col("size")), padded(F.shiftright("row", 33))))
+                           .otherwise(F.col("bucket"))).drop("cut")
     per_bucket = docs.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     at = per_bucket.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("first"))
     order = Window.partitionBy("sid", "bucket").orderBy("turn", f"__{doc_id}", "size", "row")
@@ -154,7 +163,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                  md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || sha256(coalesce(text, ''))) AS turn
            FROM documents),
      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
            FROM d GROUP BY source),
@@ -169,7 +179,7 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
            FROM c, f),
      p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.goal // greatest(t.source_size, 1) AS epochs,
                   t.goal % greatest(t.source_size, 1) AS part,
-                  sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
+                  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size
                                     ROWS UNBOUNDED PRECEDING) - d.size AS pos
            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

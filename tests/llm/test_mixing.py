@@ -34,8 +34,8 @@ def plain_mix(rows):
     target = plain_targets(by)
     out = []
     for s in by:
-        docs = sorted((hashlib.md5(f"17:{'' if d is None else d}".encode()).hexdigest(), d is not None, d or 0, n)
-                      for (d, x, _), n in zip(rows, sizes) if x == s)
+        docs = sorted((hashlib.md5(f"17:{'' if d is None else d}:{hashlib.sha256((t or '').encode()).hexdigest()}".encode()).hexdigest(),
+                       d is not None, d or 0, n) for (d, x, t), n in zip(rows, sizes) if x == s)
         at, goal = 0, int(target[s])
         for _, known, d, n in docs:
             part = goal % by[s] if by[s] else 0
@@ -66,6 +66,15 @@ def test_against_plain_mix(spark, slots, bucket_rows):
     assert all(g[4] <= 3 * g[1] for g in got)
 
 
+def test_a_third_of_the_rows_without_an_id(spark):
+    rows = rows_of(100, 5) + [(None, "a", "one two three")] * 60 + [(None, "a", f"w{k} " * (k % 7)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7)
+    got = sorted(((r.doc_id, r["size"], r.source_size, r.taken) for r in M.mix(df, bucket_rows=16).collect()), key=str)
+    assert got == [w[:3] + w[4:] for w in plain_mix(rows)]
+    turns = df.where("doc_id is null").select(M.shuffle_key("doc_id", "text", 17).alias("t")).distinct().count()
+    assert turns > 50  # texts without an id are shuffled as well
+
+
 def test_every_stretch_of_the_schedule_is_near_the_shares(spark):
     plan = spark.createDataFrame([(0, 5000), (1, 0), (2, 1500), (3, 1), (4, 3499)], "sid int, need long")
     slots = M.schedule(plan, chunk=64).orderBy("slot").collect()
