@@ -3,19 +3,19 @@
 Base findings stand by themselves: assignments (a keyword, ``:`` or ``=``, a value of 6 or more
 characters), access identifiers and long hex strings. Weak parts are only reported together: an access
 identifier by name (``user = ...``), a bare 40-character key, a value behind a weak keyword, an endpoint. Each part
-has a role (identifier, secret, endpoint); base findings have roles too. A scope is a stretch of
-text without a blank line, and parts link if they are in one scope and within ``REACH`` code points:
-a weak secret needs an identifier, a weak identifier a secret, an endpoint both. With ``between`` (the query and the
-pipeline) that is what lies between the end of one and the start of the other, so a long value hides nothing; else
-their begins count. The link is an interval join: parts are keyed by scope and the cells of ``REACH`` code points that they
-cover, a weak part looks into its own cells and the two beside them, as a semi join, so that no pairs are made.
+has a role (identifier, secret, endpoint); base findings have roles too. A scope is an interval of the text that its form
+bounds, however long: a group of lines up to a blank line, one record of a list of records (``},{``), or, in prose, a sentence. Parts
+link if they begin in one scope: a weak secret needs an identifier, a weak identifier a secret, an endpoint both. The interval
+join of parts and scopes is a running count of the scopes' bounds over the places of both; what roles a scope has is one
+aggregated row, so no pairs of parts are made.
 
 Places come from the lengths of the matches and of what lies between them, summed along a text by a
 window. Texts with a match are known by a hash of the text: the parts of equal texts are worked out
-once however often they occur, and texts without a match take no part in a join or shuffle.
+once however often they occur, and texts without a match take no part in a join or shuffle. The patterns run once over each text,
+for the scan as for masking.
 
-Patterns see whole texts. Spans count code points, end exclusive. Weak parts that overlap a base
-finding are dropped.
+Patterns see whole texts; none of them goes back over what it has repeated, so matching takes neither deep stacks nor more
+than linear time. Spans count code points, end exclusive. Weak parts that overlap a base finding are dropped.
 
 Defined results: null and empty texts have no findings. Repeated rows and null ids each get their
 row. Empty tables give empty results.
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from branchwise.llm.common import table, written
 
-REACH = 400
+#: Code points of the cells by which overlapping spans meet.
+CELL = 400
 #: Matches of an assignment take in too short values, as a longest run does; those are dropped afterwards.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 LEAST_VALUE = 6
-BREAK = r"\n[ \t\r]*\n"
+#: Between scopes: a blank line, the end of a record before the next, the end of a sentence.
+BREAK = r"\n[ \t\r]*+\n|\}[ \t\r\n]*+,[ \t\r\n]*+\{|[.!?][\"')\]]*+[ \t\r\n]++(?=[A-Z\u00C0-\u00DE])"
 #: kind: (pattern, role). The first three are the base, in the order in which kinds of one start are listed.
 #: The access and hex patterns are maximal runs, so a least length in the pattern drops what is too short.
 KINDS = {
@@ -48,7 +50,7 @@ KINDS = {
     "ident": (r"""(?i)\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""",
               "identifier"),
     "endpoint": (r"""(?i)\b(?:(?:https?|ftps?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb)://[^\s"'<>]{3,}|"""
-                 r"""(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+)""", "endpoint"),
+                 r"""(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++)""", "endpoint"),
 }
 BASE = ("assign", "access", "hex")
 RANK = {k: n for n, k in enumerate(KINDS)}
@@ -91,7 +93,7 @@ def matches(text: Column) -> Column:
     return F.when(suspect(text), found)
 
 
-def spans(seen: DataFrame, reach: int = REACH, between: bool = False) -> DataFrame:
+def spans(seen: DataFrame) -> DataFrame:
     """key and found, the sorted (start, rank, kind, end) of each text that has a finding; seen: key, m (``matches``)."""
     seen = seen.select("key", "m").dropDuplicates(["key"])
     rows = seen.select("key", F.explode("m").alias("m")).select("key", F.posexplode("m").alias("n", "m")).select("key", "n", "m.*")
@@ -103,10 +105,10 @@ def spans(seen: DataFrame, reach: int = REACH, between: bool = False) -> DataFra
     role = F.create_map(*(F.lit(x) for k, (_, r) in KINDS.items() for x in (k, r)))
     rank = F.create_map(*(F.lit(x) for k, r in RANK.items() for x in (k, r)))
     parts = written(rows.select("key", "kind", "start", "end", "scope", role[F.col("kind")].alias("role"),
-                                rank[F.col("kind")].alias("rank"), F.floor(F.col("start") / reach).alias("cell")), "secret-parts")
+                                rank[F.col("kind")].alias("rank")), "secret-parts")
     base = parts.where(F.col("kind").isin(*BASE))
     # weak parts that overlap a base finding go: both cover a common cell
-    cells = F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach)))
+    cells = F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL)))
     weak = parts.where(~F.col("kind").isin(*BASE))
     covers = base.select(F.col("key").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), cells.alias("c2"))
     hidden = weak.select("key", "rank", "start", "end", cells.alias("c1")).join(
@@ -114,45 +116,37 @@ def spans(seen: DataFrame, reach: int = REACH, between: bool = False) -> DataFra
         "left_semi").select("key", "rank", "start").distinct()
     weak = weak.join(hidden, ["key", "rank", "start"], "left_anti")
     every = base.unionByName(weak)
-    stop = F.col("end") if between else F.col("start")
-    cell = lambda place: F.floor(place / reach)
-    near = {r: every.where(F.col("role") == r).select(
-        F.col("key").alias("k2"), F.col("scope").alias("o2"), F.col("start").alias("s2"), stop.alias("e2"),
-        F.explode(F.sequence(cell(F.col("start")) - 1, cell(stop) + 1)).alias("c2")) for r in ("identifier", "secret")}
-    linked = []
-    for r, needs in NEEDS.items():
-        part = weak.where(F.col("role") == r)
-        for need in needs:
-            looks = part.withColumn("stop", stop).withColumn("c1", F.explode(F.sequence(cell(F.col("start")), cell(F.col("stop")))))
-            part = looks.join(near[need], (F.col("key") == F.col("k2")) & (F.col("scope") == F.col("o2")) & (F.col("c1") == F.col("c2"))
-                              & (F.greatest(F.col("start") - F.col("e2"), F.col("s2") - F.col("stop")) <= reach), "left_semi")
-            part = part.drop("stop", "c1")
-            part = part.distinct() if between else part
-        linked.append(part)
-    for part in linked:
-        base = base.unionByName(part)
-    return base.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
-
-
-def scan(df: DataFrame, text: str = "text", reach: int = REACH, between: bool = False) -> DataFrame:
-    """The other columns of ``df`` with found: the sorted (start, rank, kind, end) of each row's text."""
-    keep = [c for c in df.columns if c not in (text, "found")]
+    roles = every.groupBy("key", "scope").agg(*(F.max(F.col("role") == r).alias(f"has_{r}") for r in ("identifier", "secret")))
+    linked = reduce(Column.__or__, ((F.col("role") == r) & reduce(Column.__and__, (F.col(f"has_{need}") for need in needs))
+                                    for r, needs in NEEDS.items()))
+    weak = weak.join(roles, ["key", "scope"]).where(linked).select(*base.columns)
+    found = base.unionByName(weak)
+    return found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
+
+
+def _found(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``df``, named ``kept_``, with found (null where the text has nothing)."""
     t = F.col(f"`{text}`").cast("string")
     rows = df.select(*(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep), matches(t).alias("m"), t.alias("t"))
     rows = rows.withColumn("__key", F.when(F.col("m").isNotNull(), text_key(F.col("t")))).drop("t")
     rows = written(rows, "secret-rows")
-    found = spans(rows.where("__key is not null").select(F.col("__key").alias("key"), "m"), reach, between)
-    none = F.array().cast(found.schema["found"].dataType)
-    with_match = rows.where("__key is not null").join(found, F.col("__key") == F.col("key"), "left")
-    out = with_match.select(*(F.col(f"`kept_{c}`").alias(c) for c in keep), F.coalesce("found", none).alias("found"))
-    return out.unionByName(rows.where("__key is null").select(*(F.col(f"`kept_{c}`").alias(c) for c in keep), none.alias("found")))
+    found = spans(rows.where("__key is not null").select(F.col("__key").alias("key"), "m"))
+    kept = [F.col(f"`kept_{c}`") for c in keep]
+    hits = rows.where("__key is not null").join(found, F.col("__key") == F.col("key"), "left").select(*kept, "found")
+    none = F.lit(None).cast(found.schema["found"].dataType).alias("found")
+    return hits.unionByName(rows.where("__key is null").select(*kept, none))
 
 
-def mask(df: DataFrame, text: str = "text", mark: str = "[redacted]", reach: int = REACH, between: bool = False) -> DataFrame:
+def scan(df: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns of ``df`` with found: the sorted (start, rank, kind, end) of each row's text."""
+    keep = [c for c in df.columns if c not in (text, "found")]
+    out = _found(df, text, keep)
+    return out.select(*(F.col(f"`kept_{c}`").alias(c) for c in keep), F.coalesce("found", F.array().cast(out.schema["found"].dataType)).alias("found"))
+
+
+def mask(df: DataFrame, text: str = "text", mark: str = "[redacted]") -> DataFrame:
     """``df`` with every finding in ``text`` replaced by ``mark``; overlapping findings become one."""
-    t = F.col(f"`{text}`").cast("string")
-    seen = df.where(suspect(t)).select(text_key(t).alias("key"), matches(t).alias("m"))
-    found = spans(written(seen, "secret-matches"), reach, between)
+    out = _found(df, text, df.columns)
     # runs of overlapping findings: a finding begins one if none before it reaches it
     merged = F.aggregate(
         "found", F.array().cast("array<struct<s:bigint,e:bigint>>"),
@@ -161,15 +155,13 @@ def mask(df: DataFrame, text: str = "text", mark: str = "[redacted]", reach: int
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
                 F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["end"]).alias("e"))))).otherwise(
             F.concat(acc, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e"))))))
-    cuts = found.select(F.col("key").alias("__key"), merged.alias("__cuts"))
-    hit = df.where(suspect(t)).withColumn("__of", text_key(t)).join(cuts, F.col("__of") == F.col("__key"), "left")
-    n = F.size("__cuts")
+    out = out.withColumn("cuts", F.when(F.col("found").isNotNull(), merged))
+    t, n = F.col(f"`kept_{text}`").cast("string"), F.size("cuts")
     pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substr(
-        t, F.when(i == 0, 1).otherwise(F.get("__cuts", i - 1)["e"] + 1).cast("int"),
-        (F.when(i == n, F.length(t)).otherwise(F.get("__cuts", i)["s"]) - F.when(i == 0, 0).otherwise(F.get("__cuts", i - 1)["e"])).cast("int")))
-    new = F.when(F.col("__cuts").isNull(), t).otherwise(F.array_join(pieces, mark))
-    cols = [new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
-    return hit.select(*cols).unionByName(df.where(~suspect(t)).select(*(t.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns)))
+        t, F.when(i == 0, 1).otherwise(F.get("cuts", i - 1)["e"] + 1).cast("int"),
+        (F.when(i == n, F.length(t)).otherwise(F.get("cuts", i)["s"]) - F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["e"])).cast("int")))
+    new = F.when(F.col("cuts").isNull(), t).otherwise(F.array_join(pieces, mark))
+    return out.select(*(new.alias(c) if c == text else F.col(f"`kept_{c}`").alias(c) for c in df.columns))
 
 
 def listed(found: Column) -> Column:
@@ -177,7 +169,7 @@ def listed(found: Column) -> Column:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), between=True)
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("found", lambda x: x["rank"] < len(BASE))
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(listed(base), 256).alias("base_sha256"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from branchwise.llm import secret_scan as S
 
 
-def brute(text, reach=S.REACH):
+def brute(text):
     """(start, rank, kind, end) by finditer and a loop over all pairs of a text."""
     text = text or ""
     breaks = [m.end() for m in re.finditer(S.BREAK, text)]
@@ -22,7 +22,7 @@ def brute(text, reach=S.REACH):
     every = base + weak
 
     def has(p, role):
-        return any(q[4] == role and q[5] == p[5] and abs(q[0] - p[0]) <= reach for q in every)
+        return any(q[4] == role and q[5] == p[5] for q in every)
 
     return sorted(p[:4] for p in base + [p for p in weak if all(has(p, need) for need in S.NEEDS[p[4]])])
 
@@ -52,28 +52,33 @@ def test_spans_against_brute_force(spark):
         assert [tuple(x) for x in r.found] == brute(r.copy), r.copy
 
 
-def plain_between(text, reach=S.REACH):
-    """As ``brute``, but by what lies between two parts."""
-    breaks = [m.end() for m in re.finditer(S.BREAK, text)]
-    parts = [(m.start(), rank, kind, m.end(), role, sum(b <= m.start() for b in breaks)) for rank, (kind, (pattern, role)) in enumerate(S.KINDS.items())
-             for m in re.finditer(pattern, text, re.ASCII) if kind != "assign" or len(m[2]) >= S.LEAST_VALUE]
-    base = [p for p in parts if p[2] in S.BASE]
-    weak = [p for p in parts if p[2] not in S.BASE and not any(b[0] < p[3] and p[0] < b[3] for b in base)]
-    has = lambda p, role: any(q[4] == role and q[5] == p[5] and max(q[0] - p[3], p[0] - q[3]) <= reach for q in base + weak)
-    return sorted(p[:4] for p in base + [p for p in weak if all(has(p, need) for need in S.NEEDS[p[4]])])
-
-
-def test_long_values_link_by_what_lies_between(spark):
+def test_scopes_are_bounded_by_form_alone(spark):
     jwt = "eyJ" + "Q-z" * 299
-    every = [f"auth: {jwt}\nuser: bob", f"user: bob\nauth: {jwt}", f"user: bob pwd=hunter22 https://h.example.com/{jwt}\nlogin: eve"]
-    every += [f"auth: {jwt}{' ' * n}user: bob" for n in (399, 400, 401)] + [f"user: bob{' ' * n}auth: {jwt}" for n in (399, 400, 401)]
-    every += [" " * k + f"auth: {jwt}{' ' * 400}user: bob" for k in range(0, 400, 57)] + [t for t in texts() if t]
+    far = "filler, " * 5000
+    linked = [f"auth: {jwt}\nuser: bob", f"user: bob {far} pwd=hunter22", '{"user": "bob", "note": "%s", "pwd": "hunter22"}' % far,
+              f"user: bob\n{far}\nauth: {jwt}\nhttps://h.example.com/x"]
+    apart = [f"user: bob\n \nauth: {jwt}", "The user: bob is here. Now pwd=hunter22 is there", 'They said "user: bob." Éric has pwd=hunter22',
+             '[{"user": "bob"}, {"pwd": "hunter22"}]', "user: bob \n\n" * 300 + "nothing https://h.example.com/x"]
+    every = linked + apart
     df = spark.createDataFrame([(i, t) for i, t in enumerate(every)], "doc_id long, text string").repartition(4)
-    got = {r.doc_id: [tuple(x) for x in r.found] for r in S.scan(df, between=True).collect()}
-    assert got == {i: plain_between(t) for i, t in enumerate(every)}
-    assert len(got[0]) == len(got[1]) == 2 and len(got[2]) == 3
-    clear = {r.doc_id: r.text for r in S.mask(df, between=True).collect()}
-    assert clear[0] == "[redacted]\n[redacted]" and clear[1] == clear[0]
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in S.scan(df).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(every)}
+    assert [len(got[i]) for i in range(len(every))] == [2, 2, 2, 3, 0, 0, 0, 0, 0]
+    clear = {r.doc_id: r.text for r in S.mask(df).collect()}
+    assert clear[0] == "[redacted]\n[redacted]" and clear[4] == apart[0] and far in clear[1]
+
+
+def test_a_million_characters_of_each_repeating_part(spark):
+    n = 1_000_000
+    every = ["password=" + "g" * n, "AKIA" + "Q" * n, "f" * n, "Aa1" * (n // 3), "user=bob pwd=" + "x" * n, "pwd=hunter22 user=" + "b." * (n // 2),
+             "user=bob pwd=hunter22 host=a" + ".a" * (n // 2), "user=bob pwd=hunter22 https://" + "a/" * (n // 2), "\n " * (n // 2), ". " * (n // 2),
+             "}, {" * (n // 4), "." + "'" * n, "token" + " " * n, "user" * (n // 4), "https://" * (n // 8), "=:" * (n // 2), "." + " " * n]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(every)], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: [(x["kind"], x["end"] - x["start"]) for x in r.found] for r in S.scan(df).collect()}
+    assert got[0] == [("assign", n + 9)] and got[1] == [("access", n + 4)] and got[2] == [("hex", n)]
+    assert [k for k, _ in got[4]] == ["ident", "value"] and [k for k, _ in got[6]] == ["ident", "value", "endpoint"]
+    assert got[6][2][1] == n + 6 and [k for k, _ in got[7]] == ["ident", "value", "endpoint"]
+    assert all(not got[i] for i in (3, 8, 9, 10, 11, 12, 13, 14, 15, 16))
 
 
 def test_mask_leaves_nothing_and_keeps_the_rest(spark):
