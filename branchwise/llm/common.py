@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from branchwise.session import scratch_path
@@ -35,25 +34,5 @@ def written(df: DataFrame, label: str) -> DataFrame:
     executor is lost.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """Apply ``f`` to each Arrow batch of ``df``; it returns the columns of ``schema`` as a dict."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema
-    assert isinstance(struct, StructType)
-    arrow = to_arrow_schema(struct)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = f(batch)
-            if out is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [x.cast(t.type) if isinstance(x := out[t.name], pa.Array) else pa.array(x, type=t.type)
-                     for t in arrow], schema=arrow)
-
-    return df.mapInArrow(run, struct)
