@@ -113,6 +113,14 @@ class FileSums:
             parts.append(rows.select(*_KEY, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("row_count", *_LIMBS)]))
         self.sums = _kept(union_all(parts), "file-sums")
 
+    def shared(self, name: str, side: str, other: str) -> list[str]:
+        """Files of a side's table that the other side's has as well; none if there are too many to name."""
+        schema, table = split_name(name)
+        rows = self.uses.where((F.col("schema") == schema) & (F.col("table") == table)).join(self.files, "source")
+        both = rows.groupBy(*_KEY).agg(F.max(F.col("side") == side).alias("a"), F.max(F.col("side") == other).alias("b")).where("a and b")
+        found = both.select("file").limit(NAMED + 1).collect()
+        return [r.file for r in found] if len(found) <= NAMED else []
+
     def fingerprints(self, side: str) -> DataFrame:
         """DF[schema, table, row_count, checksum] of a side's tables, from the sums alone."""
         rows = self.uses.where(F.col("side") == side).join(self.files, "source", "left").join(self.sums, _KEY, "left")
