@@ -20,8 +20,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import oracles as O  # noqa: E402
 import scenario as S  # noqa: E402
 from branchwise.functions.local import local_frame  # noqa: E402
-from branchwise.functions.names import qualify  # noqa: E402
-from branchwise.operators import buckets  # noqa: E402
+from branchwise.functions.names import qualify, split_name  # noqa: E402
+from branchwise.operators import buckets, clustered  # noqa: E402
 from branchwise.operators.changelog import log_as_of, newest_change  # noqa: E402
 from branchwise.operators.checks import check_constraints  # noqa: E402
 from branchwise.operators.datadiff import compare_data, data_change_lines, divergent_tables  # noqa: E402
@@ -32,12 +32,15 @@ from branchwise.operators.impact import profile, with_impact  # noqa: E402
 from branchwise.operators.rows import inserted_counts, merge_rows, new_rows  # noqa: E402
 from branchwise.operators.schemadiff import schema_diff  # noqa: E402
 from branchwise.plans.data_plan import key_frame, plan_data  # noqa: E402
+from branchwise.plans.early import first_difference  # noqa: E402
+from branchwise.plans.levels import apply_levels  # noqa: E402
 from branchwise.plans.merge import diff_branch, merge  # noqa: E402
 from branchwise.plans.schema_plan import plan_schema  # noqa: E402
 from branchwise.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from branchwise.sources.namespace import Namespace, copy_namespace  # noqa: E402
 from branchwise.sources.snapshot import take_snapshot  # noqa: E402
 from branchwise.sources.spec import ForeignKey, TableSpec  # noqa: E402
+from branchwise.streaming.logtail import read_newest, tail_newest  # noqa: E402
 
 # The training-data operators are an optional subpackage; if it is there, what it fails to import is an error.
 if find_spec("branchwise.llm") and find_spec("corpus_pipeline"):
@@ -341,6 +344,60 @@ def q_log_as_of_branches(spark, sf):
     return found.select("point", "branch", "id", "object_identity")
 
 
+def q_log_tail_newest(spark, sf):
+    """Newest entry per branch and object, by a stream over the log's files."""
+    root = scratch_path(spark, "tail")
+    S.change_log(spark, sf).withColumn("event_time", F.col("event_time").cast("timestamp")).repartition(4).write.parquet(f"{root}/log")
+    tail_newest(spark, f"{root}/log", f"{root}/newest", f"{root}/checkpoint", files_per_batch=2).awaitTermination()
+    return read_newest(spark, f"{root}/newest").select("branch", "object_identity", "id", "command_tag", "command")
+
+
+def q_new_rows_clustered(spark, sf):
+    """New orders among the branch's later ones; of main, written in ranges of the key, only the files of these are read."""
+    path = scratch_path(spark, "clustered")
+    main = _side(spark, sf, "main", "orders")
+    clustered.clustered(main, ["o_orderkey"], 8).write.parquet(path)
+    most = S.read_table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]
+    late = _side(spark, sf, "branch", "orders").filter(F.col("o_orderkey") * 4 >= 3 * most)
+    return clustered.new_rows(late, spark.read.schema(main.schema).parquet(path), ["o_orderkey"])
+
+
+def _level_specs(specs):
+    """The specs with foreign keys in a chain and a circle: orders refer to customers, these and the nations to each other."""
+    specs = {t: s.copy() for t, s in specs.items()}
+    specs["public.customer"].foreign_keys["customer_home_fkey"] = ForeignKey(["c_nationkey"], "nation", ["n_nationkey"])
+    specs["public.nation"].foreign_keys["nation_customer_fkey"] = ForeignKey(["n_nationkey"], "customer", ["c_nationkey"])
+    specs["public.nation"].foreign_keys["nation_region_fkey"] = ForeignKey(["n_regionkey"], "region", ["r_regionkey"])
+    return specs
+
+
+def q_merge_by_levels(spark, sf):
+    """The merge, staged and checked level by level in files of ranges of the keys; each table's level, rows and digest."""
+    root = scratch_path(spark, "levels")
+    main, branch = (S.commit_side(spark, sf, side, f"{root}/{side}") for side in ("main", "branch"))
+    specs = {side: _level_specs(S.side_specs(side)) for side in ("base", "main", "branch")}
+    base = take_snapshot(S.evolved_namespace(spark, sf, "base"), specs["base"], spark)
+    merge(base, main, branch, specs["main"], specs["branch"], target=f"{root}/merged", resolve="branch", by_level=True, rows_per_file=4000)
+    merged = Namespace.load(spark, f"{root}/merged")
+    levels = [(*split_name(t), k) for k, level in enumerate(apply_levels(merged.specs)) for c in level for t in c]
+    return fingerprint_all(merged.tables).join(local_frame(spark, levels, "schema string, table string, level int"), ["schema", "table"])
+
+
+def q_first_difference(spark, sf):
+    """The first table found to differ: main from the branch, the tables from their own rows in other files, and from an edited nation."""
+    root = scratch_path(spark, "early")
+    paths = {qualify(t): [f"{sf}/{t}.parquet"] for t in ("nation", "customer", "orders", "events")}
+    given = Namespace.from_paths(spark, paths)
+    for t in paths:
+        given.tables[t].repartition(3).write.parquet(f"{root}/{t}")
+    copied = Namespace.from_paths(spark, {t: f"{root}/{t}" for t in paths})
+    name = F.when(F.col("n_nationkey") == 7, F.upper(F.concat("n_name", F.lit("x")))).otherwise(F.col("n_name"))
+    given.tables["public.nation"].withColumn("n_name", name).write.parquet(f"{root}/edited")
+    edited = Namespace.from_paths(spark, {**{t: f"{root}/{t}" for t in paths}, "public.nation": f"{root}/edited"})
+    sides = [("branch", _ns(spark, sf, "main"), _ns(spark, sf, "branch")), ("copied", given, copied), ("edited", given, edited)]
+    return local_frame(spark, [(k, first_difference(a, b)) for k, a, b in sides], "pair string, table string")
+
+
 def q_catalog_snapshot(spark, sf):
     """Tables and columns of a database of the session catalog over the given files, with their rows."""
     name = f"bw_{zlib.crc32(sf.encode())}"
@@ -413,7 +470,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "data_merge_plan_three_way": q_data_merge_plan_three_way,
         "log_newest_contains": q_log_newest_contains,
         "log_as_of_branches": q_log_as_of_branches,
+        "log_tail_newest": q_log_tail_newest,
         "catalog_snapshot": q_catalog_snapshot,
+        "new_rows_clustered": q_new_rows_clustered,
+        "merge_by_levels": q_merge_by_levels,
+        "first_difference": q_first_difference,
         "branch_copy_proof": q_branch_copy_proof,
         "merge_orders_end_to_end": q_merge_orders_end_to_end,
         "merge_namespace_fingerprints": q_merge_namespace_fingerprints,
@@ -710,6 +771,15 @@ def oracle_sql() -> dict[str, str]:
         "log_as_of_branches": (f"WITH l AS ({S.log_sql('VARCHAR')}), p AS (SELECT o_orderkey AS point, concat('b', CAST(o_custkey % 9 AS VARCHAR)) AS branch, "
                                f"TIMESTAMP '2023-12-31 12:00:00' + to_seconds(CAST((o_orderkey * 7919) % 2700000 AS INTEGER)) AS at FROM orders) "
                                f"SELECT p.point, p.branch, l.id, l.object_identity FROM p ASOF LEFT JOIN l ON p.branch = l.branch AND p.at >= l.event_time"),
+        "log_tail_newest": (f"SELECT branch, object_identity, id, command_tag, command FROM ({S.log_sql('VARCHAR')}) "
+                            f"QUALIFY row_number() OVER (PARTITION BY branch, object_identity ORDER BY id DESC) = 1"),
+        "new_rows_clustered": (f"SELECT * FROM ({_anti_sql('orders', ['o_orderkey'])}) "
+                               f"WHERE o_orderkey * 4 >= 3 * (SELECT max(o_orderkey) FROM orders)"),
+        "merge_by_levels": (f"SELECT schema, \"table\", row_count, checksum, CAST(CASE \"table\" WHEN 'orders' THEN 2 WHEN 'customer' THEN 1 WHEN 'nation' THEN 1 "
+                            f"ELSE 0 END AS INTEGER) AS level FROM ({_merged_sql()})"),
+        "first_difference": ("SELECT 'branch' AS pair, CASE WHEN (SELECT count(*) FROM documents) > 0 THEN 'public.documents' END AS \"table\" UNION ALL "
+                             "SELECT 'copied', NULL UNION ALL SELECT 'edited', CASE WHEN (SELECT count(*) FROM nation WHERE n_nationkey = 7) > 0 "
+                             "THEN 'public.nation' END"),
         "catalog_snapshot": f"SELECT * EXCLUDE (schema, is_nullable) FROM ({_columns_sql()})",
         "merge_namespace_fingerprints": _merged_sql(),
         "branch_copy_proof": (f"SELECT schema || '.' || \"table\" AS \"table\", row_count, checksum, true AS copied_ok "
