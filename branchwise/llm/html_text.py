@@ -8,7 +8,10 @@ ambiguous. Outside articles pass two first settles the long ones, by the nearest
 (text where they differ or there is none); markup says nothing about the blocks beside it. Then it gives an ambiguous block the label of its nearest decided neighbours,
 within the same ``article`` or ``main`` if it is in one that has text. Where two neighbours at the same distance differ,
 the block is text if it holds a stop word. A block in a container without any decided block
-is text. If a page has text in an ``article`` or ``main``, what stands outside is boilerplate.
+is text. If a page has more text inside ``article`` or ``main`` than outside, what stands outside is boilerplate.
+
+A class or id marks boilerplate if its name has no other words than marking ones and words of place (``share-bar``, not ``social-history``);
+words that may name a subject as well (``related``) don't outweigh a long block dense in stop words.
 
 Kept blocks are joined in page order by two line feeds; their white space is one space each, character
 references are decoded. Nothing else is dropped or cut.
@@ -56,6 +59,13 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 COMMENT_WORDS = frozenset((
     "comment comments reply replies respond disqus ad ads advert adverts advertisement advertising sponsor sponsored promo"
     " promotion related recommended recommendations teaser widget").split())
+#: Words that may as well name a subject: a long block dense in stop words is text for all they say.
+WEAK_WORDS = frozenset("related form legal social search hidden alert disclaimer".split())
+#: Words that say where or how in a compound class; a name of other words besides is a subject's (legal-news, form-factor).
+PLACE_WORDS = frozenset((
+    "bar box list wrap wrapper container inner outer section block area item items main primary secondary top bottom left right site page global"
+    " mobile desktop js is has link links button buttons icon icons panel row col column group header body thread form text title module"
+    " overlay post posts article articles content contents").split())
 BOILER_WORDS = COMMENT_WORDS | frozenset((
     "nav navbar navigation menu sidebar aside footer banner cookie cookies consent gdpr notice notices popup"
     " modal overlay newsletter subscribe subscription social share sharing breadcrumb breadcrumbs pagination pager toolbar"
@@ -63,32 +73,75 @@ BOILER_WORDS = COMMENT_WORDS | frozenset((
 
 HEADER_WORDS = frozenset(("header", "masthead"))
 #: How sure boilerplate is: a header's headings are an article's own; an article inside PLAIN markup is still one.
-HEADER, PLAIN, STRONG = 1, 2, 3
+WEAK, HEADER, PLAIN, STRONG = 0.5, 1, 2, 3
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def marks_of(names: str) -> tuple[frozenset[str], bool]:
+    """The marking words of class and id names, and whether weak ones are all there is.
+
+    A name counts if it has nothing but marking words and words of place.
+    """
+    out: set[str] = set()
+    for name in names.split():
+        words = {m.lower() for m in _MARK.findall(name)}
+        found = words & (BOILER_WORDS | HEADER_WORDS)
+        if words - found <= PLACE_WORDS:
+            out |= found
+    return frozenset(out), bool(out) and out <= WEAK_WORDS
+
+
 class Blocks(HTMLParser):
-    """Collects (text, link characters, number of its article or main, boilerplate) per block."""
+    """Collects (text, link characters, number of its article or main, boilerplate) per block.
+
+    Open tags are a stack; where each name and each block tag was opened last is known, so no tag looks through the stack.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, silent, boilerplate, container
-        self.blocks: list[tuple[str, int, int, bool]] = []
+        self.stack: list[tuple[str, bool, int, int, bool] | None] = []  # tag, silent, boilerplate, container, link; None: ended late
+        self.open: dict[str, list[int]] = {}
+        self.open_blocks: list[int] = []
+        self.links = 0
+        self.blocks: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.in_links = self.breaks = self.containers = 0
 
     def state(self) -> tuple[bool, int, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0, 0)
+        return self.stack[-1][1:4] if self.stack else (False, 0, 0)
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             _, boiler, container = self.state()
-            self.blocks.append((text, min(self.in_links, len(text)), container, boiler > 0))
+            self.blocks.append((text, min(self.in_links, len(text)), container, boiler))
         self.parts, self.in_links, self.breaks = [], 0, 0
 
+    def push(self, entry: tuple) -> None:
+        self.open.setdefault(entry[0], []).append(len(self.stack))
+        if entry[0] in BLOCK_TAGS:
+            self.open_blocks.append(len(self.stack))
+        self.links += entry[4]
+        self.stack.append(entry)
+
+    def forget(self, k: int) -> None:
+        tag, link = self.stack[k][0], self.stack[k][4]
+        self.open[tag].pop()
+        if tag in BLOCK_TAGS:
+            self.open_blocks.pop()
+        self.links -= link
+
+    def cut(self, k: int) -> None:
+        """Ends the k-th open tag and all within."""
+        while len(self.stack) > k:
+            if self.stack[-1]:
+                self.forget(len(self.stack) - 1)
+            self.stack.pop()
+        while self.stack and not self.stack[-1]:
+            self.stack.pop()
+
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.breaks += 1
@@ -100,16 +153,12 @@ class Blocks(HTMLParser):
             self.end_block()
         if tag in VOID_TAGS:
             return
-        if tag == "p" or tag == "li" or tag == "a":  # these end by themselves
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == tag:
-                    del self.stack[k:]
-                    break
-                if self.stack[k][0] in BLOCK_TAGS:
-                    break
+        if tag in ("p", "li", "a") and self.open.get(tag):  # these end by themselves
+            if not self.open_blocks or self.open[tag][-1] >= self.open_blocks[-1]:
+                self.cut(self.open[tag][-1])
         silent, boiler, container = self.state()
         given = {k: v or "" for k, v in attrs}
-        marks = {m.lower() for m in _MARK.findall(given.get("class", "") + " " + given.get("id", ""))}
+        marks, weak = marks_of(given.get("class", "") + " " + given.get("id", ""))
         silent = silent or tag in SILENT_TAGS
         if tag in ("article", "main"):
             boiler = STRONG if boiler == STRONG or marks & COMMENT_WORDS else 0
@@ -117,17 +166,19 @@ class Blocks(HTMLParser):
                 self.containers += 1
                 container = self.containers
         elif tag not in ("html", "body"):
-            if tag in STRONG_TAGS or marks & COMMENT_WORDS:
+            if tag in STRONG_TAGS or marks & COMMENT_WORDS and not weak:
                 boiler = STRONG
-            elif (tag in BOILER_TAGS or given.get("role", "").lower() in BOILER_ROLES or marks & BOILER_WORDS
+            elif (tag in BOILER_TAGS or given.get("role", "").lower() in BOILER_ROLES or marks & BOILER_WORDS and not weak
                     or "hidden" in given or given.get("aria-hidden") == "true"
                     or "display:none" in given.get("style", "").replace(" ", "").lower()):
                 boiler = max(boiler, PLAIN)
             elif tag == "header" or marks & HEADER_WORDS:
                 boiler = max(boiler, HEADER)
+            elif weak:
+                boiler = max(boiler, WEAK)
             if tag in HEADING_TAGS and container and boiler == HEADER:
                 boiler = 0
-        self.stack.append((tag, silent, boiler, container))
+        self.push((tag, silent, boiler, container, tag == "a" and "href" in given))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -137,13 +188,13 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.end_block()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if tag not in BLOCK_TAGS and any(s[0] in BLOCK_TAGS for s in self.stack[k:]):
-                    del self.stack[k]  # an inline tag that ends late ends no block
-                else:
-                    del self.stack[k:]
-                break
+        if self.open.get(tag):
+            k = self.open[tag][-1]
+            if tag not in BLOCK_TAGS and self.open_blocks and self.open_blocks[-1] > k:
+                self.forget(k)  # an inline tag that ends late ends no block
+                self.stack[k] = None
+            else:
+                self.cut(k)
 
     def handle_data(self, data):
         if self.state()[0]:
@@ -151,17 +202,18 @@ class Blocks(HTMLParser):
         if self.breaks and not data.isspace():
             self.breaks = 0
         self.parts.append(data)
-        if any(s[0] == "a" for s in self.stack[-8:]):
+        if self.links:
             self.in_links += len(" ".join(data.split()))
 
 
-def first_pass(blocks: list[tuple[str, int, int, bool]]) -> list[bool | None]:
+def first_pass(blocks: list[tuple[str, int, int, float]]) -> list[bool | None]:
     """True: text; False: boilerplate; None: ambiguous."""
     out: list[bool | None] = []
     for text, in_links, container, boiler in blocks:
         words = _WORD.findall(text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-        if boiler or in_links > MAX_LINKS * len(text) or text.startswith("©"):
+        dense = len(text) >= LONG and stops >= MIN_STOPS
+        if boiler and not (boiler == WEAK and dense) or in_links > MAX_LINKS * len(text) or text.startswith("©"):
             out.append(False)
         elif len(text) < LONG:
             out.append(None)
@@ -170,7 +222,7 @@ def first_pass(blocks: list[tuple[str, int, int, bool]]) -> list[bool | None]:
     return out
 
 
-def second_pass(blocks: list[tuple[str, int, int, bool]], labels: list[bool | None]) -> list[bool]:
+def second_pass(blocks: list[tuple[str, int, int, float]], labels: list[bool | None]) -> list[bool]:
     def nearest(places: list[int]) -> dict[int, tuple[float, bool | None]]:
         """Distance and label of the last decided block before each place."""
         at, label, found = 0, None, {}
@@ -209,7 +261,8 @@ def second_pass(blocks: list[tuple[str, int, int, bool]], labels: list[bool | No
                     out[k] = x1 if d1 < d2 else x2
                 else:
                     out[k] = x1 if x1 == x2 else any(w in STOP_WORDS for w in _WORD.findall(blocks[k][0].lower()))
-    if any(out[k] and b[2] for k, b in enumerate(blocks)):
+    inside, outside = (sum(len(b[0]) for b, x in zip(blocks, out, strict=True) if x and bool(b[2]) == within) for within in (True, False))
+    if inside and inside >= outside:
         out = [bool(x and b[2]) for x, b in zip(out, blocks, strict=True)]
     return out
 
