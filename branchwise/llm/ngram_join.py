@@ -14,15 +14,16 @@ and b be the tokens that only one of them has; a + b is at most D = |x| * (100 -
 Hence a set is indexed by the single tokens of its prefix that aren't frequent, and where fewer than D + 1 tokens are not frequent, so that the
 first common token may be a frequent one, also by the combinations of two neighbouring frequent tokens in its extended prefix.
 A posting list of a frequent token falls into many short ones that way, and the number of keys stays linear in the set's size.
-Which tokens are frequent only decides the cost: any choice that is the same for all sets loses no pair. A token is
-counted over all texts if its hash is in the lowest ``COUNTED``-th (prefixes hold few others); those in more than ``FREQUENT`` texts,
-at most ``MAX_FREQUENT`` of them, are broadcast.
+Which tokens are frequent only decides the cost: any choice that is the same for all sets loses no pair. All tokens are counted, in
+blocks of ``HELD`` tokens, of which only what occurs twice or more in its block is sent on; so a token in more than ``FREQUENT`` texts
+and one a block besides is known as frequent. At most ``MAX_FREQUENT`` of them are broadcast.
 
 Candidates come in two rounds, so that a large group of near copies isn't expanded into its pairs. First each posting list links
 its sets to one of them (of its size class). Lists whose sets are one component by then are done. In the others every two sets of
 different components are candidates: the rows outside a list's largest component meet the rows inside, and one another across
-components. Sizes and places rule out candidates first, then what the prefixes have in common, then the whole sets decide.
-Posting lists and hubs are joined, never collected; a hot key is split by the adaptive skew join.
+components. Sizes and bit sketches rule out candidates in the join itself: a set's sketch is the parity of its tokens by
+bucket (``SKETCH`` bits), and sketches that differ in more bits than the sets may in tokens can't be similar's. What is left is held
+against finer sketches, of as many bits as the sets have tokens, and then the whole sets decide. Posting lists and hubs are joined, never collected; a hot key is split by the adaptive skew join.
 
 Defined results: null and empty texts, and texts without words, have an empty set, which links with nothing. Texts of fewer words than
 a shingle are one shingle. A component's id is the smallest id in it that is not null, null if there is none. Repeated
@@ -32,21 +33,26 @@ rows and ids are rows of their own, equal sets link. Empty tables give empty res
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from branchwise.llm.common import table, written
 from branchwise.llm.simhash import components
 
 SHINGLE, SHARE = 3, 90
-#: One token in so many is counted; texts that a token is in before it counts as frequent; frequent tokens that are broadcast.
-COUNTED, FREQUENT, MAX_FREQUENT = 4, 32, 1 << 20
-#: Tokens that are put in order before their counts are sent on.
-HELD = 1 << 21
+#: Texts that a token is in before it counts as frequent; frequent tokens that are broadcast.
+FREQUENT, MAX_FREQUENT = 32, 1 << 20
+#: Tokens that are counted together before their counts are sent on.
+HELD = 1 << 22
+#: Bits of a set's sketch, a multiple of 64.
+SKETCH = 256
+#: Sets whose numbers are broadcast to fetch their texts; more are joined.
+FETCHED = 1 << 20
 #: Bits of a token's hash; the class goes above them.
 HASH = 61
 
@@ -86,22 +92,18 @@ def _texts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def frequent_tokens(texts: DataFrame, shingle: int = SHINGLE, counted: int = COUNTED, frequent: int = FREQUENT,
-                    most: int = MAX_FREQUENT) -> np.ndarray:
-    """In order: the counted tokens in more than ``frequent`` texts, or than a power of two times that if there are over ``most``."""
-    limit = np.uint64((1 << HASH) // counted)
-
+def frequent_tokens(texts: DataFrame, shingle: int = SHINGLE, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> np.ndarray:
+    """In order: the tokens in more than ``frequent`` texts, or than a power of two times that if there are over ``most``."""
     def count(batches):
         known, held, size = Words(), [], 0
 
         def send():
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"token": found.view(np.int64), "n": n.astype(np.int32)})
+            return pa.RecordBatch.from_pydict({"token": found[n > 1].view(np.int64), "n": n[n > 1].astype(np.int32)})
 
         for batch in batches:
             for t in batch.column(0):
-                own = tokens(t.as_py(), known, shingle)
-                held.append(own[:np.searchsorted(own, limit)])
+                held.append(tokens(t.as_py(), known, shingle))
                 size += len(held[-1])
                 if size >= HELD:
                     yield send()
@@ -120,159 +122,176 @@ def frequent_tokens(texts: DataFrame, shingle: int = SHINGLE, counted: int = COU
     return np.sort(kept).view(np.uint64)
 
 
-def ordered(own: np.ndarray, frequent: np.ndarray, counted: int = COUNTED) -> tuple[np.ndarray, int]:
-    """The tokens of a set in the global order, their class above the hash: counted and rare, not counted, frequent. Also how many
-    aren't frequent.
-    """
-    cut = int(np.searchsorted(own, np.uint64((1 << HASH) // counted)))
-    low = own[:cut]
-    often = np.zeros(cut, bool)
+def ordered(own: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """The tokens of a set in the global order, frequent ones marked above the hash. Also how many aren't frequent."""
+    often = np.zeros(len(own), bool)
     if len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, low), len(frequent) - 1)] == low
-    out = np.concatenate((low[~often], own[cut:] | np.uint64(1 << HASH), low[often] | np.uint64(2 << HASH)))
-    return out, len(own) - int(often.sum())
+        often = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+    return np.concatenate((own[~often], own[often] | np.uint64(1 << HASH))), len(own) - int(often.sum())
+
+
+def sketch(own: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """Parity of the tokens in each of ``bits`` buckets (a power of two), as 64-bit numbers."""
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def keys_of(order: np.ndarray, rare: int, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, int]:
-    """The (extended) prefix, its keys, and how many of them, the first ones, are single tokens; sets that only equal ones
+def fine_bits(n: int) -> int:
+    return max(SKETCH, 1 << (n - 1).bit_length())
+
+
+def keys_of(order: np.ndarray, rare: int, share: int = SHARE) -> tuple[np.ndarray, int]:
+    """The keys of the (extended) prefix, and how many of them, the first ones, are single tokens; sets that only equal ones
     are similar to have none.
     """
     most = len(order) * (100 - share) // share
     if not most:
-        return order[:0], order[:0], 0
+        return order[:0], 0
     singles = order[:min(most + 1, rare)]
     if rare > most:
-        return order[:most + 1], singles, len(singles)
-    prefix = order[:2 * (most + 1)]
-    run = prefix[rare:]
+        return singles, len(singles)
+    run = order[rare:2 * (most + 1)]
     pairs = mixed(run[:-1] * np.uint64(0x9E3779B97F4A7C15) + run[1:])
-    return prefix, np.concatenate((singles, pairs)), len(singles)
+    return np.concatenate((singles, pairs)), len(singles)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def indexed(df: DataFrame, doc_id: str, text: str, frequent: np.ndarray, shingle: int, share: int, counted: int) -> DataFrame:
-    """Each row's id, text, n (size of its set), a 128-bit digest of the set, prefix, keys, and the first places of its keys."""
+def indexed(df: DataFrame, doc_id: str, text: str, frequent: np.ndarray, shingle: int, share: int) -> DataFrame:
+    """Each row's id, text, n (size of its set), a 128-bit digest of the set, its sketches and its keys."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(frequent)
-    kind = "n long, high long, low long, prefix array<bigint>, keys array<bigint>, singles int, rare int"
+    kind = "n int, high long, low long, sketch array<bigint>, fine array<bigint>, keys array<bigint>"
 
     def judge(texts: pa.Array) -> pa.Array:
-        known, numbers, prefixes, keys = Words(), [], [], []
+        known, numbers, sketches, fine, keys = Words(), [], [], [], []
         for t in texts:
             own = tokens(t.as_py(), known, shingle)
             digest = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-            order, rare = ordered(own, shared.value, counted)
-            prefix, key, singles = keys_of(order, rare, share)
-            numbers.append((len(own), int(digest[0]), int(digest[1]), singles, rare))
-            prefixes.append(prefix.view(np.int64))
+            key, _ = keys_of(*ordered(own, shared.value), share)
+            numbers.append((len(own), int(digest[0]), int(digest[1])))
+            sketches.append(sketch(own) if len(key) else np.zeros(0, np.int64))
+            fine.append(sketch(own, fine_bits(len(own))) if len(key) else np.zeros(0, np.int64))
             keys.append(key.view(np.int64))
-
-        def lists(arrays):
-            ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
-
-        n, high, low, singles, rare = (pa.array(c) for c in zip(*numbers, strict=True)) if numbers else [pa.array([], pa.int64())] * 5
-        return pa.StructArray.from_arrays(
-            [n.cast(pa.int64()), high.cast(pa.int64()), low.cast(pa.int64()), lists(prefixes), lists(keys), singles.cast(pa.int32()), rare.cast(pa.int32())],
-            names=["n", "high", "low", "prefix", "keys", "singles", "rare"])
+        columns = list(zip(*numbers, strict=True)) or [()] * 3
+        types = [pa.int32(), pa.int64(), pa.int64()]
+        return pa.StructArray.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), _lists(sketches), _lists(fine),
+                                           _lists(keys)], names=["n", "high", "low", "sketch", "fine", "keys"])
 
     out = docs.withColumn("set", F.arrow_udf(judge, kind)(F.col("text")))
     return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "set.*")
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """key, sid, n, at (the key's place in its set's order), pair (a combination); keys of one set alone are left out."""
-    rows = sets.select("sid", "n", "singles", "rare", F.posexplode("keys").alias("k", "key"))
-    pair = F.col("k") >= F.col("singles")
-    rows = rows.select("key", "sid", F.col("n").cast("int").alias("n"),
-                       F.when(pair, F.col("rare") + F.col("k") - F.col("singles")).otherwise(F.col("k")).alias("at"), pair.alias("pair"))
-    common = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return rows.join(common, "key")
+    """key, sid, n: the sets of each key; keys of one set alone are left out."""
+    rows = sets.select("sid", "n", F.explode("keys").alias("key"))
+    beside = Window.partitionBy("key").orderBy("sid")
+    rows = rows.withColumn("alone", F.lag("sid").over(beside).isNull() & F.lead("sid").over(beside).isNull())
+    return rows.where(~F.col("alone")).select("key", "sid", "n")
+
+
+def similar_sizes(share: int) -> Column:
+    return 100 * F.least("a.n", "b.n").cast("long") >= share * F.greatest("a.n", "b.n")
 
 
-def possible(share: int) -> Column:
-    """Sizes and places of the key allow the rows a and b to be similar; a pair that does come by its first common key passes."""
-    low, high = F.least("a.n", "b.n").cast("long"), F.greatest("a.n", "b.n").cast("long")
-    before = F.when(F.col("a.pair"), F.least("a.at", "b.at")).otherwise(0)
-    upper = before + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    return (100 * low >= share * high) & ((100 + share) * upper.cast("long") >= share * (low + high))
+def similar_sketches(share: int) -> Column:
+    """Sets that differ in both - 2 * common tokens have sketches that differ in no more bits; similar ones have
+    (100 + share) * common >= share * both.
+    """
+    both = (F.col("a.n") + F.col("b.n")).cast("long")
+    differ = reduce(Column.__add__, (F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(SKETCH // 64)))
+    return (100 + share) * differ.cast("long") <= (100 - share) * both
 
 
-def pairs_of(left: DataFrame, right: DataFrame, on: Column, share: int) -> DataFrame:
-    rows = left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & on & possible(share))
+def named(rows: DataFrame) -> DataFrame:
+    """Pairs of rows a and b as pairs of sets, the smaller number first."""
     return rows.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
 
 
-def stars(posted: DataFrame, share: int) -> DataFrame:
+def stars(posted: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
     """Each posting list's sets with the first of them that is of their size class."""
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / share))).cast("int")
     rows = posted.withColumn("class", size)
-    lead = rows.groupBy("key", "class").agg(F.min(F.struct("sid", "n", "at", "pair")).alias("m"), F.count("*").alias("c"))
-    lead = lead.where("c > 1").select("key", "class", "m.*")
-    on = (F.col("a.class") == F.col("b.class")) & (F.col("a.sid") < F.col("b.sid"))
-    return pairs_of(lead, rows, on, share)
+    lead = rows.groupBy("key", "class").agg(F.min("sid").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "class", "lead")
+    pairs = rows.join(lead, ["key", "class"]).where("sid <> lead").select("lead", "sid").distinct()
+    a, b = sketches.alias("a"), sketches.alias("b")
+    found = pairs.join(a, F.col("lead") == F.col("a.sid")).join(b, pairs["sid"] == F.col("b.sid"))
+    return named(found.where(similar_sizes(share) & similar_sketches(share)))
 
 
-def across(posted: DataFrame, root: DataFrame, share: int) -> DataFrame:
+def across(posted: DataFrame, sketches: DataFrame, root: DataFrame, share: int) -> DataFrame:
     """Pairs of sets of one posting list and different components."""
     rows = posted.join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
     rows = written(rows.join(main.select("key", F.col("m.root").alias("main")), "key"), "ngram-mixed")
+    rows = rows.join(sketches.drop("n"), "sid")
     inside, outside = rows.where("root = main"), rows.where("root <> main")
-    return pairs_of(outside, inside, F.lit(True), share).unionByName(
-        pairs_of(outside, outside, F.col("a.root") < F.col("b.root"), share)).distinct()
 
+    def join(right: DataFrame, apart: Column) -> DataFrame:
+        return named(outside.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & similar_sizes(share)
+                                             & similar_sketches(share)))
+
+    return join(inside, F.lit(True)).unionByName(join(outside, F.col("a.root") < F.col("b.root"))).distinct()
+
+
+def alike(pairs: DataFrame, docs: DataFrame, shingle: int, share: int) -> DataFrame:
+    """The pairs (a, b) that link, by their finer sketches and then their whole sets."""
+    fine = docs.select(F.col("row").alias("sid"), "n", "fine")
+    both = pairs.join(fine.toDF("a", "n_a", "f_a"), "a").join(fine.toDF("b", "n_b", "f_b"), "b")
 
-def alike(pairs: DataFrame, sets: DataFrame, shingle: int, share: int) -> DataFrame:
-    """The pairs (a, b) that link: first by what their prefixes allow, then by their whole sets."""
-    prefixes = sets.select("sid", "n", "prefix")
-    both = pairs.join(prefixes.toDF("a", "n_a", "p_a"), "a").join(prefixes.toDF("b", "n_b", "p_b"), "b")
-    # up to the smaller of the last tokens both prefixes are whole: what is common there is known
-    upto = F.least(F.element_at("p_a", -1), F.element_at("p_b", -1))
-    within = lambda c: F.size(F.filter(c, lambda v: v <= upto))
-    most = within(F.array_intersect("p_a", "p_b")) + F.least(F.col("n_a") - within("p_a"), F.col("n_b") - within("p_b"))
-    likely = written(both.where((100 + share) * most >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"), "ngram-likely")
+    def folded(x: Column, to: Column) -> Column:
+        """A sketch of twice the bits, folded: bucket k and the one half the bits further are one."""
+        half = F.size(to)
+        return F.when(F.size(x) > half, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda v, w: v.bitwiseXOR(w))).otherwise(x)
 
-    needed = likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    texts = sets.select("sid", "text").join(needed, "sid")
+    x, y = F.col("f_a"), F.col("f_b")
+    bits = F.zip_with(folded(x, y), folded(y, x), lambda v, w: F.bit_count(v.bitwiseXOR(w)).cast("long"))
+    differ = F.aggregate(bits, F.lit(0).cast("long"), lambda total, v: total + v)
+    pairs = written(both.where((100 + share) * differ <= (100 - share) * (F.col("n_a") + F.col("n_b")).cast("long")).select("a", "b"), "ngram-likely")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ngram-needed")
+    needed = F.broadcast(needed) if needed.count() <= FETCHED else needed
+    texts = docs.select(F.col("row").alias("sid"), "text").join(needed, "sid")
 
     def judge(texts_: pa.Array) -> pa.Array:
         known = Words()
-        arrays = [tokens(t.as_py(), known, shingle).view(np.int64) for t in texts_]
-        ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+        return _lists([tokens(t.as_py(), known, shingle).view(np.int64) for t in texts_])
 
     whole = written(texts.select("sid", F.arrow_udf(judge, "array<bigint>")("text").alias("own")), "ngram-sets")
-    both = likely.join(whole.toDF("a", "t_a"), "a").join(whole.toDF("b", "t_b"), "b")
+    both = pairs.join(whole.toDF("a", "t_a"), "a").join(whole.toDF("b", "t_b"), "b")
     common = F.size(F.array_intersect("t_a", "t_b")).cast("long")
-    return both.where((100 + share) * common >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return both.where((100 + share) * common >= share * (F.size("t_a") + F.size("t_b"))).select("a", "b")
 
 
 def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, share: int = SHARE,
-               counted: int = COUNTED, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
+               frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; ``share`` is a percentage from 75 to 99 (neighbours need a + b + 2 common tokens)."""
     if not 75 <= share < 100:
         raise ValueError("share must be from 75 to 99")
-    often = frequent_tokens(_texts(df, text), shingle, counted, frequent, most)
-    docs = written(indexed(df, doc_id, text, often, shingle, share, counted), "ngram-docs")
+    often = frequent_tokens(_texts(df, text), shingle, frequent, most)
+    docs = written(indexed(df, doc_id, text, often, shingle, share), "ngram-docs")
     groups = docs.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("sid"), F.min("doc_id").alias("least"))
     groups = written(groups, "ngram-groups")
-    sets = docs.withColumnRenamed("row", "sid")
-    posted = written(postings(sets.join(groups.select("sid"), "sid")), "ngram-postings")
+    sets = docs.withColumnRenamed("row", "sid").join(groups.select("sid"), "sid")
+    posted = written(postings(sets), "ngram-postings")
+    sketches = sets.select("sid", "n", "sketch")
 
-    first = written(stars(posted, share), "ngram-pairs")
-    links = written(alike(first, sets, shingle, share), "ngram-links")
+    first = written(stars(posted, sketches, share), "ngram-pairs")
+    links = written(alike(first, docs, shingle, share), "ngram-links")
     root = components(links).toDF("sid", "root")
-    second = written(across(posted, root, share).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
-    links = links.unionByName(written(alike(second, sets, shingle, share), "ngram-links"))
+    second = written(across(posted, sketches, root, share).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
+    links = links.unionByName(written(alike(second, docs, shingle, share), "ngram-links"))
 
     root = components(links).toDF("sid", "root")
-    named = groups.join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select("high", "low", "component_id")
-    out = docs.select("doc_id", "n", "high", "low").join(named, ["high", "low"], "left")
+    rooted = groups.join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = rooted.join(ids, "root").select("high", "low", "component_id")
+    out = docs.select("doc_id", "n", "high", "low").join(rooted, ["high", "low"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
