@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,10 @@ def once(key: str, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+#: Folders that ``written`` made, for each open ``cleared``.
+_made: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write to a fresh table in the shared scratch folder and read it back.
 
@@ -34,5 +39,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     executor is lost.
     """
     path = scratch_path(df.sparkSession, label)
+    if _made:
+        _made[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own, wherever it is stored."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are deleted at the end; what is needed of them must be written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
