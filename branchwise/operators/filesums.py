@@ -50,14 +50,13 @@ def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                         F.col("_metadata.file_modification_time").alias("modified"))
 
 
-def sum_files(df: DataFrame, shape: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Sums of each file that ``df``, a plain scan, reads rows of."""
+def file_limbs(df: DataFrame, shape: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Each row's file and limbs; ``df`` is a plain scan."""
     meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_size", "size"),
                                                            ("file_modification_time", "modified"))]
     hashed = df.select(*meta, row_hash(df, list(columns) if columns is not None else None).alias("_h"))
-    limbs = hashed.select("file", "size", "modified", *limb_columns(F.col("_h")))
-    return limbs.groupBy("file", "size", "modified").agg(F.count(F.lit(1)).alias("row_count"), *[F.sum(n).alias(n) for n in _LIMBS]) \
-        .select("file", "size", "modified", F.lit(shape).alias("shape"), "row_count", *_LIMBS)
+    return hashed.select("file", "size", "modified", F.lit(shape).alias("shape"), F.lit(1).cast("long").alias("row_count"),
+                         *limb_columns(F.col("_h")))
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:
@@ -97,21 +96,25 @@ class FileSums:
         known = known.select(*T.StructType.fromDDL(SUMS_SCHEMA).fieldNames()).dropDuplicates(_KEY)
         unseen = _kept(self.files.join(known, _KEY, "left_anti").groupBy(*_KEY).agg(F.min("source").alias("source")), "unseen")
         counts = {r.source: r["n"] for r in unseen.groupBy("source").agg(F.count("*").alias("n")).collect()}  # one row per source
-        self.read: list[str] = []
-        parts = [self.files.select(*_KEY).distinct().join(known, _KEY)]
+        names: dict[int, list[str]] = {k: [] for k, n in counts.items() if n <= NAMED}
+        for r in unseen.where(F.col("source").isin(list(names))).select("source", "file").collect() if names else ():
+            names[r.source].append(r.file)
+        self.read = [f for own in names.values() for f in own]
+        limbs = []
         for k, (paths, schema, fmt, cols) in enumerate(sources.values()):
             if k not in counts:
                 continue
-            df, own = read_files(spark, paths, schema, fmt), unseen.where(F.col("source") == k)
-            if counts[k] <= NAMED:
-                names = [r.file for r in own.select("file").collect()]
-                self.read += names
-                df = df.where(F.col("_metadata.file_path").isin(names))  # the other files are pruned from the scan
-            rows = sum_files(df, list(sources)[k][1], cols)
-            # a file without rows has none to sum
-            rows = own.select(*_KEY).join(rows, _KEY, "left")
-            parts.append(rows.select(*_KEY, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("row_count", *_LIMBS)]))
-        self.sums = _kept(union_all(parts), "file-sums")
+            df = read_files(spark, paths, schema, fmt)
+            if k in names:
+                df = df.where(F.col("_metadata.file_path").isin(names[k]))  # the other files are pruned from the scan
+            limbs.append(file_limbs(df, list(sources)[k][1], cols).withColumn("source", F.lit(k)))
+        # a file without rows has none to sum, so each has one of no weight; all tables go through one aggregate
+        by, sums = [*_KEY, "source"], ["row_count", *_LIMBS]
+        zeros = unseen.select(*_KEY, *[F.lit(0).cast("long").alias(c) for c in sums], "source")
+        new = union_all([*limbs, zeros]).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+        # a table that was read whole has other files as well; each file counts for the one table it was to be read for
+        new = new.join(F.broadcast(unseen) if sum(counts.values()) <= NAMED else unseen, by, "left_semi").select(*_KEY, *sums)
+        self.sums = _kept(self.files.select(*_KEY).distinct().join(known, _KEY).unionByName(new), "file-sums")
 
     def shared(self, name: str, side: str, other: str) -> list[str]:
         """Files of a side's table that the other side's has as well; none if there are too many to name."""

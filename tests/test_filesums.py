@@ -35,6 +35,19 @@ def test_only_files_that_came_since_are_read(spark, tmp_root):
     assert again.read == [] and rows(again.fingerprints("main")) == rows(more.fingerprints("main"))
 
 
+def test_tables_with_too_many_files_to_name_are_read_whole(spark, tmp_root, monkeypatch):
+    from branchwise.operators import filesums
+
+    ships(spark, 0, 600).repartition(6).write.parquet(f"{tmp_root}/a")
+    ships(spark, 600, 630).repartition(3).write.parquet(f"{tmp_root}/b")
+    one, both = (Namespace.from_paths(spark, {"ships": p}) for p in (f"{tmp_root}/a", [f"{tmp_root}/a", f"{tmp_root}/b"]))
+    monkeypatch.setattr(filesums, "NAMED", 2)
+    files = FileSums(spark, {"one": one.scans(), "both": both.scans()})
+    assert files.read == [] and files.sums.count() == 9
+    assert rows(files.fingerprints("one"))["ships"] == tuple(fingerprint(ships(spark, 0, 600)).first())
+    assert rows(files.fingerprints("both"))["ships"] == tuple(fingerprint(ships(spark, 0, 630)).first())
+
+
 def test_replaced_files_other_columns_and_empty_files_are_read_anew(spark, tmp_root):
     path = f"{tmp_root}/t"
     ships(spark, 0, 100).coalesce(1).write.parquet(path)
