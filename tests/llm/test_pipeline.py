@@ -1,3 +1,4 @@
+import os
 import random
 import sys
 from pathlib import Path
@@ -8,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
 from branchwise.llm import decontaminate, langid, secret_scan, simhash  # noqa: E402
 from branchwise.llm.common import written  # noqa: E402
+from branchwise.session import ensure_checkpoint_dir  # noqa: E402
 
 from test_mixing import plain_mix  # noqa: E402
 from test_secret_scan import brute  # noqa: E402
@@ -88,6 +90,14 @@ def test_nulls_repeated_rows_clashing_columns_and_empty_tables(spark):
         assert empty.count() == 0
 
 
+def test_run_leaves_only_its_result(spark):
+    root = ensure_checkpoint_dir(spark)
+    before = set(os.listdir(root))
+    out = P.run(spark, SF)
+    new = set(os.listdir(root)) - before
+    assert len(new) == 1 and "mixing_sources" in new.pop() and out.count() > 50
+
+
 def test_a_leak_takes_no_other_rows_of_its_id(spark):
     leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").head().text
     rows = [(None, f"before it {leak} after it"), (None, "the clean row has no id"), (1, "a clean row with an id"), (1, leak), (2, None)]
