@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages (windows of ``WINDOW`` words, one every ``STEP``) are TF-IDF vectors over hashed words. The benchmark's items are dealt into
-blocks, and for each block a randomised SVD finds a basis of the leading directions of its items, which weigh more, and of the corpus: a
-random start matrix is multiplied by the passages' Gram matrix a few times, each time as sums over partitions, all
-blocks at once (``fit_bases``). The corpus is represented by the passages of at most ``2 * SAMPLE_ROWS`` sampled documents; document
-frequencies count all documents. Then every passage of every document is projected and compared with every benchmark
-item by cosine; the benchmark is the stated query set. A passage is a candidate for an item if enough of it lies along the item,
+Passages (windows of ``WINDOW`` words, one every ``STEP``) are TF-IDF vectors over hashed words. The corpus' leading directions come from
+a randomised decomposition of the Gram matrix of the passages (windows side by side) of all documents: a random start matrix is multiplied by it, as sums over
+partitions, and the product gives the directions by Nystroem's formula (``directions``). The benchmark's items are dealt into blocks, and each
+block's basis spans the leading directions of its items, which weigh more, and of the corpus, whose passages together weigh as those
+of ``CORPUS_ROWS`` documents on the average (``block_basis``). Document frequencies count all documents. Then every passage of every document is
+projected and compared with every benchmark item by cosine; the benchmark is the stated query set. A passage is a candidate for an item if enough of it lies along the item,
 as a share of its own length and relative to what the basis holds of the item, and enough of its projection.
 
 Items of fewer than ``SHORT`` words are a small part of any passage, and of an item that its basis holds less than ``HELD`` of, a
@@ -40,16 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchwise.llm.common import once, table, written
+from branchwise.llm.common import once, table
 
 FEATURES = 1 << 14
 RANK = 64
 #: Items of a block, and blocks worked on at once.
 BLOCK, GROUP = 56, 8
 WINDOW, STEP = 32, 16
-SAMPLE_ROWS = 1500
+#: All documents' passages weigh as those of so many.
+CORPUS_ROWS = 1500
 ITEM_WEIGHT = 100.0
-PASSES = 3
 #: A candidate's least cosine in the latent space, and the least share of its own length that lies along the item.
 COSINE, ALONG = 0.3, 0.25
 #: Items of fewer words, or of which a basis holds a smaller share, are looked up in the index.
@@ -57,8 +57,8 @@ SHORT, HELD = 16, 0.8
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 LEAST, LONGEST = 5, 96
 MAX_ITEMS, MAX_CHARS = 20_000, 20_000_000
-#: Words of a document projected at once, words looked up in the index at once, and bytes hashed at once.
-CHUNK, LOOKUP, BYTES = 1 << 14, 1 << 13, 1 << 20
+#: Words of a document projected at once, words looked up in the index at once, bytes hashed at once, and words multiplied at once.
+CHUNK, LOOKUP, BYTES, TOGETHER = 1 << 14, 1 << 13, 1 << 20, 1 << 17
 
 _ENDS = re.compile(r"(?<=[.!?])\s+")
 #: ASCII punctuation and white space part words.
@@ -166,52 +166,137 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def fit_bases(passages: DataFrame, idf: np.ndarray, blocks: int, rank: int = RANK, passes: int = PASSES, seed: int = 1) -> list[np.ndarray]:
-    """For each block orthonormal columns that span the leading directions of its passages: f array<int>, weight double, block int (null:
-    of all blocks).
+def padded(parts: Sequence[np.ndarray], width: int) -> np.ndarray:
+    """Features cut into rows of ``width``; each part's last row is filled with FEATURES."""
+    rows = [-(-len(f) // width) for f in parts]
+    out = np.full((sum(rows), width), FEATURES, np.int64)
+    flat, at = out.ravel(), 0
+    for f, n in zip(parts, rows):
+        flat[at:at + len(f)] = f
+        at += n * width
+    return out
+
+
+def windows(batch: pa.RecordBatch):
+    """(passages, weights) of all texts of a batch, some at a time."""
+    held, size = [], 0
+    for found in hashes_of(batch.column(0)):
+        f = features(found)
+        for at in range(0, len(f), TOGETHER):
+            held.append(f[at:at + TOGETHER])
+            size += len(held[-1])
+            if size >= TOGETHER:
+                rows = padded(held, WINDOW)
+                yield rows, np.ones(len(rows))
+                held, size = [], 0
+    if held:
+        rows = padded(held, WINDOW)
+        yield rows, np.ones(len(rows))
+
+
+def listed(batch: pa.RecordBatch):
+    """(passages, weights) of a batch of f array<int>, weight double."""
+    for at in range(0, len(batch), 1024):
+        part = batch.slice(at, 1024)
+        f = [np.asarray(x, np.int64) for x in part.column("f").to_pylist()]
+        if width := max(map(len, f)):
+            own = np.array([len(x) > 0 for x in f])
+            yield padded(f, width), part.column("weight").to_numpy(zero_copy_only=False)[own]
+
+
+def gram_product(rows: DataFrame, cut, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The Gram matrix of all passages that ``cut`` makes of the rows' batches, times ``basis``. A passage's length is its weight.
+
+    Each task adds up its own passages; the sums are dealt by feature and added there.
     """
-    spark = passages.sparkSession
-    shared = spark.sparkContext.broadcast(idf)
-    rng = np.random.default_rng(seed)
-    bases = [np.linalg.qr(rng.standard_normal((FEATURES, rank)))[0] for _ in range(blocks)]
-
-    def multiply(sent):
-        def run(batches):
-            basis, weights, out = sent.value, shared.value, None
-            for batch in batches:
-                out = np.zeros_like(basis) if out is None else out
-                for f, w, b in zip(batch.column("f").to_pylist(), batch.column("weight").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                    at, n = np.unique(np.asarray(f, np.int64), return_counts=True)
-                    x = n * weights[at]
-                    x = (x * (w / (np.linalg.norm(x) or 1))).astype(np.float32)
-                    own = slice(None) if b is None else slice(b * rank, (b + 1) * rank)
-                    out[at, own] += x[:, None] * (x @ basis[at, own])
-            for b in range(blocks if out is not None else 0):
-                part = out[:, b * rank:(b + 1) * rank]
-                at = np.flatnonzero(part.any(axis=1))
-                values = pa.FixedSizeListArray.from_arrays(pa.array(part[at].ravel()), rank).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b), pa.int32()), pa.array(at, pa.int32()), values], names=["block", "f", "v"])
-        return run
+    rank = basis.shape[1]
+    project = np.vstack([basis * idf[:, None], np.zeros((1, rank))]).astype(np.float32)
+    shared = rows.sparkSession.sparkContext.broadcast((project, np.append(idf, 0)))
 
+    def multiply(batches):
+        project, weights = shared.value
+        out = None
+        for batch in batches:
+            for f, weight in cut(batch):
+                out = np.zeros((rank, FEATURES + 1)) if out is None else out
+                inside = np.sort(f, axis=1)
+                before = np.zeros(f.shape, np.int64)  # how often the word stood in the passage
+                for k in range(1, f.shape[1]):
+                    before[:, k] = np.where(inside[:, k] == inside[:, k - 1], before[:, k - 1] + 1, 0)
+                square = ((2 * before + 1) * (weights**2)[inside]).sum(axis=1)
+                y, part = project[f[:, 0]], np.empty((len(f), rank), np.float32)
+                for k in range(1, f.shape[1]):
+                    y += np.take(project, f[:, k], axis=0, out=part, mode="clip")
+                y = (y * (weight**2 / np.maximum(square, 1e-30))[:, None]).T
+                flat = f.ravel()
+                for k in range(rank):
+                    out[k] += np.bincount(flat, np.repeat(y[k], f.shape[1]), FEATURES + 1)
+        if out is not None:
+            at = np.flatnonzero(out[:, :-1].any(axis=0))
+            values = pa.array((out[:, at] * weights[at]).T.astype(np.float32).ravel())
+            values = pa.FixedSizeListArray.from_arrays(values, rank).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), values], names=["f", "v"])
+
+    def add(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            f, v = batch.column("f").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, rank)
+            order = np.argsort(f, kind="stable")
+            first = np.flatnonzero(np.diff(f[order], prepend=-1))
+            for at, x in zip(f[order][first].tolist(), np.add.reduceat(v[order], first, axis=0, dtype=np.float64)):
+                out[at] = out[at] + x if at in out else x
+        if out:
+            values = pa.FixedSizeListArray.from_arrays(pa.array(np.stack([*out.values()]).astype(np.float32).ravel()), rank).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array([*out], pa.int32()), values], names=["f", "v"])
+
+    sums = rows.mapInArrow(multiply, "f int, v array<float>").repartition("f").mapInArrow(add, "f int, v array<float>").toArrow()
+    shared.destroy()  # its files go from the driver and the executors; a lost task is done by now
+    out = np.zeros((FEATURES, rank))
+    for batch in sums.to_batches():
+        out[batch.column("f").to_numpy()] = batch.column("v").flatten().to_numpy().reshape(-1, rank)
+    return out
+
+
+def _start(rank: int, seed: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, rank)))[0]
+
+
+def fit_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, passes: int = 1, seed: int = 1) -> np.ndarray:
+    """Orthonormal columns that span the leading directions of the passages: f array<int>, weight double."""
+    basis = _start(rank, seed)
     for _ in range(passes):
-        sent = spark.sparkContext.broadcast(np.hstack(bases).astype(np.float32))
-        rows = passages.mapInArrow(multiply(sent), "block int, f int, v array<float>")
-        sums = rows.groupBy("block", "f").agg(*(F.sum(F.col("v")[k]).cast("float").alias(f"v{k}") for k in range(rank))).orderBy("block", "f").toArrow()
-        block, f = sums.column("block").to_numpy(), sums.column("f").to_numpy()
-        y = np.zeros((blocks, FEATURES, rank), np.float32)
-        if len(sums):
-            y[block, f] = np.stack([sums.column(f"v{k}").to_numpy() for k in range(rank)], 1)
-        del sums
-        bases = [np.linalg.qr(part.astype(np.float64))[0] for part in y]
-        del y
-        sent.destroy()  # its files go from the driver and the executors; a lost task of this pass is done by now
-    shared.destroy()
-    return bases
-
-
-def fit_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, passes: int = PASSES, seed: int = 1) -> np.ndarray:
-    """One basis for all passages: f array<int>, weight double."""
-    return fit_bases(passages.withColumn("block", F.lit(None).cast("int")), idf, 1, rank, passes, seed)[0]
+        basis = np.linalg.qr(gram_product(passages, listed, basis, idf))[0]
+    return basis
+
+
+def directions(rows: DataFrame, cut, idf: np.ndarray, rank: int = RANK, seed: int = 1) -> np.ndarray:
+    """FEATURES by ``rank``: columns whose outer products add up to the Gram matrix of all passages, as far as these hold it.
+
+    One pass over the rows: with a start S and the product Y = G S, G is nearly Y (S' Y)^-1 Y' (Nystroem).
+    """
+    start = _start(rank, seed)
+    y = gram_product(rows, cut, start, idf)
+    core = start.T @ y
+    w, v = np.linalg.eigh((core + core.T) / 2)
+    held = w > 1e-6 * max(w[-1], 1e-30)
+    out = np.zeros((FEATURES, rank))
+    out[:, held] = y @ (v[:, held] / np.sqrt(w[held]))
+    return out
+
+
+def block_basis(found: Sequence[np.ndarray], corpus: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The leading directions of a block's items (the features of each) and of the corpus; zero columns where there are fewer."""
+    rows = np.zeros((len(found) + corpus.shape[1], FEATURES))
+    for row, f in zip(rows, found):
+        at, n = np.unique(f, return_counts=True)
+        row[at] = n * idf[at]
+        row *= ITEM_WEIGHT / (np.linalg.norm(row) or 1)
+    rows[len(found):] = corpus.T
+    w, u = np.linalg.eigh(rows @ rows.T)
+    held = np.flatnonzero(w > 1e-10 * max(w[-1], 1e-30))[-rank:]
+    out = np.zeros((FEATURES, rank))
+    out[:, :len(held)] = rows.T @ (u[:, held] / np.sqrt(w[held]))
+    return out
 
 
 class Item:
@@ -326,7 +411,7 @@ def read_items(benchmark: DataFrame, item_id: str, text: str, answer: str | None
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-               item_text: str = "text", answer: str | None = None, sample_rows: int = SAMPLE_ROWS, cosine: float = COSINE,
+               item_text: str = "text", answer: str | None = None, cosine: float = COSINE,
                short: int = SHORT, held: float = HELD) -> DataFrame:
     """doc_id, item_id, cosine, common (share of the item found in order) and answered, for each leak."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -335,34 +420,24 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     frequency, n = document_frequencies(docs.select("text"))
     idf = np.log((1 + n) / (1 + frequency)) + 1e-3
 
-    def cut(batches):
-        for batch in batches:
-            parts = []
-            for found in hashes_of(batch.column(0)):
-                f = features(found)
-                parts += [f[a:a + WINDOW] for a in range(0, len(f), WINDOW)]
-            yield pa.RecordBatch.from_pydict({"f": pa.array(parts, pa.list_(pa.int32())), "weight": np.ones(len(parts))})
-
-    sample = docs.select("text").sample(min(1.0, sample_rows / max(n, 1)), 5).limit(2 * sample_rows)
-    sample = written(sample.mapInArrow(cut, "f array<int>, weight double"), "decontaminate-sample").withColumn("block", F.lit(None).cast("int"))
+    corpus = directions(docs.select("text"), windows, idf) * math.sqrt(min(1.0, CORPUS_ROWS / max(n, 1)))
     found = None
     for at in range(0, max(len(items), 1), BLOCK * GROUP):
-        part = _search(docs, items[at:at + BLOCK * GROUP], sample, frequency, idf, kind, cosine, short, held)
+        part = _search(docs, items[at:at + BLOCK * GROUP], corpus, frequency, idf, kind, cosine, short, held)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("common", "cosine", "answered"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.cosine", "b.common", "b.answered")
 
 
-def _model(items: list[tuple], sample: DataFrame, frequency: np.ndarray, idf: np.ndarray, short: int, least_held: float) -> tuple:
-    """What a worker needs, as plain tuples and arrays."""
-    spark = sample.sparkSession
+def _model(items: list[tuple], corpus: np.ndarray | DataFrame, frequency: np.ndarray, idf: np.ndarray, short: int, least_held: float) -> tuple:
+    """What a worker needs, as plain tuples and arrays. corpus: its ``directions``, or passages (f array<int>, weight double) to take them from."""
+    if isinstance(corpus, DataFrame):
+        corpus = directions(corpus.select("f", "weight"), listed, idf)
     blocks = max(1, -(-len(items) // BLOCK))
-    queries = spark.createDataFrame([(features(w).tolist(), ITEM_WEIGHT, k // BLOCK) for k, (_, w, _) in enumerate(items)],
-                                    "f array<int>, weight double, block int")
-    bases = fit_bases(written(sample.unionByName(queries).repartition(4), "decontaminate-passages"), idf, blocks)
     weighted = []
-    while bases:  # one basis in full precision at a time
-        weighted.append(np.vstack([bases.pop(0) * idf[:, None], np.zeros((1, RANK))]).astype(np.float32))
+    for b in range(blocks):  # one basis in full precision at a time
+        basis = block_basis([features(w) for _, w, _ in items[b * BLOCK:(b + 1) * BLOCK]], corpus, idf)
+        weighted.append(np.vstack([basis * idf[:, None], np.zeros((1, RANK))]).astype(np.float32))
     targets, shares = [], np.ones(len(items))
     for b in range(blocks):
         own = np.zeros((len(items[b * BLOCK:(b + 1) * BLOCK]), RANK), np.float32)
@@ -372,15 +447,15 @@ def _model(items: list[tuple], sample: DataFrame, frequency: np.ndarray, idf: np
             at, n = np.unique(f, return_counts=True)
             shares[b * BLOCK + k] = np.linalg.norm(own[k]) / max(np.linalg.norm(n * idf[at]), 1e-9)
         targets.append(own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9))
-    listed = [(k, w, bool(len(said))) for k, (_, w, said) in enumerate(items) if len(w) < short or shares[k] < least_held]
+    looked_up = [(k, w, bool(len(said))) for k, (_, w, said) in enumerate(items) if len(w) < short or shares[k] < least_held]
     square = np.append(idf**2, 0).astype(np.float32)
-    return items, np.hstack(weighted), square, targets, shares.astype(np.float32), Anchors(listed, frequency).arrays()
+    return items, np.hstack(weighted), square, targets, shares.astype(np.float32), Anchors(looked_up, frequency).arrays()
 
 
-def _search(docs: DataFrame, items: list[tuple], sample: DataFrame, frequency: np.ndarray, idf: np.ndarray, kind: str, cosine: float,
+def _search(docs: DataFrame, items: list[tuple], corpus: np.ndarray, frequency: np.ndarray, idf: np.ndarray, kind: str, cosine: float,
             short: int, least_held: float) -> DataFrame:
     """doc_id, item_id, cosine, common, answered: what is found of some items, one row at least for each leak."""
-    model = docs.sparkSession.sparkContext.broadcast(_model(items, sample, frequency, idf, short, least_held))
+    model = docs.sparkSession.sparkContext.broadcast(_model(items, corpus, frequency, idf, short, least_held))
     name = f"decontaminate-items-{uuid.uuid4().hex}"
     pad = FEATURES
 

@@ -48,6 +48,29 @@ def test_basis_spans_leading_directions(spark):
     assert np.linalg.norm(a - a @ q @ q.T) < 1e-6 * np.linalg.norm(a)
 
 
+def plain_gram(passages, idf):
+    out = np.zeros((D.FEATURES, D.FEATURES), np.float32)
+    for f in passages:
+        at, n = np.unique(f, return_counts=True)
+        x = n * idf[at]
+        out[np.ix_(at, at)] += np.outer(x, x) / (x @ x)
+    return out
+
+
+def test_corpus_directions_come_from_every_document(spark, monkeypatch):
+    rnd, seen = random.Random(7), []
+    texts = ["one two three"] * 5000 + [" ".join(rnd.choices([f"u{k}" for k in range(30)], k=rnd.choice([0, 3, 40, 100]))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame([(1, "these are words of an item and nothing else of the sort")], "item_id long, text string")
+    model = D._model
+    monkeypatch.setattr(D, "_model", lambda items, corpus, *a: seen.append((corpus, a[1])) or model(items, corpus, *a))
+    assert D.find_leaks(docs, bench).count() == 0
+    (got, idf), = seen
+    found = [D.features(D.hashes(t)) for t in texts]
+    want = plain_gram([f[a:a + D.WINDOW] for f in found for a in range(0, len(f), D.WINDOW)], idf) * (D.CORPUS_ROWS / len(texts))
+    assert np.allclose(got @ got.T, want, atol=1e-3 * want.max())
+
+
 def corpus():
     rnd = random.Random(3)
     vocabulary = [f"w{k}x" for k in range(3000)] + ["the", "of", "and"] * 500
