@@ -9,19 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.local import local_frame
 from ..functions.names import name_suffixes
-from ..session import scratch_path
+from ..llm.spelling import filters, held, points, polynomial, powers
 from .asof import as_of
 
 LOG_SCHEMA = ("branch string, id long, event_time timestamp, command_tag string, object_type string, "
               "schema_name string, object_identity string, command string")
 
-#: Characters of a run in the index of commands.
-GRAM = 3
+#: Characters that are looked up first, at every place of a command, and characters of commands worked on at once.
+START, TOGETHER = 4, 1 << 17
 
 NAME_PATTERN = r"[A-Za-z_][A-Za-z0-9_$]*(?:\.[A-Za-z_][A-Za-z0-9_$]*)*"
 
@@ -110,37 +112,59 @@ def _mentions(command) -> Column:
     return F.array_distinct(F.flatten(F.transform(names, lambda n: runs(F.split(n, r"\.")))))
 
 
-def _grams(text: Column, sizes: Sequence[int]) -> Column:
-    """The different runs of so many characters in a text."""
-    chars = F.split(text, "")
-    runs = [F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda k: F.array_join(
-        F.slice(chars, k, n), ""))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.array_distinct(F.concat(*runs))
+def containing(entries: DataFrame, refs: DataFrame) -> DataFrame:
+    """Each entry (branch, id, command) with each ``ref`` of ``refs`` that is a part of its command: DF[branch, id, command, ref].
 
-
-def containing(entries: DataFrame, refs: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """Each entry (branch, id, command) with each row of ``refs`` whose ``ref`` is a part of the command and whose columns ``on`` are the entry's.
-
-    Commands are looked up in an inverted index of their runs of ``GRAM`` characters: a ref asks for that one of its own runs that the fewest
-    commands have (a shorter ref for itself), which is an equi join; only what it finds is searched for the ref. The index has a row for each
-    run of a command that some ref holds, and is written to the scratch folder.
+    Each task looks up every place of its commands, as hashes of that many characters, in broadcast Bloom filters of the refs, one for each length (at most
+    16 MB): first the ``START`` characters there, as the start of any ref, and where these are one, the parts of each ref's length. What the filters
+    hold is joined to the refs, so only parts of commands that are a ref are shuffled, however long the log and the list of refs are.
+    Entries without a branch or an id are left out.
     """
-    spark, on = entries.sparkSession, list(on)
-    refs = refs.where("ref <> ''")
-    sizes = sorted(r.n for r in refs.select(F.least(F.length("ref"), F.lit(GRAM)).alias("n")).distinct().collect()) or [1]  # GRAM rows at most
-    asked = refs.select("ref", F.explode(_grams(F.col("ref"), sizes)).alias("gram")).distinct()
-    asked = asked.where(F.length("gram") == F.least(F.length("ref"), F.lit(GRAM)))
-    index = entries.select("branch", "id", F.explode(_grams(F.col("command"), sizes)).alias("gram"))
-    path = scratch_path(spark, "grams")
-    index.join(asked.select("gram").distinct(), "gram", "left_semi").write.parquet(path)
-    index = spark.read.schema(index.schema).parquet(path)
-    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(counts, "gram").groupBy("ref").agg(F.min(F.struct("n", "gram")).alias("m")).select("ref", "m.gram")
-    found = refs.withColumnsRenamed({c: f"__{c}" for c in on}).join(rarest, "ref").join(index, "gram")
-    for c in on:
-        found = found.where(F.col(f"__{c}") == F.col(c))
-    found = found.drop("gram", *[f"__{c}" for c in on]).join(entries.select("branch", "id", "command"), ["branch", "id"])
-    return found.where(F.col("command").contains(F.col("ref")))
+    refs = refs.where("ref <> ''").select(F.col("ref").alias("word")).distinct()
+    starts = refs.where(F.char_length("word") > START).select(F.substring("word", 1, START).alias("word")).distinct()
+    lengths = sorted(r.n for r in refs.select(F.char_length("word").alias("n")).distinct().collect())  # a row for each length
+    shard, blocks, _ = filters(refs.unionByName(starts).distinct())
+    shared = entries.sparkSession.sparkContext.broadcast((lengths, shard, blocks))
+    inverse = pow(int(powers(1)[1]), -1, 1 << 64)
+
+    def probe(batches):
+        lengths, shard, blocks = shared.value
+        down = np.ones(1, np.uint64)
+        for batch in batches:
+            commands, at = batch.column("command").to_pylist(), 0
+            while at < len(commands):
+                end, size = at, 0
+                while end < len(commands) and size < TOGETHER:
+                    size += len(commands[end])
+                    end += 1
+                chars = points("".join(commands[at:end]))
+                if len(down) <= len(chars):
+                    down = np.full(2 * len(chars) + 1, inverse, np.uint64)
+                    down[0] = 1
+                    down = np.multiply.accumulate(down)
+                value = polynomial(chars)
+                first = np.concatenate(([0], np.cumsum([len(c) for c in commands[at:end]]))).astype(np.int64)
+                entry = np.repeat(np.arange(end - at), np.diff(first))
+                rest = first[entry + 1] - np.arange(len(chars))  # characters from here to the command's end
+                part = lambda place, n: (value[place + n] - value[place]) * down[place]
+                begun = np.flatnonzero(rest >= START)
+                if START in shard:
+                    begun = begun[held(part(begun, START), shard[START], blocks)]
+                found: set[tuple[int, str]] = set()
+                for n in lengths:
+                    place = np.flatnonzero(rest >= n) if n < START else begun[rest[begun] >= n]
+                    place = place[held(part(place, n), shard[n], blocks)]
+                    for e, k in zip(entry[place].tolist(), (place - first[entry[place]]).tolist()):
+                        found.add((e, commands[at + e][k:k + n]))
+                rows = pa.array([at + e for e, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.take(rows).columns, pa.array([r for _, r in found], pa.string())],
+                                                 names=["branch", "id", "command", "ref"])
+                at = end
+
+    entries = entries.select("branch", "id", "command").where("branch is not null and id is not null and command <> ''")
+    types = {f.name: f.dataType.simpleString() for f in entries.schema}
+    hits = entries.mapInArrow(probe, f"branch {types['branch']}, id {types['id']}, command string, ref string")
+    return hits.join(refs.select(F.col("word").alias("ref")), "ref", "left_semi").select("branch", "id", "command", "ref")
 
 
 def newest_change(log: DataFrame, objects: DataFrame, match: str = "exact") -> DataFrame:
@@ -166,7 +190,8 @@ def newest_change(log: DataFrame, objects: DataFrame, match: str = "exact") -> D
         named = entries.select("branch", "id", "command", F.explode(_mentions(F.col("command"))).alias("ref"))
         found = found.unionByName(refs.join(named, on).select("branch", "object_name", "id", "command"))
     elif match == "contains":
-        found = found.unionByName(containing(entries, refs, on[:-1]).select("branch", "object_name", "id", "command"))
+        hits = containing(entries, refs).groupBy("branch", "ref").agg(F.max("id").alias("id"), F.max_by("command", "id").alias("command"))
+        found = found.unionByName(refs.join(hits, on).select("branch", "object_name", "id", "command"))
     return found.groupBy("branch", "object_name").agg(F.max("id").alias("id"), F.max_by("command", "id").alias("command"))
 
 

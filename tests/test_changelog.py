@@ -39,6 +39,19 @@ def test_contains_finds_what_a_search_of_every_entry_finds(spark):
     assert L.newest_change(log.limit(0), objects, "contains").count() == 0
 
 
+def test_contains_writes_no_index_and_hands_on_only_what_is_a_ref(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: (_ for _ in ()).throw(AssertionError("a table is written")))
+    # every command has every run of three characters of many refs, so that any run of three finds nearly all pairs
+    log = spark.range(3000).select(F.lit("b").alias("branch"), "id", F.concat(F.lit("alter table s.t"), F.col("id") % 40, F.lit(" 0123 1230 2301 3012 ü😀")).alias("command"))
+    log = log.withColumn("object_identity", F.lit(None).cast("string")).repartition(3)
+    names = ["s.t7", "s.t39", "x.t3012301230123", "ü😀", "q", *(f"s.t{k}" for k in range(100, 3000))]
+    objects = spark.createDataFrame([(n,) for n in names], "object_name string")
+    got = {(r.object_name, r.id) for r in L.newest_change(log, objects, "contains").collect()}
+    assert got == {("s.t7", 2967 + 0), ("s.t39", 2999), ("ü😀", 2999)}
+
+
 def test_contains_has_no_nested_loop(spark):
     log = spark.range(50).select(F.lit("b").alias("branch"), "id", F.concat(F.lit("x"), "id").alias("object_identity"), F.concat(F.lit("alter t"), "id").alias("command"))
     objects = spark.range(50).select(F.concat(F.lit("s.t"), "id").alias("object_name"))
