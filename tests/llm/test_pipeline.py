@@ -106,6 +106,16 @@ def test_a_leak_takes_no_other_rows_of_its_id(spark):
     assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {rows[1], rows[2], rows[4]}
 
 
+def test_decontamination_looks_at_no_sample(spark, monkeypatch):
+    def cut(*a, **k):
+        raise AssertionError("part of the documents")
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(type(docs), "sample", cut)
+    monkeypatch.setattr(type(docs), "limit", cut)
+    assert 0 < P.benchmark_decontamination(spark, docs, SF).count() < docs.count()
+
+
 def test_every_group_keeps_one_row_whatever_the_ids(spark):
     a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in ("apple", "brick", "cloud"))
     rows = [(1, a, "x"), (1, b, "x"), (0, b, "y"), (0, b, "x"), (None, b, "a"), (None, c, "z"), (None, c, "y"), (1, None, "x")]
