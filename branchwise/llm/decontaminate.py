@@ -47,7 +47,7 @@ RANK = 64
 #: Items of a block, and blocks worked on at once.
 BLOCK, GROUP = 56, 8
 WINDOW, STEP = 32, 16
-#: All documents' passages weigh as those of so many.
+#: The passages of all documents are added up, none is left out; their sum weighs at most as much as those of so many.
 CORPUS_ROWS = 1500
 ITEM_WEIGHT = 100.0
 #: A candidate's least cosine in the latent space, and the least share of its own length that lies along the item.

@@ -3,6 +3,7 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -115,6 +116,27 @@ def test_decontamination_looks_at_no_sample(spark, monkeypatch):
     assert 0 < P.benchmark_decontamination(spark, docs, SF).count() < docs.count()
 
 
+def test_decontamination_learns_from_every_document(spark, monkeypatch):
+    rnd, seen, model = random.Random(9), [], decontaminate._model
+    texts = [" ".join(rnd.choices([f"w{k}" for k in range(30)], k=rnd.choice([0, 3, 40, 70]))) for _ in range(4000)]
+    for k, d in enumerate((0, 1777, 3111, 3999)):  # a word of its own in the first, the last and two other documents
+        texts[d] = " ".join([f"rare{k}"] * 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(decontaminate, "_model", lambda items, *a: seen.append(a[:3]) or model(items, *a))
+    assert P.benchmark_decontamination(spark, docs, SF).count() == len(texts)
+    (corpus, frequency, idf), = seen
+    found = [decontaminate.features(decontaminate.hashes(t)) for t in texts]
+    used = np.unique(np.concatenate(found))
+    there = np.array([np.isin(used, f) for f in found])
+    assert len(used) == 34 and frequency[used].tolist() == there.sum(axis=0).tolist() and frequency.sum() == there.sum()
+    passages = [f[a:a + decontaminate.WINDOW] for f in found for a in range(0, len(f), decontaminate.WINDOW)]
+    x = np.array([(f[:, None] == used).sum(axis=0) * idf[used] for f in passages])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = x.T @ x * decontaminate.CORPUS_ROWS / len(texts)
+    assert np.allclose(corpus[used] @ corpus[used].T, want, atol=0.01 * want.diagonal().min())
+    assert not np.delete(corpus, used, axis=0).any()
+
+
 def test_every_group_keeps_one_row_whatever_the_ids(spark):
     a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in ("apple", "brick", "cloud"))
     rows = [(1, a, "x"), (1, b, "x"), (0, b, "y"), (0, b, "x"), (None, b, "a"), (None, c, "z"), (None, c, "y"), (1, None, "x")]
